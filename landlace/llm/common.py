@@ -106,13 +106,15 @@ def chunks(batches: Iterator[pa.RecordBatch], chars: int = 4_000_000, by: str =
         yield b.slice(start)
 
 
-def one_per_task(make: Callable[[], object]) -> Callable[[], object]:
-    """A lazily made object that a Python worker keeps for its later tasks."""
-    held: list = []
-
-    def get():
-        if not held:
-            held.append(make())
-        return held[0]
-
-    return get
+def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, list[dict]]]:
+    """(key, its rows) from rows that come sorted by the key, batch by batch."""
+    now, held = None, []
+    for b in batches:
+        for row in b.to_pylist():
+            if held and row[key] != now:
+                yield now, held
+                held = []
+            now = row[key]
+            held.append(row)
+    if held:
+        yield now, held

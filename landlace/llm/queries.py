@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landlace.llm import langid, quality, simhash, tokens, toxicity
+from landlace.llm import decontam, langid, media, ngrams, packing, pii, quality, simhash, tokens, tokenstore, toxicity
 from landlace.llm.common import is_held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,15 @@ def _with_fold(df: DataFrame) -> DataFrame:
     return df.withColumn("held_out", is_held_out(F.col("doc_id")))
 
 
+def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = ngrams.score(table(spark, sf_dir, "documents"), order=3, alpha=0.4)
+    return scored.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -33,14 +42,34 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _with_fold(langid.predict(docs, model)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = media.text_media(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return _with_fold(quality.score(docs, model, 0.7)).select("doc_id", "held_out", "score", "predicted")
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), packing.with_end("word_bpe_49k.json", 1), length=2048)
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.fit(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.store(table(spark, sf_dir, "documents"), packing.with_end("word_bpe_49k.json", 2), vocabulary=49_408)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_toxicity, op4_simhash, op5_langid, op7_quality)}
+    own = (op1_decontam, op2_backoff, op3_toxicity, op4_simhash, op5_langid, op6_media, op7_quality, op8_packing, op9_pii, op10_tokens)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -146,7 +146,7 @@ def spanning(codes: np.ndarray, bits: int, block: int = 20_000) -> tuple[np.ndar
         near = np.bitwise_count(codes[:1] ^ codes[1:]) <= bits
         return codes[1:][near], codes[:1][near]
     forest = Forest(len(codes))
-    if len(codes) <= 32:
+    if len(codes) <= 8:  # a single node of the index
         i, j = np.triu_indices(len(codes), 1)
         near = np.bitwise_count(codes[i] ^ codes[j]) <= bits
         forest.join(i[near], j[near])
