@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from landlace.workers import settled
+
 KINDS = ("unchanged", "altered", "demolished", "new")
 
 
@@ -19,11 +21,11 @@ def greedy(pairs: DataFrame, a: str, b: str, p: str = "p", most: int = 200) -> D
         raise TypeError("keys have to be numbers; number them first")
     left, taken = pairs.withColumn("rank_", order), None
     for _ in range(most):
-        left = left.checkpoint()
+        left = settled(left)
         if left.isEmpty():
             break
         best = lambda c: left.groupBy(c).agg(F.max("rank_").alias(f"best_{c}"))  # noqa: E731, B023
-        now = left.join(best(a), a).join(best(b), b).where((F.col("rank_") == F.col(f"best_{a}")) & (F.col("rank_") == F.col(f"best_{b}"))).select(pairs.columns).checkpoint()
+        now = settled(left.join(best(a), a).join(best(b), b).where((F.col("rank_") == F.col(f"best_{a}")) & (F.col("rank_") == F.col(f"best_{b}"))).select(pairs.columns))
         taken = now if taken is None else taken.union(now)
         left = left.join(now.select(a), a, "left_anti").join(now.select(b), b, "left_anti").select(*pairs.columns, "rank_")
     return pairs.limit(0) if taken is None else taken

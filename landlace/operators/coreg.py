@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landlace.functions import boxes
 from landlace.operators.spatial_join import mutual_nearest, nearest
+from landlace.workers import settled
 
 
 def centres(layer: DataFrame, key: str) -> DataFrame:
@@ -66,10 +67,10 @@ def estimate(a: DataFrame, b: DataFrame, max_d: float = 15.0, iou_min: float = 0
         both = pairs.join(a.select("a_id", *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")]), "a_id").join(now.select("b_id", *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")]), "b_id")
         inter = boxes.shared("a_", "b_")
         good = both.where(inter / (boxes.area("a_") + boxes.area("b_") - inter) >= iou_min).join(raw.select("b_id", "x", "y"), "b_id")
-        found = good.select("a_id", "b_id", "a_x", "a_y", (F.col("x") - F.col("a_x")).alias("dx"), (F.col("y") - F.col("a_y")).alias("dy")).checkpoint()
+        found = settled(good.select("a_id", "b_id", "a_x", "a_y", (F.col("x") - F.col("a_x")).alias("dx"), (F.col("y") - F.col("a_y")).alias("dy")))
         if found.count() < least:
             break
-        shift = local_shift(centres(now, "b_id"), found, k, radius).select("b_id", "sx", "sy").checkpoint()
+        shift = settled(local_shift(centres(now, "b_id"), found, k, radius).select("b_id", "sx", "sy"))
     return shift
 
 

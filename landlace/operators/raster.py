@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landlace.operators.coreg import median
+from landlace.workers import settled
 
 DELTA, PRESENT, BUILT, LEAST, TALLER, FLOOR = 0.40, 0.55, 0.2, 8, 6.0, 3.0
 
@@ -44,17 +45,17 @@ def components(mask: DataFrame, most: int = 64) -> DataFrame:
 
     row = Window.partitionBy("change", "r").orderBy("q")
     runs = mask.withColumn("run", F.col("q") - F.row_number().over(row)).groupBy("change", "r", "run").agg(F.min("q").alias("a"), F.max("q").alias("z"))
-    runs = runs.select("change", "r", "a", "z", F.concat_ws(":", "change", F.lpad(F.col("r").cast("string"), 9, "0"), F.lpad(F.col("a").cast("string"), 9, "0")).alias("id")).checkpoint()
+    runs = settled(runs.select("change", "r", "a", "z", F.concat_ws(":", "change", F.lpad(F.col("r").cast("string"), 9, "0"), F.lpad(F.col("a").cast("string"), 9, "0")).alias("id")))
     up, down = runs.alias("u"), runs.alias("v")
     touch = up.join(down, (F.col("u.change") == F.col("v.change")) & (F.col("u.r") + 1 == F.col("v.r")) & (F.col("u.a") <= F.col("v.z")) & (F.col("v.a") <= F.col("u.z")))
     pairs = touch.select(F.col("u.id").alias("x"), F.col("v.id").alias("y"))
-    edges = pairs.union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))).checkpoint()
-    label = runs.select("id", F.col("id").alias("part")).checkpoint()
+    edges = settled(pairs.union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))))
+    label = settled(runs.select("id", F.col("id").alias("part")))
     for _ in range(most):
         near = edges.join(label, edges["y"] == label["id"]).groupBy("x").agg(F.min("part").alias("low"))
         lower = label.join(near, label["id"] == near["x"], "left").select("id", F.least("part", F.coalesce("low", "part")).alias("part"))
         name = lower.select(F.col("id").alias("part"), F.col("part").alias("own"))
-        new = lower.join(name, "part").select("id", F.col("own").alias("part")).checkpoint()
+        new = settled(lower.join(name, "part").select("id", F.col("own").alias("part")))
         if new.join(label.withColumnRenamed("part", "old"), "id").where("part <> old").isEmpty():
             break
         label = new

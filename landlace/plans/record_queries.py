@@ -8,6 +8,7 @@ from landlace.functions import boxes, projection, strings
 from landlace.operators import audit, estimates, harmonise, matching, raster, schema_match
 from landlace.plans.registry import query, table_query
 from landlace.plans.spatial_queries import BUCKETS, predicted
+from landlace.workers import settled
 
 # --- decisions on scored pairs ---------------------------------------------------------------------------------------
 
@@ -416,3 +417,43 @@ def projected_round_trip(a):
     back = deg.withColumns({"e": e, "n": n})
     lon, lat = projection.from_utm(F.col("e"), F.col("n"), 44)
     return back.select(F.max(F.greatest(F.abs(lon - F.col("lon")), F.abs(lat - F.col("lat"))) * 111_320).alias("max_error_m"))
+
+
+# --- the classifier --------------------------------------------------------------------------------------------------
+
+
+def _training(a, b, truth):
+    from landlace.operators.features import pair_features as measured
+
+    x, y = boxes.centre()
+    fold = matching.blocks(a, x, y, 300.0).select("a_id", ((F.col("bi") * 3 + F.col("bj")) % 4).alias("fold"))
+    return matching.labelled(measured(a, b), truth).join(fold, "a_id")
+
+
+@query("layer_a", "layer_b", "truth")
+def gbt_scores(a, b, truth):
+    """Out-of-fold calibrated scores and buckets; tests hold their accuracy against the overlap rule."""
+    from landlace.operators import learn
+
+    out = learn.out_of_fold(settled(_training(a, b, truth)), "fold", rounds=10, depth=3)
+    return out.select("a_id", "b_id", "label", "p", F.when(F.col("p") >= F.col("t_high"), "accept").when(F.col("p") < F.col("t_low"), "reject").otherwise("review").alias("bucket"))
+
+
+@query("layer_a", "layer_b", "truth")
+def shap_topk(a, b, truth):
+    """The four features that moved each score most; tests hold the sums against the trees' own output."""
+    from landlace.operators import learn
+
+    rows = settled(_training(a, b, truth))
+    m = learn.fit(rows.where("fold < 3"), rows.where("fold = 3"), rounds=5, depth=3)
+    return learn.contributions(rows.where("iou > 0"), m).select("a_id", "b_id", F.explode("contrib").alias("x")).select("a_id", "b_id", "x.feature", "x.value")
+
+
+@table_query("labels", "documents")
+def isotonic_fit(labels, documents):
+    """Calibrated scores; tests hold them against pooling of adjacent violators."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    own = scored(labels, documents).select(F.col("y").cast("double").alias("label"), "p")
+    m = IsotonicRegression(featuresCol="p", labelCol="label").fit(own)
+    return m.transform(own).groupBy("p").agg(F.count("*").alias("n"), F.first("prediction").alias("calibrated"))

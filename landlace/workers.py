@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -17,3 +18,12 @@ def ship(spark: SparkSession | None = None) -> None:
     env = spark.sparkContext.environment
     if ROOT not in (now := env.get("PYTHONPATH", "")).split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, now) if x)
+
+
+def settled(df):
+    """The rows behind a reliable checkpoint in the shared folder the cluster names; a temporary one only where none is named, as in tests."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="landlace-"))
+    return df.checkpoint()
