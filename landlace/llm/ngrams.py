@@ -207,6 +207,8 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, folder: str
     folder = folder or shared_dir(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = int(str(own._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, without reading them
+    if size >> 56:  # not known without reading
+        size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(shuffles, min(1 << 20, math.ceil(size / RANGE)))
 
