@@ -189,7 +189,7 @@ class Scorer:
             if len(self.row) < before + len(new):  # what was kept went: score this batch's other words anew
                 self.rows(sorted(set().union(*found).difference(self.row)))
         for own in found:
-            if not own or not self.m.langs:
+            if not self.m.langs or not any(c.isalpha() for w in own for c in w):  # digits of other kinds make words too
                 langs.append("und"), scores.append(0.0)
                 continue
             x = self.table[np.fromiter(map(self.row.__getitem__, own), np.int64, len(own))].sum(0) + self.m.prior
