@@ -35,6 +35,7 @@ def local_shift(b: DataFrame, found: DataFrame, k: int = 25, radius: float = 250
 
     b: b_id, x, y of the shapes as moved so far.
     """
+    found = settled(found)
     near = nearest(b, "b_id", found.select("a_id", F.col("a_x").alias("x"), F.col("a_y").alias("y"), "dx", "dy"), "a_id", radius, k, strict=True)
     own = near.groupBy("a_key").agg(F.count("*").alias("n"), median("b_dx").alias("mx"), median("b_dy").alias("my"))
     whole = F.broadcast(global_shift(found))  # one row

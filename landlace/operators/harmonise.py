@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from landlace.functions import boxes, strings
 from landlace.operators.spatial_join import as_boxes, join_boxes
+from landlace.workers import settled
 
 #: Square metres in a unit.
 UNITS = {"square metre": 1.0, "square foot": 0.09290304, "square yard": 0.83612736, "cent": 40.468564, "ground": 222.967, "acre": 4046.8564, "hectare": 10000.0}
@@ -77,6 +78,7 @@ def harmonise(parcels: DataFrame, links: DataFrame, revenue: DataFrame, tax: Dat
     """
     by_p = Window.partitionBy("a_id").orderBy(F.col("p").desc(), "b_id")
     ranked = links.withColumns({"place": F.row_number().over(by_p), "n_a": F.count("*").over(Window.partitionBy("b_id"))})
+    ranked = settled(ranked.select("a_id", "b_id", "p", "place", "n_a"))  # read twice below; what makes the links runs once
     lists = ranked.groupBy("a_id").agg(F.count("*").alias("n_links"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "b_id"))), lambda x: x["b_id"].cast("string")), ",").alias("revenue_ids"))
     best = ranked.where("place = 1").select("a_id", "b_id", "p", "n_a").join(lists, "a_id").join(revenue, "b_id")
     first_tax = tax.groupBy("a_id").agg(F.min_by(F.struct("assessee", "plinth_sqft", "usage", "tax_id"), "tax_id").alias("t"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landlace.functions import boxes
 from landlace.operators.spatial_join import join_boxes
+from landlace.workers import settled
 
 SHARE, RATIO = 0.6, 1.8
 
@@ -38,10 +39,14 @@ def covering(parts: DataFrame, big_key: str, least: int = 2) -> DataFrame:
 
 
 def describe(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row on a pair of layers: links, counterparts, relations, offsets. pairs: a_id, b_id, bucket, centroid_dist, iou, area_ratio."""
+    """One row on a pair of layers: links, counterparts, relations, offsets. pairs: a_id, b_id, bucket, centroid_dist, iou, area_ratio.
+
+    The pairs and the relations each are joined once and then read several times from a checkpoint.
+    """
+    pairs = settled(pairs.select("a_id", "b_id", "bucket", "centroid_dist", "iou", "area_ratio"))
     hit = pairs.where("bucket <> 'reject'")
     a_hit, b_hit = hit.select("a_id").distinct(), hit.select("b_id").distinct()
-    a_in_b, b_in_a = part_of(a, "a_id", b, "b_id", a_hit), part_of(b, "b_id", a, "a_id", b_hit)
+    a_in_b, b_in_a = settled(part_of(a, "a_id", b, "b_id", a_hit)), settled(part_of(b, "b_id", a, "a_id", b_hit))
     a_any = a_hit.union(a_in_b.select("a_id")).union(b_in_a.select("a_id")).distinct()
     b_any = b_hit.union(b_in_a.select("b_id")).union(a_in_b.select("b_id")).distinct()
     one = one_to_one(pairs).agg(

@@ -35,7 +35,9 @@ def slivers(layer: DataFrame, key: str = "id") -> DataFrame:
 
 def report(layer: DataFrame, key: str = "id") -> DataFrame:
     """One row of counts."""
-    a = overlaps(layer, key).agg(F.count("*").alias("overlaps"), F.coalesce(F.sum("overlap"), F.lit(0.0)).alias("overlap_area_m2"))
-    b = near_misses(layer, key).agg(F.count("*").alias("near_miss_gaps"))
+    # one join serves both: pairs that overlap are among those at most GAP apart
+    pairs = self_join_boxes(layer, key, GAP).select(boxes.shared("a_", "b_").alias("overlap"), boxes.distance("a_", "b_").alias("gap"))
+    over, near = F.col("overlap") > OVERLAP, (F.col("gap") > 0) & (F.col("gap") <= GAP)
+    a = pairs.agg(F.count_if(over).alias("overlaps"), F.coalesce(F.sum(F.when(over, F.col("overlap"))), F.lit(0.0)).alias("overlap_area_m2"), F.count_if(near).alias("near_miss_gaps"))
     c = slivers(layer, key).agg(F.count("*").alias("parcels"), F.count_if("sliver").alias("slivers"))
-    return a.crossJoin(b).crossJoin(c)
+    return a.crossJoin(c)
