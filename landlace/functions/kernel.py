@@ -246,3 +246,55 @@ def representative(poly: list[Ring]) -> tuple[float, float]:
     x = np.sort(a[hit, 0] + (y - a[hit, 1]) / (b[hit, 1] - a[hit, 1]) * (b[hit, 0] - a[hit, 0]))
     k = int(np.argmax(x[1::2] - x[::2]))
     return float((x[2 * k] + x[2 * k + 1]) / 2), float(y)
+
+
+def hull(points: np.ndarray) -> Ring:
+    """Convex hull, against the clock."""
+    p = sorted(map(tuple, points))
+
+    def half(seq):
+        out: list = []
+        for q in seq:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (q[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (q[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(q)
+        return out[:-1]
+
+    return np.array(half(p) + half(p[::-1]))
+
+
+def long_axis(r: Ring) -> np.ndarray:
+    """Direction of the longer side of the smallest turned rectangle around a ring."""
+    h = hull(r)
+    best = None
+    for d in np.roll(h, -1, 0) - h:
+        d = d / np.hypot(*d)
+        u, v = h @ d, h @ [-d[1], d[0]]
+        w, t = np.ptp(u), np.ptp(v)
+        if best is None or w * t < best[0] - 1e-12:
+            best = (w * t, d if w >= t else np.array([-d[1], d[0]]))
+    return best[1]
+
+
+def halved(poly: list[Ring]) -> list[list[Ring]]:
+    """The shell cut across its long axis at the centroid; each half is one ring."""
+    c, d = np.array(centroid(poly)), long_axis(poly[0])
+    out = []
+    for side in (1, -1):
+        s = side * ((poly[0] - c) @ d)
+        ring_: list = []
+        for k, (p, a) in enumerate(zip(poly[0], s, strict=True)):
+            q, b = poly[0][(k + 1) % len(s)], s[(k + 1) % len(s)]
+            if a >= 0:
+                ring_.append(p)
+            if a * b < 0:
+                ring_.append(p + (q - p) * a / (a - b))
+        if len(ring_) >= 3:
+            out.append([np.array(ring_)])
+    return out
+
+
+def turned(poly: list[Ring], angle: float, factor: float = 1.0, shift: tuple[float, float] = (0.0, 0.0)) -> list[Ring]:
+    """Turned and scaled about the centroid, then shifted."""
+    c, (co, si) = np.array(centroid(poly)), (np.cos(angle), np.sin(angle))
+    return [(r - c) @ (factor * np.array([[co, si], [-si, co]])) + c + np.array(shift) for r in poly]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from landlace.functions import boxes
+from landlace.functions import boxes, strings
 from landlace.operators.spatial_join import join_boxes
 
 TINY = 1e-9
@@ -43,3 +43,14 @@ FEATURES = ("iou", "inter_over_a", "inter_over_b", "centroid_dist", "area_ratio"
 def pair_features(a: DataFrame, b: DataFrame, radius: float = 30.0) -> DataFrame:
     """Candidate pairs with all features. The boxes go before the windows, so these sort narrow rows."""
     return placed(measured(candidates(a, b, radius)).select("a_id", "b_id", "area_a", "area_b", *FEATURES[:6]))
+
+
+NAMES = ("name_sort", "name_set")
+
+
+def named(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs with the likeness of the owners' names, sorted by word and as sets of words, from 0 to 1."""
+    own = lambda df, key, name: df.select(key, strings.normal(F.col("owner")).alias(name))
+    both = pairs.join(own(a, "a_id", "owner_a"), "a_id").join(own(b, "b_id", "owner_b"), "b_id")
+    x, y = F.col("owner_a"), F.col("owner_b")
+    return both.withColumns({"name_sort": strings.token_sort(x, y), "name_set": strings.token_set(x, y)}).drop("owner_a", "owner_b")

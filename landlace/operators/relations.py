@@ -22,7 +22,7 @@ def part_of(small: DataFrame, small_key: str, big: DataFrame, big_key: str, link
     pairs = join_boxes(small.withColumnRenamed(small_key, "key"), big.withColumnRenamed(big_key, "key"), 0.0)
     share = boxes.shared("a_", "b_") / boxes.area("a_")
     ok = pairs.withColumn("share", share).where((F.col("share") >= SHARE) & (boxes.area("b_") >= RATIO * boxes.area("a_")))
-    best = F.max_by(F.struct("b_key", "share"), F.struct("share", -F.col("b_key")))
+    best = F.min_by(F.struct("b_key", "share"), F.struct(-F.col("share"), F.col("b_key")))
     return ok.groupBy("a_key").agg(best.alias("best")).select(F.col("a_key").alias(small_key), F.col("best.b_key").alias(big_key), "best.share")
 
 
