@@ -131,3 +131,29 @@ def search(rows: DataFrame, text: str, n: int = 300, order: str | None = None) -
     """Rows that hold the text, in any letter case, in any column."""
     found = rows.where(F.contains(F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in rows.columns])), F.lit(text.lower())))
     return (found.orderBy(order) if order else found).limit(n)
+
+
+def labels_judged(proposals: DataFrame, sample: DataFrame, least_seconds: float = 3.0) -> DataFrame:
+    """What becomes of proposed labels (pair_id, label, secs): 404 not sampled, 422 no such label, 429 too quick, else 201."""
+    known = sample.select("pair_id").distinct().withColumn("known", F.lit(True))
+    status = F.when(F.col("known").isNull(), 404).when(~F.col("label").isin("same", "different", "unsure"), 422).when(F.coalesce("secs", F.lit(0.0)) < least_seconds, 429).otherwise(201)
+    return proposals.join(known, "pair_id", "left").withColumn("status", status).drop("known")
+
+
+def next_unlabelled(sample: DataFrame, labels: DataFrame, labeller: str, order: str) -> DataFrame:
+    """The first pair in the sample's order that this person has not labelled; no score is shown."""
+    own = labels.where(F.col("labeller") == labeller).select("pair_id")
+    return sample.join(own, "pair_id", "left_anti").orderBy(order).limit(1)
+
+
+def users_with(users: DataFrame, new: DataFrame) -> DataFrame:
+    """Users and the new ones among `new` whose lower-case name is not taken yet."""
+    fresh = new.withColumn("username", F.lower(F.trim("username"))).dropDuplicates(["username"])
+    return users.unionByName(fresh.join(users.select("username"), "username", "left_anti").select(*users.columns))
+
+
+def users_changed(users: DataFrame, changes: DataFrame, by: str) -> DataFrame:
+    """Users with their role or active flag as changed (username, role, active; null: as it was); nobody disables themselves."""
+    c = changes.select("username", F.col("role").alias("role_"), F.col("active").alias("active_"))
+    off = F.when(F.col("username") == by, F.col("active")).otherwise(F.coalesce("active_", "active"))
+    return users.join(c, "username", "left").withColumns({"role": F.coalesce("role_", "role"), "active": off}).select(*users.columns)

@@ -78,3 +78,38 @@ def taller(stats: DataFrame) -> DataFrame:
     gain = F.col("h1") - F.col("h0")
     ok = stats.where((F.col("n") >= 4) & (F.col("mean_p0") >= 0.5) & (F.col("mean_p1") >= 0.5) & (gain >= TALLER))
     return ok.select("zone", F.round(gain, 1).alias("gain_m"), F.bround(gain / FLOOR).cast("long").alias("floors_added"))
+
+
+CONFIRM, ABSENT = 0.40, 0.10
+
+
+def flagged(parts: DataFrame, maps: DataFrame, reference: str = "OSM", related: tuple[str, ...] = ("Google",)) -> DataFrame:
+    """Clusters with the share of their pixels that each current map covers, and what that says.
+
+    parts: change, part, r, q (components); maps: source, r, q. New building is confirmed where an independent map (neither
+    the reference nor a related one) covers CONFIRM of it, and missing in the reference below ABSENT; a demolition is confirmed where
+    an independent map covers less than ABSENT.
+    """
+    names = maps.select("source").distinct()
+    size = parts.groupBy("change", "part").agg(F.count("*").alias("n"))
+    hit = parts.join(maps.distinct(), ["r", "q"]).groupBy("change", "part", "source").agg(F.count("*").alias("hit"))
+    grid = size.crossJoin(F.broadcast(names))  # a handful of map names
+    cover = grid.join(hit, ["change", "part", "source"], "left").withColumn("cover", F.coalesce("hit", F.lit(0)) / F.col("n"))
+    independent = ~F.col("source").isin(reference, *related)
+    agree = F.when(F.col("change") == "new", F.col("cover") >= CONFIRM).otherwise(F.col("cover") < ABSENT)
+    own = F.max(F.when(F.col("source") == reference, F.col("cover")))
+    by = cover.groupBy("change", "part", "n").agg(F.coalesce(F.max(independent & agree), F.lit(False)).alias("confirmed"), own.alias("in_reference"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "cover")))).alias("cover"))
+    return by.withColumns({"missing_in_reference": F.coalesce((F.col("change") == "new") & (F.col("in_reference") < ABSENT), F.lit(False)), "still_in_reference": F.coalesce((F.col("change") == "demolished") & (F.col("in_reference") >= CONFIRM), F.lit(False))})
+
+
+def height_noise(stats: DataFrame) -> DataFrame:
+    """One row: spread of the height change between its quartiles, over zones of four pixels or more."""
+    d = F.col("h1") - F.col("h0")
+    return stats.where((F.col("n") >= 4) & d.isNotNull() & ~F.isnan(d)).agg((F.percentile(d, F.lit(0.75)) - F.percentile(d, F.lit(0.25))).alias("height_change_iqr_m"))
+
+
+def summary(flags: DataFrame, tall: DataFrame) -> DataFrame:
+    """One row of counts."""
+    new, gone = F.col("change") == "new", F.col("change") == "demolished"
+    counts = {"new": new, "new_confirmed": new & F.col("confirmed"), "new_missing_in_reference": F.col("missing_in_reference"), "demolished": gone, "demolished_confirmed": gone & F.col("confirmed")}
+    return flags.agg(*[F.count_if(c).alias(n) for n, c in counts.items()]).crossJoin(tall.agg(F.count("*").alias("taller")))
