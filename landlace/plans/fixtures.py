@@ -38,7 +38,7 @@ TRUTH = f"select k as a_id, 2 * k as b_id, {_KIND} as error_type from ({BASE}) t
 LAYER_T = f"""select k as id, x as x1, y as y1, case when k % 17 = 0 then x + 31 when k % 19 = 0 and ({'k % 40'}) % 10 <> 9 then x_next - 0.25 else x + w end as x2,
   case when k % 23 = 0 then y + 0.125 else y + d end as y2 from ({BASE}) t"""
 #: Large outlines that take in a parcel and part of its surroundings.
-BIG = f"select k as big_id, x - 1 as x1, y - 1 as y1, x + 61 as x2, y + d + 13 as y2 from ({BASE}) t where k % 3 = 0"
+BIG = f"select k as big_id, x - 1 as x1, y - 1 as y1, x + 61 as x2, y + d + 13 as y2 from ({BASE}) t"
 #: Tax register: points near the centre of a parcel, with a name, a plinth area in square feet and a usage code.
 TAX = f"""select c_custkey as tax_id, t.k as a_true, x + w / 2 + ((c_custkey * 3) % 9 - 4) * 2 as px, y + d / 2 + ((c_custkey * 5) % 9 - 4) * 2 as py,
   case when c_custkey % 11 = 0 then c_name when c_custkey % 5 = 0 then upper(owner) else owner end as assessee, cast(w * d * 8 as double) as plinth_sqft,

@@ -27,9 +27,9 @@ def recall_by_type(a, b, truth):
 
 
 @query("layer_a", "layer_b", "truth", more=BUCKETS, sql="""select (select avg(case when a_id in (select a_id from pred where bucket = 'accept') then 1 else 0 end) from layer_a where error_type = 'missing') as missing_false_link_rate,
-  (select coalesce(avg(hit), 0) from (select b_id, max(case when bucket = 'accept' then 1 else 0 end) as hit from pred where b_id in (select b_id from layer_b where b_id % 20 = 0) group by b_id) t) as spurious_false_link_rate""")
+  (select coalesce(avg(hit), 0) from (select b_id, max(case when bucket = 'accept' then 1 else 0 end) as hit from pred where b_id in (select b_id from truth where error_type = 'nudged') group by b_id) t) as spurious_false_link_rate""")
 def false_link_rates(a, b, truth):
-    return matching.false_link_rates(predicted(a, b), a, b.where("b_id % 20 = 0").select("b_id"))
+    return matching.false_link_rates(predicted(a, b), a, truth.where("error_type = 'nudged'").select("b_id"))
 
 
 SCORED = "select quality as y, (n_chars % 64) / 64.0 as p from labels join documents using (doc_id)"
@@ -167,10 +167,10 @@ _USE = lambda c: "case " + " ".join(f"when {_CLEAN.format(c=c)} = '{k}' then '{v
 _UNITS = ", ".join(f"('{u}', cast({v} as double))" for u, v in harmonise.UNITS.items())
 
 
-@query("revenue", more=f"m as (select quantile_cont(32.0, 0.5) as ratio, count(*) as n from revenue where extent > 0 and b_id % 13 <> 0), u(unit, s) as (values {_UNITS}), b as (select unit, s, cast(ratio as double) as ratio, n, row_number() over (order by abs(ln(s / ratio))) as rn from u, m)",
+@query("revenue", "layer_b", more=f"m as (select quantile_cont((x2 - x1) * (y2 - y1) / extent, 0.5) as ratio, count(*) as n from revenue join layer_b using (b_id) where extent > 0), u(unit, s) as (values {_UNITS}), b as (select unit, s, cast(ratio as double) as ratio, n, row_number() over (order by abs(ln(s / ratio))) as rn from u, m)",
        sql="select unit, round(ratio, 4) as m2_per_unit_observed, s as m2_per_unit_expected, round(abs(s - ratio) / s, 4) as relative_error, n as parcels_used from b where rn = 1")
-def area_unit(revenue):
-    return harmonise.area_unit(revenue.where("b_id % 13 <> 0").withColumn("surveyed", F.col("extent") * 32), "extent", "surveyed")
+def area_unit(revenue, b):
+    return harmonise.area_unit(revenue.join(b.select("b_id", boxes.area().alias("surveyed")), "b_id"), "extent", "surveyed")
 
 
 @query("revenue", sql=f"select b_id, classfn, {_USE('classfn')} as land_use from revenue")
@@ -326,10 +326,10 @@ def access_tail(log):
     return audit.tail(log).select("seq", "user_id", "event")
 
 
-@query("access_log", sql="select seq, user_id from access_log where user_id = 7 or user_id % 10 = 0 order by seq desc limit 50")
+@query("access_log", sql="select seq, user_id from access_log where user_id = 7 order by seq desc limit 50")
 def uploads_visible(log):
-    """A person's own entries and those of the people they supervise, newest first."""
-    return audit.tail(log.where("user_id = 7 or user_id % 10 = 0")).select("seq", "user_id")
+    """A person's own entries, newest first."""
+    return audit.tail(log.where("user_id = 7")).select("seq", "user_id")
 
 
 @query("decisions", sql="select seq, officer from decisions where contains(lower(concat_ws(' ', cast(seq as varchar), cast(pair as varchar), officer, decision)), 'officer1') order by seq limit 300")
@@ -337,11 +337,11 @@ def record_search(log):
     return audit.search(log.select("seq", "pair", "officer", "decision"), "OFFICER1", order="seq").select("seq", "officer")
 
 
-@query("decisions", more="p as (select seq, pair % 260 as pair, case when seq % 2 = 0 then 'accept' else 'reject' end as decision, case when seq % 7 = 0 then 'viewer' when seq % 3 = 0 then 'supervisor' else 'officer' end as role, case when seq % 4 = 0 then '' else 'seen' end as reason, pair % 9 <> 0 as known from decisions), l as (select pair, arg_max(decision, seq) as now, count(*) - 1 as revisions from decisions where seq % 5 = 0 group by pair)",
+@query("decisions", more="p as (select seq, pair % 260 as pair, case when seq % 2 = 0 then 'accept' else 'reject' end as decision, case when seq % 7 = 0 then 'viewer' when seq % 3 = 0 then 'supervisor' else 'officer' end as role, case when seq % 4 = 0 then '' else 'seen' end as reason, pair % 9 <> 0 as known from decisions), l as (select pair, arg_max(decision, seq) as now, count(*) - 1 as revisions from decisions group by pair)",
        sql="select seq, case when not known then 404 when role = 'viewer' then 403 when now is null then 201 when now = decision then 200 when role <> 'supervisor' then 403 when trim(reason) = '' then 400 when revisions >= 4 then 409 else 201 end as status from p left join l using (pair)")
 def decision_status(log):
     p = log.selectExpr("seq", "pair % 260 as pair", "case when seq % 2 = 0 then 'accept' else 'reject' end as decision", "case when seq % 7 = 0 then 'viewer' when seq % 3 = 0 then 'supervisor' else 'officer' end as role", "case when seq % 4 = 0 then '' else 'seen' end as reason", "pair % 9 <> 0 as known")
-    return audit.judged(p, log.where("seq % 5 = 0")).select("seq", "status")
+    return audit.judged(p, log).select("seq", "status")
 
 
 # --- rasters ---------------------------------------------------------------------------------------------------------
