@@ -1,38 +1,102 @@
+"""Each stage against a plain version of itself, on all that the stage before kept."""
+
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from landlace.llm import decontam, pii, simhash
-from landlace.llm.queries import queries
-
-
-def test_stages(spark, sf, documents):
-    docs = documents
-    seen = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf).cache()
-        assert out.columns == documents.columns, name
-        ids, before = [{r[0] for r in df.select("doc_id").collect()} for df in (out, docs)]
-        assert ids <= before
-        if name == "near_dedup":
-            assert simhash.classes(out).where("doc_id <> component_id").isEmpty()
-        if name == "decontaminate":
-            assert decontam.contaminated(out, spark.read.parquet(f"{sf}/benchmark.parquet")).isEmpty()
-        if name == "redact":
-            assert ids == before and all(not pii.base_spans(r["text"]) for r in out.collect())
-            assert out.where("n_chars <> length(text)").isEmpty()
-        docs = out
-        seen.append(docs.count())
-    assert seen[0] > seen[1] > seen[2] > seen[3] == seen[4] > 0
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert {r[0] for r in last.select("doc_id").distinct().collect()} == {r[0] for r in docs.select("doc_id").collect()}
-
-
-def test_run(spark, sf):
-    assert corpus_pipeline.run(spark, sf).count() > 0
+from landlace.llm import common, decontam, pii, quality
+from landlace.llm.queries import oracle_sql, queries
+from tests.llm.test_simhash import plain_classes
+from tests.llm.test_storage_ops import check_packing
+from tests.llm.test_text_ops import plain_spans
+
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf, documents):
+    """What goes into each stage and what comes out, by name."""
+    out, docs = {}, documents
+    for name, stage in corpus_pipeline.STAGES:
+        after = common.written(stage(spark, docs, sf), f"{common.shared_dir(spark)}/{name}")
+        out[name] = (docs, after)
+        docs = after
+    return out
+
+
+def texts(df):
+    return {r["doc_id"]: r["text"] for r in df.collect()}
+
+
+def test_order_and_columns(stages, documents):
+    assert list(stages) == ["quality", "near_dedup", "decontaminate", "redact", "pack"]
+    for name in list(stages)[:-1]:
+        assert stages[name][1].columns == documents.columns
+    sizes = [stages[n][1].count() for n in list(stages)[:-1]]
+    assert documents.count() > sizes[0] > sizes[1] > sizes[2] == sizes[3] > 0
+
+
+def test_quality(stages, labels):
+    before, after = stages["quality"]
+    scorer = quality.fit(before, labels).scorer()
+    assert set(texts(after)) == {d for d, t in texts(before).items() if scorer.score(t) >= 0.7}
+
+
+def test_near_dedup(stages):
+    before, after = (texts(x) for x in stages["near_dedup"])
+    assert set(after) == {d for d, _, least in plain_classes(list(before.items())) if d == least}
+
+
+def test_decontaminate(stages, spark, sf):
+    before, after = (texts(x) for x in stages["decontaminate"])
+    items = [decontam.normal(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = {d for d, t in before.items() if not any(decontam.myers(p, decontam.normal(t))[0] <= decontam.budget(len(p)) for p in items)}
+    assert set(after) == clean
+
+
+def test_redact(stages):
+    before, after = stages["redact"]
+    model = pii.fit(before)
+    new = texts(after)
+    for d, t in texts(before).items():
+        spans = plain_spans(t)
+        assert new[d] == pii.masked(t, sorted(spans + model.added(t, spans)))
+    assert after.where("n_chars <> length(text)").isEmpty()
+
+
+def test_pack(stages):
+    before, after = stages["pack"]
+    assert check_packing(after.collect(), list(texts(before).items()), 1) < 0.1
+
+
+def test_odd_rows(spark, sf, odd, empty):
+    for df in (odd, empty):
+        docs = df
+        for name, stage in corpus_pipeline.STAGES:
+            docs = common.written(stage(spark, docs, sf), f"{common.shared_dir(spark)}/{name}")
+    assert docs.isEmpty()
+
+
+def test_run(spark, sf, stages):
+    got = corpus_pipeline.run(spark, sf)
+    assert got.agg(F.sum("length")).first()[0] == stages["pack"][1].agg(F.sum("length")).first()[0]
 
 
 def test_queries(spark, sf):
     n = spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert set(oracle_sql()) <= set(queries())
     for name, q in queries().items():
         out = q(spark, sf)
         assert "doc_id" in out.columns
         if name not in ("op1_decontam", "op8_packing"):
             assert out.count() == n, name
+
+
+def test_backoff_sql(spark, sf):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    want = sorted(tuple(r) for r in c.execute(oracle_sql()["op2_backoff"]).fetchall())
+    got = sorted(tuple(r) for r in queries()["op2_backoff"](spark, sf).collect())
+    assert got == want
