@@ -12,12 +12,12 @@ columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,51 +77,83 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             yield {"doc_id": b.column("doc_id"), "label": b.column("label"), "words": [sorted(set(words(t))) for t in b.column("text").to_pylist()]}
 
     got = map_batches(sample.select("doc_id", "label", "text"), run, "doc_id long, label int, words array<string>").orderBy("doc_id").toArrow()
-    return learn(got.column("words").to_pylist(), np.array(got.column("label").to_pylist(), float), per_class.get(1, 0) / max(1, sum(per_class.values())))
+    table = got.combine_chunks()
+    lists = table.column("words").combine_chunks()
+    words_ = pc.dictionary_encode(lists.values)
+    vocab = words_.dictionary.to_pylist()
+    ids, ends = words_.indices.to_numpy(), lists.offsets.to_numpy()
+    y = np.array(table.column("label").to_pylist(), float)
+    del got, table, lists, words_
+    return learn(vocab, ids, ends, y, per_class.get(1, 0) / max(1, sum(per_class.values())))
 
 
-def learn(texts: list[list[str]], y: np.ndarray, toxic_share: float | None = None, swap: float = 10.0, ridge: float = 0.02, far: float = 5.0, most: int = 600, rounds: int = 25) -> Model:
+def numbered(texts: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(vocabulary, word numbers of all texts, where each text begins and the last ends)."""
+    vocab = sorted({w for t in texts for w in t})
+    at = {w: i for i, w in enumerate(vocab)}
+    return vocab, np.array([at[w] for t in texts for w in t], int), np.cumsum([0, *map(len, texts)])
+
+
+def learn(vocab: list[str], ids: np.ndarray, ends: np.ndarray, y: np.ndarray, toxic_share: float | None = None, swap: float = 10.0, ridge: float = 0.02, far: float = 5.0, most: int = 600, rounds: int = 25) -> Model:
+    """Fit from texts as numbers of their different words: text k has ids[ends[k]:ends[k + 1]]."""
     if not len(y) or y.min() == y.max():
         return Model({}, 30.0 if len(y) and y.max() else -30.0)
     share = y.mean() if toxic_share is None else toxic_share
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    sets = [{f for w in t for f in features(w)} for t in texts]
-    seen, toxic = Counter(), Counter()
-    for s, k in zip(sets, y, strict=True):
-        seen.update(s)
-        if k:
-            toxic.update(s)
     n, n1 = len(y), y.sum()
-
-    def chance(f: str) -> float:
-        p = seen[f] / n
-        return (toxic[f] / n1 - (seen[f] - toxic[f]) / (n - n1)) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)) + 1e-12)
-
+    text = np.repeat(np.arange(n), np.diff(ends))
     terms = [t for own in IDENTITY for t in own]
-    far_off = {f: v for f, k in seen.items() if k >= 8 and (v := abs(chance(f))) >= far}
-    chosen = sorted({*sorted(far_off, key=lambda f: (-far_off[f], f))[:most], *(f for t in terms for f in features(t) if f in seen)})
-    at = {f: i for i, f in enumerate(chosen)}
-    rows, cols = np.array([(r, at[f]) for r, s in enumerate(sets) for f in sorted(s & at.keys())], int).reshape(-1, 2).T
+    named = {f for t in terms for f in features(t)}
+    chosen: list[tuple[float, str]] = []
+    kept: dict[str, np.ndarray] = {}
+    # One kind of feature after another: words, then beginnings by length; each is a number of a text's words.
+    for k in (None, 4, 5, 6):
+        names = [w if k is None else f"{w[:k]}*" if len(w) >= k else "" for w in vocab]
+        number: dict[str, int] = {}
+        of = np.array([number.setdefault(f, len(number)) for f in names])
+        pairs = np.unique(text * len(number) + of[ids])  # a feature counts once in a text
+        where, what = pairs // len(number), pairs % len(number)
+        seen, toxic = np.bincount(what, minlength=len(number)), np.bincount(what, y[where], len(number))
+        p = seen / n
+        chance = np.abs(toxic / n1 - (seen - toxic) / (n - n1)) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)) + 1e-12)
+        order = np.argsort(what, kind="stable")
+        cut = np.searchsorted(what[order], np.arange(len(number) + 1))
+        for f, j in number.items():
+            if f and ((seen[j] >= 8 and chance[j] >= far) or f in named):
+                chosen.append((np.inf if f in named else chance[j], f))
+                kept[f] = where[order[cut[j] : cut[j + 1]]]
+        del names, number, of, pairs, where, what
+    best = sorted(f for _, f in sorted(chosen, key=lambda c: (-c[0], c[1]))[: most + sum(f in named for _, f in chosen)])
+    at = {f: i for i, f in enumerate(best)}
+    x = np.zeros((n, len(at) + 1), np.float32)
+    for f, i in at.items():
+        x[kept[f], i] = 1.0
+    x[:, -1] = 1.0
     # Differences of feature vectors under a swap; texts that name no group get a neutral mention of one.
-    pairs: list[dict[int, float]] = []
-    for r, t in enumerate(texts):
-        named = [w for w in t if w in set(terms)]
-        for gone, come in swaps(named) or [((), features(terms[r % len(terms)]))]:
-            pairs.append({at[f]: v for v, fs in ((1.0, gone), (-1.0, come)) for f in fs if f in at and not (f in gone and f in come)})
-    prow, pcol, pval = (np.array([(r, c, v) for r, d in enumerate(pairs) for c, v in d.items()], float).reshape(-1, 3).T) if pairs else np.zeros((3, 0))
-    prow, pcol = prow.astype(int), pcol.astype(int)
-    m, hold = len(chosen), np.full(len(chosen) + 1, ridge)
-    hold[-1] = 0.0
-    x = np.zeros((n, m + 1))
-    x[rows, cols], x[:, -1] = 1.0, 1.0
-    d = np.zeros((len(pairs), m))
-    np.add.at(d, (prow, pcol), pval)
-    fixed = np.diag(hold)
-    fixed[:m, :m] += 2 * swap * (d.T @ d)
+    group = {w: i for i, w in enumerate(vocab) if w in set(terms)}
+    has: dict[int, list[str]] = {}
+    for w, i in group.items():
+        for r in text[ids == i].tolist():
+            has.setdefault(r, []).append(w)
+    rows = []
+    for r in range(n):
+        for gone, come in swaps(has[r]) if r in has else [((), features(terms[r % len(terms)]))]:
+            d = {at[f]: v for v, fs in ((1.0, gone), (-1.0, come)) for f in fs if f in at and not (f in gone and f in come)}
+            if d:
+                rows.append(d)
+    m = len(at)
+    fixed = np.diag(np.append(np.full(m, ridge), 0.0))
+    for d in rows:
+        c, v = np.array(list(d), int), np.array(list(d.values()))
+        fixed[np.ix_(c, c)] += 2 * swap * np.outer(v, v)
     w = np.append(np.zeros(m), np.log(share / (1 - share)))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + fixed + 1e-9 * np.eye(m + 1), x.T @ (weight * (p - y)) + fixed @ w)
+        h = fixed + 1e-9 * np.eye(m + 1)
+        for a in range(0, n, 1000):  # in parts, so the weighted copy stays small
+            part, curve = x[a : a + 1000], (weight * p * (1 - p))[a : a + 1000]
+            h += (part * curve[:, None].astype(np.float32)).T @ part
+        step = np.linalg.solve(h, x.T @ (weight * (p - y)) + fixed @ w)
         w -= np.clip(step, -2, 2)
         if abs(step).max() < 1e-6:
             break
