@@ -364,9 +364,13 @@ def raster_opened(pixels):
     return raster.opened(raster.masks(pixels))
 
 
-@query("pixels")
+_OPENED = f"{_DRIFT}, m as (select * from mk where change is not null), w as (select a.change, a.r, a.q from m a where (select count(*) from m b where b.change = a.change and b.r - a.r in (0, 1) and b.q - a.q in (0, 1)) = 4), o as (select distinct w.change, w.r + i as r, w.q + j as q from w, (values (0), (1)) x(i), (values (0), (1)) y(j))"
+
+
+@query("pixels", more=f"{_OPENED}, f as (with recursive reach as (select change, r, q, r as r0, q as q0 from o union select o.change, o.r, o.q, reach.r0, reach.q0 from reach join o on o.change = reach.change and abs(o.r - reach.r) + abs(o.q - reach.q) = 1) select * from reach), n as (select change, r, q, min(lpad(cast(r0 as varchar), 9, '0') || ':' || lpad(cast(q0 as varchar), 9, '0')) as first from f group by 1, 2, 3)",
+       sql="select change, change || ':' || first as part, count(*) as n_pixels, count(*) * 16.0::double as area_m2 from n group by 1, 2 having count(*) >= 8")
 def raster_components(pixels):
-    """Compact clusters of change; checked by tests against a flood fill."""
+    """Compact clusters of change."""
     return raster.clusters(pixels)
 
 
@@ -401,9 +405,12 @@ def csv_export(a):
     return csv_lines(a, ["a_id", "owner", "error_type", "officer"])
 
 
-@query("layer_a")
+_DIGITS = " || ".join(f"cast(((x >> {i}) & 1) + 2 * ((y >> {i}) & 1) as varchar)" for i in range(8, -1, -1))
+
+
+@query("layer_a", more="c as (select a_id, (y1 + y2) / 2 / 1000.0 + 10 as lat, (x1 + x2) / 2 / 1000.0 + 78 as lon from layer_a), t as (select a_id, cast(floor((lon + 180) / 360 * 512) as int) as x, cast(floor((0.5 - ln((1 + sin(radians(lat))) / (1 - sin(radians(lat)))) / (4 * pi())) * 512) as int) as y from c)", sql=f"select a_id, {_DIGITS} as quadkey from t")
 def quadkey(a):
-    """Map tile of each parcel's centre, read as degrees; checked by tests."""
+    """Map tile of each parcel's centre, read as degrees."""
     x, y = boxes.centre()
     return a.select("a_id", projection.quadkey((y / 1000.0) + 10, (x / 1000.0) + 78, 9).alias("quadkey"))
 
@@ -449,11 +456,13 @@ def shap_topk(a, b, truth):
     return learn.contributions(rows.where("iou > 0"), m).select("a_id", "b_id", F.explode("contrib").alias("x")).select("a_id", "b_id", "x.feature", "x.value")
 
 
-@table_query("labels", "documents")
+@table_query("labels", "documents", sql=f"""with s as ({SCORED}), g as (select p, count(*) as n, sum(y) as t, row_number() over (order by p) as i from s group by p), c as (select i, p, n, sum(n) over (order by i) as cn, sum(t) over (order by i) as ct from g),
+  e as (select a.i as a, b.i as b, (b.ct - coalesce(z.ct, 0)) / (b.cn - coalesce(z.cn, 0)) as m from c a join c b on a.i <= b.i left join c z on z.i = a.i - 1), l as (select x.i, e.a, min(e.m) as low from c x join e on e.a <= x.i and e.b >= x.i group by 1, 2)
+  select p, n, round(max(low), 9) as calibrated from c join l using (i) group by p, n""")
 def isotonic_fit(labels, documents):
-    """Calibrated scores; tests hold them against pooling of adjacent violators."""
+    """Calibrated scores: the SQL is the max-min form of the monotone fit."""
     from pyspark.ml.regression import IsotonicRegression
 
     own = scored(labels, documents).select(F.col("y").cast("double").alias("label"), "p")
     m = IsotonicRegression(featuresCol="p", labelCol="label").fit(own)
-    return m.transform(own).groupBy("p").agg(F.count("*").alias("n"), F.first("prediction").alias("calibrated"))
+    return m.transform(own).groupBy("p").agg(F.count("*").alias("n"), F.round(F.first("prediction"), 9).alias("calibrated"))
