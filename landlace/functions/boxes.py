@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -45,13 +45,22 @@ def centre_distance(a: str, b: str) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
 
 
-def to_outline(px: Column, py: Column, p: str) -> Column:
-    """Distance of a point to a box's outline, from within or without."""
-    x1, y1, x2, y2 = corners(p)
-    dx, dy = F.greatest(x1 - px, px - x2, F.lit(0.0)), F.greatest(y1 - py, py - y2, F.lit(0.0))
-    return F.when((dx == 0) & (dy == 0), F.least(px - x1, x2 - px, py - y1, y2 - py)).otherwise(F.sqrt(dx * dx + dy * dy))
-
-
-def hausdorff(a: str, b: str) -> Column:
-    """Largest distance of a corner of either box to the other's outline."""
-    return F.greatest(*(to_outline(F.col(f"{p}{x}"), F.col(f"{p}{y}"), q) for p, q in ((a, b), (b, a)) for x in ("x1", "x2") for y in ("y1", "y2")))
+def with_hausdorff(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """Pairs with the largest distance of a corner of either box to the other's outline.
+
+    A corner's distance splits by axis, so the two offsets and two depths of each axis are worked out once, for all corners;
+    a corner within the box is as far as the nearest side, any other as far as its offsets make it.
+    """
+    zero, parts = F.lit(0.0), {}
+    for p, q in ((a, b), (b, a)):
+        for axis in "xy":
+            low, high = F.col(f"{q}{axis}1"), F.col(f"{q}{axis}2")
+            for i in "12":
+                v = F.col(f"{p}{axis}{i}")
+                parts[f"_{p}{axis}{i}_out"] = F.greatest(low - v, v - high, zero)
+                parts[f"_{p}{axis}{i}_in"] = F.least(v - low, high - v)
+    corners = [(f"_{p}x{i}", f"_{p}y{j}") for p in (a, b) for i in "12" for j in "12"]
+    out = lambda c: F.col(f"{c}_out")
+    beyond = F.sqrt(F.greatest(*[out(x) * out(x) + out(y) * out(y) for x, y in corners]))
+    within = F.greatest(*[F.when((out(x) == 0) & (out(y) == 0), F.least(f"{x}_in", f"{y}_in")).otherwise(zero) for x, y in corners])
+    return pairs.withColumns(parts).withColumn(name, F.greatest(beyond, within)).drop(*parts)

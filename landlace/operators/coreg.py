@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landlace.functions import boxes
-from landlace.operators.spatial_join import mutual_nearest, nearest
+from landlace.operators.spatial_join import mutual_nearest, nearest_growing
 from landlace.workers import settled
 
 
@@ -36,7 +36,7 @@ def local_shift(b: DataFrame, found: DataFrame, k: int = 25, radius: float = 250
     b: b_id, x, y of the shapes as moved so far.
     """
     found = settled(found)
-    near = nearest(b, "b_id", found.select("a_id", F.col("a_x").alias("x"), F.col("a_y").alias("y"), "dx", "dy"), "a_id", radius, k, strict=True)
+    near = nearest_growing(b, "b_id", found.select("a_id", F.col("a_x").alias("x"), F.col("a_y").alias("y"), "dx", "dy"), "a_id", radius, k, first=radius * 0.4)
     own = near.groupBy("a_key").agg(F.count("*").alias("n"), median("b_dx").alias("mx"), median("b_dy").alias("my"))
     whole = F.broadcast(global_shift(found))  # one row
     joined = b.select("b_id").join(own, F.col("b_id") == F.col("a_key"), "left").crossJoin(whole)

@@ -19,12 +19,12 @@ def candidates(a: DataFrame, b: DataFrame, radius: float = 30.0) -> DataFrame:
 def measured(pairs: DataFrame) -> DataFrame:
     """Overlap, distance and size features of pairs of boxes."""
     aa, ab, tiny = boxes.area("a_"), boxes.area("b_"), F.lit(TINY)
-    pairs = pairs.withColumns({"inter": boxes.shared("a_", "b_"), "area_a": aa, "area_b": ab})
+    pairs = boxes.with_hausdorff(pairs, "a_", "b_", "hausdorff").withColumns({"inter": boxes.shared("a_", "b_"), "area_a": aa, "area_b": ab})
     inter, aa, ab = F.col("inter"), F.col("area_a"), F.col("area_b")
     return pairs.withColumns({
         "iou": inter / F.greatest(aa + ab - inter, tiny), "inter_over_a": inter / F.greatest(aa, tiny), "inter_over_b": inter / F.greatest(ab, tiny),
         "centroid_dist": boxes.centre_distance("a_", "b_"), "area_ratio": F.least(aa, ab) / F.greatest(F.greatest(aa, ab), tiny),
-        "hausdorff_norm": boxes.hausdorff("a_", "b_") / F.sqrt(F.greatest(aa, tiny)),
+        "hausdorff_norm": F.col("hausdorff") / F.sqrt(F.greatest(aa, tiny)),
     })
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from landlace.functions import boxes
+from landlace.workers import settled
 
 CELL = 64.0
 
@@ -61,6 +62,16 @@ def nearest(points: DataFrame, point_key: str, to: DataFrame, to_key: str, radiu
     return pairs.withColumn("place", place.cast("long")).where(F.col("place") <= k)
 
 
+def nearest_growing(points: DataFrame, point_key: str, to: DataFrame, to_key: str, radius: float, k: int, first: float) -> DataFrame:
+    """As nearest with a strict radius, for a k that a much smaller circle mostly holds: points that find k within `first` are done,
+    as all nearer ones lie there too, and only the others look further."""
+    points, to = settled(points), settled(to)
+    near = settled(nearest(points, point_key, to, to_key, first, k).where(F.col("dist") < radius))
+    full = near.where(F.col("place") == k).select("a_key")
+    rest = points.join(full, points[point_key] == full["a_key"], "left_anti")
+    return near.join(full, "a_key", "left_semi").unionByName(nearest(rest, point_key, to, to_key, radius, k, strict=True))
+
+
 def mutual_nearest(a: DataFrame, a_key: str, b: DataFrame, b_key: str, max_d: float) -> DataFrame:
     """Pairs that are each other's nearest, closer than max_d. A nearer rival would lie within max_d too, so the bound loses nothing."""
     forth = nearest(a, a_key, b, b_key, max_d, strict=True).select(F.col("a_key").alias(a_key), F.col("b_key").alias(b_key), "dist", F.col("a_x"), F.col("a_y"), F.col("b_x"), F.col("b_y"))
