@@ -26,7 +26,7 @@ from landlace.llm.common import chunks, is_held_out, map_batches
 from landlace.llm.words import words
 
 #: Documented bound of the learning sample, in rows; their whole texts are taken.
-SAMPLE_ROWS = 2_500
+SAMPLE_ROWS = 1_500
 LONGEST, PIECE, MARK = 48, 12, "▁"
 #: Log-probability of a single character that the vocabulary lacks.
 UNKNOWN = -18.0
@@ -198,7 +198,7 @@ class Scorer:
         return langs, scores
 
 
-def fit(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, rounds: int = 3) -> Model:
+def fit(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, rounds: int = 2) -> Model:
     """Learn from text and non-null lang of at most about `rows` rows that aren't held out, chosen by a hash of the id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
     per_lang = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
@@ -221,7 +221,7 @@ def fit(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, rounds: int = 3) ->
     return learn(got.column("lang").to_pylist(), got.column("word").to_pylist(), got.column("n").to_pylist(), per_lang, pieces(path), rounds)
 
 
-def learn(lang: list[str], word: list[str], n: list[int], per_lang: dict[str, int], vocab: list[str], rounds: int = 3) -> Model:
+def learn(lang: list[str], word: list[str], n: list[int], per_lang: dict[str, int], vocab: list[str], rounds: int = 2) -> Model:
     langs = sorted(per_lang)
     col = {x: i for i, x in enumerate(langs)}
     counts: dict[str, np.ndarray] = {}
