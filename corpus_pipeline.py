@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from landlace.llm import decontam, packing, pii, quality, simhash
+from landlace.llm import decontam, packing, pii, quality, similar
 from landlace.llm.common import shared_dir, table, written
 
 
@@ -18,8 +18,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group."""
-    return simhash.dedup(docs, words=4, bits=4)
+    """The document with the smallest id of each near-duplicate group: five-word shingles, Jaccard similarity of 0.8 or more."""
+    return similar.dedup(docs, words=5, tenths=8)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,19 +35,26 @@ SEED = 42
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """Bit i is 1 if set in over half of the XXH64 values (seed 42) of all word shingles, repeats included."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 values (seed 42) of all word shingles, repeats included; none for a blank text."""
     from xxhash import xxh64_intdigest as xxh
 
     parts = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = max(1, len(parts) - words + 1)
     spans = zip(starts[:last].tolist(), ends[min(words, len(parts)) - 1 :].tolist(), strict=True)
-    h = np.fromiter((xxh(joined[a:b], SEED) for a, b in spans), np.uint64, last)
+    return np.fromiter((xxh(joined[a:b], SEED) for a, b in spans), np.uint64, last)
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """Bit i is 1 if set in over half of the XXH64 values (seed 42) of all word shingles, repeats included."""
+    h = shingle_hashes(text, words)
+    if not (last := len(h)):
+        return 0
     counts = np.zeros(64, np.int64)
     for at in range(0, last, 1 << 16):
         part = h[at : at + (1 << 16)]
