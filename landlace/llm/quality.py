@@ -88,17 +88,12 @@ class Scorer:
 
 
 def dictionary(texts: list[bytes], size: int = DICT_BYTES, piece: int = 512) -> bytes:
-    """Raw dictionary content: evenly spread pieces of all texts, as many as fit."""
-    if not texts:
-        return b" " * 8
-    each = max(1, size // piece)
-    out = []
-    for k in range(each):
-        t = texts[k % len(texts)]
-        turn = k // len(texts)
-        start = min(turn * piece, max(0, len(t) - piece))
-        out.append(t[start : start + piece])
-    return b"\n".join(out)[:size]
+    """Raw dictionary content: all texts if they fit, else pieces at even distances over their joined bytes."""
+    joined = b"\n".join(texts)
+    if len(joined) <= size:
+        return joined.ljust(8)
+    starts = np.linspace(0, len(joined) - piece, max(1, size // (piece + 1))).astype(int)
+    return b"\n".join(joined[a : a + piece] for a in starts.tolist())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -126,9 +121,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
 
 
 def learn(texts: list[bytes], y: np.ndarray, good_share: float | None = None) -> Model:
-    """Every second text goes into the dictionaries, the others calibrate; good_share: of good texts among all labelled."""
+    """Every second different text goes into the dictionaries, the others calibrate; good_share: of good texts among all labelled."""
     if not len(y) or y.min() == y.max():
         return Model(constant=float(y.max()) if len(y) else 0.5)
+    once = sorted({x: i for i, x in reversed(list(enumerate(zip(texts, y.tolist(), strict=True))))}.values())  # copies count once
+    texts, y = [texts[i] for i in once], y[once]
     odd = np.arange(len(y)) % 2 == 1
     views = [[t for t, k, o in zip(texts, y, odd, strict=True) if k == v and o] for v in (1, 0)]
     dicts = tuple(dictionary(x, size) or b" " * 8 for view, size in ((bytes, DICT_BYTES), (shape, DICT_BYTES // 4)) for x in [[view(t) for t in v] for v in views])

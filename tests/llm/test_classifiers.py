@@ -143,3 +143,16 @@ def test_dictionaries_differ():
     s = m.scorer()
     assert np.mean([s.score(good()) >= 0.7 for _ in range(100)]) > 0.95 and np.mean([s.score(bad()) < 0.7 for _ in range(100)]) > 0.95
     assert s.features(" \n") is None and s.score(None) == s.score("") == m.blank
+
+
+def test_dictionary_reaches_the_whole_of_all_texts():
+    texts = [b"".join(b"<%d.%d>" % (k, i) for i in range(1200)) for k in range(300)]
+    d = quality.dictionary(texts)
+    assert len(d) <= quality.DICT_BYTES
+    held = {tuple(map(int, x.split(b"."))) for x in __import__("re").findall(rb"<(\d+\.\d+)>", d)}
+    assert max(k for k, _ in held) > 295 and max(i for _, i in held) > 1100 and np.mean([i < 100 for _, i in held]) < 0.2
+
+
+def test_copies_count_once():
+    texts, y = [b"good text %d." % k for k in range(60)] + [b"BAD!! %d" % k for k in range(60)], np.array([1] * 60 + [0] * 60)
+    assert quality.learn(texts + texts[:1] * 500, np.append(y, [1] * 500), 0.5) == quality.learn(texts, y, 0.5)
