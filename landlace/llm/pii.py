@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -98,6 +99,35 @@ def base_spans(text: str | None) -> list[Span]:
     return out
 
 
+def numbers(run: str, at: int) -> list[Span]:
+    """The parts of a run of numbers, `at` in its text, that begin and end at its groups of digits and have the digits of a kind.
+
+    A part's digits are bounded, so the parts grow with the groups alone.
+    """
+    groups = [(m.start(), m.end()) for m in re.finditer("[0-9]+", run)]
+    out: list[Span] = []
+    for i, (first, _) in enumerate(groups):
+        digits = 0
+        for k in range(i, len(groups)):
+            a, z = first, groups[k][1]
+            digits += z - groups[k][0]
+            if digits > 19:
+                break
+            if not i:
+                a = 0
+            elif run[a - 1] == "(" and ")" in run[a:z]:
+                a -= 1
+            if z - a < 7:
+                continue
+            if 13 <= digits <= 19:
+                out.append((2, at + a, at + z))
+            if 7 <= digits <= 15:
+                out.append((3, at + a, at + z))
+            if 4 <= digits <= 12 and run.count(".", a, z) == 3:
+                out.append((1, at + a, at + z))
+    return out
+
+
 def candidates(text: str, base: list[Span]) -> list[Span]:
     """The base spans and what the generators propose besides; they may overlap."""
     out = dict.fromkeys(base)
@@ -105,16 +135,8 @@ def candidates(text: str, base: list[Span]) -> list[Span]:
         out |= dict.fromkeys((0, m.start(), m.end()) for m in SPELT(text))
     if any(d in text for d in "0123456789"):
         for m in LOOSE(text):
-            n = m.end() - m.start()
-            if n < 7 or n > 60:
-                continue
-            digits = sum(map(str.isdigit, m.group()))
-            if 13 <= digits <= 19:
-                out[2, m.start(), m.end()] = None
-            if 7 <= digits <= 15:
-                out[3, m.start(), m.end()] = None
-            if 4 <= digits <= 12 and m.group().count(".") == 3:
-                out[1, m.start(), m.end()] = None
+            if m.end() - m.start() >= 7:
+                out |= dict.fromkeys(numbers(m.group(), m.start()))
     return sorted(out)
 
 
@@ -169,6 +191,25 @@ def written_out(n: int = 400, seed: int = 7) -> list[tuple[str, Span, int]]:
     return out
 
 
+class Taken:
+    """Places that spans hold, to ask whether another one meets them."""
+
+    def __init__(self, places: list[tuple[int, int]]):
+        self.places: list[tuple[int, int]] = []
+        for a, z in places:  # sorted; those that overlap become one
+            if self.places and a < self.places[-1][1]:
+                self.places[-1] = (self.places[-1][0], max(z, self.places[-1][1]))
+            else:
+                self.places.append((a, z))
+
+    def free(self, s: Span) -> bool:
+        k = bisect_left(self.places, (s[2],))
+        return not k or self.places[k - 1][1] <= s[1]
+
+    def add(self, s: Span) -> None:
+        insort(self.places, s[1:])
+
+
 @dataclass(frozen=True)
 class Model:
     trees: Boosted
@@ -177,14 +218,16 @@ class Model:
     def added(self, text: str, base: list[Span]) -> list[Span]:
         """Proposals that reach the threshold of their kind and meet no base span, best first, none overlapping another."""
         taken = sorted((a, z) for _, a, z in base)
-        open_ = [s for s in candidates(text, base) if not any(a < s[2] and s[1] < z for a, z in taken)]
+        held = Taken(taken)
+        open_ = [s for s in candidates(text, base) if held.free(s)]
         if not open_:
             return []
-        p = self.trees.predict(np.array([features(text, s) for s in open_]))
+        p = np.concatenate([self.trees.predict(np.array([features(text, s) for s in open_[i : i + 20_000]])) for i in range(0, len(open_), 20_000)])
         out: list[Span] = []
         for k in np.argsort(-p, kind="stable"):
             s = open_[k]
-            if p[k] >= self.thresholds[s[0]] and not any(a < s[2] and s[1] < z for _, a, z in out):
+            if p[k] >= self.thresholds[s[0]] and held.free(s):
+                held.add(s)
                 out.append(s)
         return out
 

@@ -192,6 +192,21 @@ def test_added_spans(model):
     assert model.spans("mail a.b@c.org, host 10.1.2.3, card 4111 1111 1111 1111, tel +1 (555) 123-4567")[0] == model.spans("mail a.b@c.org, host 10.1.2.3, card 4111 1111 1111 1111, tel +1 (555) 123-4567")[1]
 
 
+def test_numbers_side_by_side(model):
+    found = lambda t: {(pii.KINDS[k], t[a:z]) for k, a, z in model.spans(t)[1]}
+    assert {("card", "7536784127813050"), ("card", "4845168114407329")} <= found("sent 7536784127813050 4845168114407329 today")
+    assert {("phone", "+1 (826) 555-4081"), ("ip", "190.137.223.204")} <= found("see +1 (826) 555-4081 190.137.223.204 there")
+    r, row = random.Random(5), []
+    while len(row) < 12:  # cards whose neighbours make no further valid number with them
+        more = [*row, *("".join(r.choice("0123456789") for _ in range(4)) for _ in range(4))]
+        if all(pii.luhn("".join(more[i : i + 4])) == (i % 4 == 0) for i in range(len(more) - 3)):
+            row = more
+    cards = [" ".join(row[i : i + 4]) for i in range(0, 12, 4)]
+    assert {("card", c) for c in cards} <= found("list: " + " ".join(cards) + " end")
+    long = "1 " * 20_000
+    assert len(pii.candidates(long, [])) < 20 * 20_000
+
+
 def test_masking(model):
     assert pii.masked("a x@y.zz b", [(0, 2, 8)]) == "a [EMAIL] b"
     assert pii.masked("0123456789", [(2, 1, 6), (3, 4, 8)]) == "0[CARD]89"
