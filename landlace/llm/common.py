@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zlib
@@ -35,13 +37,36 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, now) if x)
 
 
+_local: list[str] = []  # the temporary folder of a local session, if one had to be made
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the one the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new folder under the one the cluster shares (spark.checkpoint.dir), in a folder of this application.
+
+    Where that is unset, a local session (one machine, as in tests) gets a temporary folder that goes with the process, and a
+    cluster an error, as no folder of one machine would do.
+    """
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not base and not context.master.startswith("local-") and context.master.startswith("local"):
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="landlace-"))
+            atexit.register(shutil.rmtree, _local[0], ignore_errors=True)
+        base = "file://" + _local[0]
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="landlace-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/landlace-{uuid.uuid4().hex}"
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base.rstrip('/')}/landlace-{context.applicationId}/{uuid.uuid4().hex}"
+
+
+def drop(spark: SparkSession, folder: str) -> None:
+    """Delete a written folder that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Delete all that this application's operators wrote; call it when their results have been read or saved."""
+    drop(spark, shared_dir(spark).rpartition("/")[0])
 
 
 def written(df: DataFrame, folder: str) -> DataFrame:
@@ -59,25 +84,47 @@ def held_out(doc_id: int | None) -> bool:
     return doc_id is None or zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, label) of at most about `rows` labelled rows that aren't held out, chosen by a hash of the id.
+def drawn(key: Column, share: float) -> Column:
+    """Whether a row is in a sample of about `share` of all, by a 64-bit hash of the key."""
+    return F.lit(True) if share >= 1 else F.xxhash64(key) < F.lit(int(share * 2**64) - 2**63)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, size: int) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, label) of at most about `rows` labelled rows that aren't held out and `size` bytes of text, chosen by a hash of the id.
 
     The narrow labels table is counted first; the chosen ids are at most a few times `rows`, so their join
-    is a broadcast of proven size and reads the documents once. Also returns how many labelled rows each class has. Null labels are left out; a repeated id keeps its largest label.
+    is a broadcast of proven size. The rows found are written, so the documents are read once; where their texts have more than `size` bytes,
+    those with the least hashes stay, as many of either class as fit in its part. Also returns how many labelled rows each class has. Null
+    labels are left out; a repeated id keeps its largest label.
     """
+    spark = docs.sparkSession
     fit = labels.where(F.col(label).isNotNull() & ~is_held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     per_class = {r["label"]: r["count"] for r in fit.groupBy("label").count().collect()}
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     keep = F.lit(False)
     for value, n in per_class.items():
-        keep = keep | ((F.col("label") == value) & (draw < F.lit(min(1.0, rows / max(1, len(per_class)) / n))))
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(fit.where(keep)), "doc_id"), per_class
-
-
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, list]]], schema: str) -> DataFrame:
+        keep = keep | ((F.col("label") == value) & drawn(F.col("doc_id"), rows / len(per_class) / n))
+    found = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(fit.where(keep)), "doc_id")
+    found = written(found.select("doc_id", "text", "label"), f"{shared_dir(spark)}/sample")
+    for value in per_class:
+        sizes = found.where(F.col("label") == value).select(F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n")).orderBy("h", "n").collect()
+        held = 0
+        for k, r in enumerate(sizes):
+            held += r["n"]
+            if k and held > size / len(per_class):
+                found = found.where((F.col("label") != value) | (F.xxhash64("doc_id") < F.lit(r["h"])))
+                break
+    return found, per_class
+
+
+def schema_with(schema: T.StructType, more: str) -> T.StructType:
+    """A schema with further columns, whatever its own columns are called."""
+    return T.StructType([*schema.fields, *T._parse_datatype_string(more).fields])
+
+
+def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict[str, list]]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with f giving dicts of columns; rows keep to the order of the schema."""
     ship(df.sparkSession)
-    spark_schema = T._parse_datatype_string(schema)
+    spark_schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(spark_schema)
 
     def run(batches):

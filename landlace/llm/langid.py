@@ -4,8 +4,8 @@ Each language has a probability for every piece of a fixed vocabulary. A word's
 segmentations into pieces (forward algorithm); a text's is the product over its words. Piece probabilities
 come from expectation-maximisation: pieces are counted by how likely each segmentation makes them.
 
-Words are runs of letters in lower case, with the vocabulary's word mark in front; runs of more than LONGEST
-letters are scored in parts of that length, so work stays linear in the length of a text.
+Words are runs of letters in lower case, with the vocabulary's word mark in front. Words of up to SHORT letters are summed many at
+a time; longer ones one by one on a log scale, so no length under- or overflows. Work is linear in a text's length either way.
 
 Defined cases: a null text or one without a letter is `und` with score 0; an empty learning sample predicts `und` for all;
 ties take the language first in the alphabet; a repeated doc_id is predicted row by row; further columns are ignored.
@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landlace.llm.common import chunks, is_held_out, map_batches
+from landlace.llm.common import chunks, drawn, is_held_out, map_batches
 from landlace.llm.words import words
 
-#: Documented bound of the learning sample, in rows; their whole texts are taken.
-SAMPLE_ROWS = 1_500
-LONGEST, PIECE, MARK = 48, 12, "▁"
+#: Documented bound of the learning sample, in rows, and the rows that each language has at least; their whole texts are taken.
+SAMPLE_ROWS, LEAST_ROWS, ROUNDS = 2_500, 100, 3
+SHORT, MARK = 24, "▁"
 #: Log-probability of a single character that the vocabulary lacks.
 UNKNOWN = -18.0
 
@@ -38,11 +38,7 @@ def pieces(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     own = {p.lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and (p := model.id_to_piece(i))}
-    return sorted(p for p in own if len(p) <= PIECE and (p == MARK or p.removeprefix(MARK).isalpha()))
-
-
-def parts(word: str) -> list[str]:
-    return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word), LONGEST)]
+    return sorted(p for p in own if p == MARK or p.removeprefix(MARK).isalpha())
 
 
 @dataclass(frozen=True)
@@ -62,7 +58,7 @@ class Pieces:
     BASE, MIX, WORD = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 1 << 64
 
     def __init__(self, vocab: list[str]):
-        self.n = len(vocab)
+        self.n, self.longest = len(vocab), max(map(len, vocab), default=1)
         number = {p[:k]: -2 for p in vocab for k in range(1, len(p))} | {p: i for i, p in enumerate(vocab)}
         keys, values = np.array([self.hash(p) for p in number], np.uint64), np.fromiter(number.values(), np.int32, len(number))
         self.tables, rest = [], np.arange(len(keys))
@@ -91,14 +87,61 @@ class Pieces:
         return out
 
 
+class Long:
+    """All pieces of one word of any length, summed position by position on a log scale."""
+
+    def __init__(self, word: str, pieces: Pieces):
+        chars = np.array([MARK + word]).view(np.uint32)
+        self.size = len(chars)
+        width = min(pieces.longest, self.size)
+        upto = np.zeros(self.size + 1, np.uint64)
+        base, add = pieces.BASE, (chars.astype(np.uint64) + np.uint64(1)).tolist()
+        h = 0
+        for i, c in enumerate(add, 1):
+            h = (h * base + c) % pieces.WORD
+            upto[i] = h
+        self.piece = np.full((self.size + 1, width), -1, np.int32)  # by end and length less one
+        for k in range(1, width + 1):
+            found = pieces.find(upto[k:] - upto[:-k] * np.uint64(pow(base, k, pieces.WORD)))
+            if k == 1:
+                found[found < 0] = pieces.n
+            self.piece[k:, k - 1] = np.maximum(found, -1)
+
+    def steps(self, logp: np.ndarray):
+        """(end, starts, pieces, their log probabilities) in order of the end."""
+        for e in range(1, self.size + 1):
+            k = np.flatnonzero(self.piece[e] >= 0)
+            own = self.piece[e, k]
+            yield e, e - 1 - k, own, logp[own]
+
+    def forward(self, logp: np.ndarray) -> np.ndarray:
+        alpha = np.zeros((self.size + 1, logp.shape[1]))
+        for e, start, _, lp in self.steps(logp):
+            x = alpha[start] + lp
+            top = x.max(0)
+            alpha[e] = top + np.log(np.exp(x - top).sum(0))
+        return alpha
+
+    def expected(self, logp: np.ndarray, counts: np.ndarray, out: np.ndarray) -> None:
+        """Add the expected piece counts, given how often the word occurs in each language."""
+        alpha = self.forward(logp)
+        beta = np.full_like(alpha, -np.inf)
+        beta[-1] = 0.0
+        for e, start, own, lp in reversed(list(self.steps(logp))):
+            x = beta[e] + lp
+            beta[start] = np.logaddexp(beta[start], x)
+            np.add.at(out, own, counts * np.exp(np.minimum(0.0, alpha[start] + x - alpha[-1])))
+
+
 class Lattice:
     """All pieces of many words, by word length: for each end position the starts, words and pieces that lead there."""
 
     def __init__(self, words: list[str], pieces: Pieces):
         self.n, self.groups = len(words), []
         size = np.fromiter(map(len, words), np.int64, len(words))
-        power = [np.uint64(pow(pieces.BASE, k, pieces.WORD)) for k in range(PIECE + 1)]
-        for n in np.unique(size).tolist():
+        power = [np.uint64(pow(pieces.BASE, k, pieces.WORD)) for k in range(pieces.longest + 1)]
+        self.long = [(i, Long(words[i], pieces)) for i in np.flatnonzero(size > SHORT).tolist()]
+        for n in np.unique(size[size <= SHORT]).tolist():
             which = np.flatnonzero(size == n)
             chars = np.array([words[i] for i in which], f"<U{n}").view(np.uint32).reshape(len(which), n)
             chars = np.concatenate([np.full((len(which), 1), ord(MARK), np.uint32), chars], 1).T.astype(np.uint64) + np.uint64(1)
@@ -108,7 +151,7 @@ class Lattice:
             steps: list[list] = [[] for _ in range(n + 1)]
             for start in range(n + 1):
                 live = np.arange(len(which))
-                for e in range(start + 1, min(n + 1, start + PIECE) + 1):
+                for e in range(start + 1, min(n + 1, start + pieces.longest) + 1):
                     piece = pieces.find(upto[e][live] - upto[start][live] * power[e - start])
                     begins = piece != -1
                     if e == start + 1:
@@ -135,7 +178,10 @@ class Lattice:
         """log of the sum over segmentations, word by language."""
         out = np.zeros((self.n, p.shape[1]))
         for which, steps in self.groups:
-            out[which] = np.log(np.maximum(self.forward(steps, len(which), p)[-1], 1e-300))
+            out[which] = np.log(self.forward(steps, len(which), p)[-1])
+        logp = np.log(p) if self.long else p
+        for i, word in self.long:
+            out[i] = word.forward(logp)[-1]
         return out
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -143,7 +189,7 @@ class Lattice:
         out = np.zeros_like(p)
         for which, steps in self.groups:
             alpha = self.forward(steps, len(which), p)
-            share = counts[which] / np.maximum(alpha[-1], 1e-300)
+            share = counts[which] / alpha[-1]
             beta = np.zeros_like(alpha)
             beta[-1] = 1.0
             for e in range(len(steps), 0, -1):
@@ -151,6 +197,9 @@ class Lattice:
                     back = beta[e, there] * p[piece]
                     beta[start, there] += back
                     np.add.at(out, piece, back * alpha[start, there] * share[there])
+        logp = np.log(p) if self.long else p
+        for i, word in self.long:
+            word.expected(logp, counts[i], out)
         return out
 
 
@@ -173,11 +222,7 @@ class Scorer:
             self.table = np.concatenate([self.table[:at], np.zeros((max(len(new), at), len(self.m.langs)))])
         for i in range(0, len(new), 16384):
             own = new[i : i + 16384]
-            cut = [parts(w) for w in own]
-            flat = [x for c in cut for x in c]
-            scores = Lattice(flat, self.pieces).whole(self.p)
-            of = np.repeat(np.arange(len(own)), [len(c) for c in cut])
-            self.table[at + i : at + i + len(own)] = np.stack([np.bincount(of, scores[:, c], len(own)) for c in range(scores.shape[1])], 1)
+            self.table[at + i : at + i + len(own)] = Lattice(own, self.pieces).whole(self.p)
         self.row.update(zip(new, range(at, at + len(new)), strict=True))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -198,16 +243,15 @@ class Scorer:
         return langs, scores
 
 
-def fit(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, rounds: int = 2) -> Model:
-    """Learn from text and non-null lang of at most about `rows` rows that aren't held out, chosen by a hash of the id."""
+def fit(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, rounds: int = ROUNDS, least: int = LEAST_ROWS) -> Model:
+    """Learn from text and non-null lang of about `rows` rows that aren't held out, `least` of each language, chosen by a hash of the id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
     per_lang = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not per_lang:
         return Model()
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003.0
     keep = F.lit(False)
     for lang, n in per_lang.items():
-        keep = keep | ((F.col("lang") == lang) & (draw < F.lit(min(1.0, rows / len(per_lang) / n))))
+        keep = keep | ((F.col("lang") == lang) & drawn(F.col("doc_id"), max(least, rows / len(per_lang)) / n))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in chunks(batches):
@@ -221,13 +265,12 @@ def fit(docs: DataFrame, path: str, rows: int = SAMPLE_ROWS, rounds: int = 2) ->
     return learn(got.column("lang").to_pylist(), got.column("word").to_pylist(), got.column("n").to_pylist(), per_lang, pieces(path), rounds)
 
 
-def learn(lang: list[str], word: list[str], n: list[int], per_lang: dict[str, int], vocab: list[str], rounds: int = 2) -> Model:
+def learn(lang: list[str], word: list[str], n: list[int], per_lang: dict[str, int], vocab: list[str], rounds: int = ROUNDS) -> Model:
     langs = sorted(per_lang)
     col = {x: i for i, x in enumerate(langs)}
     counts: dict[str, np.ndarray] = {}
     for x, w, k in zip(lang, word, n, strict=True):
-        for part in parts(w):
-            counts.setdefault(part, np.zeros(len(langs)))[col[x]] += k
+        counts.setdefault(w, np.zeros(len(langs)))[col[x]] += k
     table = Pieces(vocab)
     p = np.full((len(vocab) + 1, len(langs)), 1.0 / max(1, len(vocab)))
     p[-1] = np.exp(UNKNOWN)

@@ -1,8 +1,10 @@
 """Quality classifier by compression: zstandard with a dictionary of good text against one of bad text.
 
 A text is cut into blocks of a few kilobytes, each compressed once with either dictionary, so that the dictionaries count
-for the whole of a long text. The feature is the normalised size difference (bad - good) / (bad + good), summed over
-all blocks; a logistic curve fitted on labelled rows that the dictionaries did not see turns it into a score.
+for the whole of a long text. The features are the normalised size difference (bad - good) / (bad + good) of the text and of its
+shape (a second view with dictionaries of its own), over all blocks and in the worst block, and the size under the good
+dictionary by the text's own: text that repeats itself is as small under either dictionary, so that no difference
+shows it. A logistic curve fitted on labelled rows that the dictionaries did not see turns them into a score.
 
 Defined cases: a null or empty text scores `blank`, below every threshold; rows without a label only get scored;
 if the labels have one class only, all scores are that class; an empty table gives no rows; a repeated doc_id is scored
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 
 from landlace.llm.common import chunks, labelled_sample, map_batches
 
-#: Documented bound of the labelled sample, in rows; their whole texts are taken.
-SAMPLE_ROWS = 6_000
+#: Documented bounds of the labelled sample, in rows and in bytes of text; the whole texts of these rows are taken.
+SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 48_000_000
 #: Bytes of a block and of a dictionary, zstandard level, and about what a frame costs besides its content.
 BLOCK, DICT_BYTES, LEVEL, FRAME = 2_048, 112_640, 3, 9
 
@@ -50,6 +52,10 @@ def shape(raw: bytes) -> bytes:
     return raw.translate(SHAPE, NO_SHAPE)
 
 
+#: What the dictionaries are made of and compress: the text itself and its shape, with the bytes of their dictionaries.
+VIEWS = ((bytes, DICT_BYTES), (shape, DICT_BYTES // 4))
+
+
 class Scorer:
     def __init__(self, m: Model):
         import zstandard as z
@@ -59,25 +65,25 @@ class Scorer:
             d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(level=LEVEL)
             self.sizes.append(z.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False).compress)
-        self.plain = z.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False).compress
 
     def features(self, text: str | None) -> list[float] | None:
-        """Normalised size differences (bad - good) / (bad + good) of either view, over the whole text and in its worst
-        block, and how far the text shrinks without a dictionary; None for a blank text."""
+        """Normalised size differences (bad - good) / (bad + good) of either view, over the whole text and in its worst block, and
+        the size under the good dictionary by the text's own; None for a blank text."""
         raw = (text or "").encode("utf-8", "surrogatepass")
         if not raw.strip():
             return None
         rows = []
         for i in range(0, len(raw), BLOCK):
             part = raw[i : i + BLOCK]
-            thin = shape(part)
-            rows.append([len(f(x)) - FRAME for f, x in zip(self.sizes, (part, part, thin, thin), strict=True)] + [len(self.plain(part)) - FRAME, len(part)])
+            views = [x for view, _ in VIEWS for x in [view(part)] * 2]
+            rows.append([len(f(x)) - FRAME for f, x in zip(self.sizes, views, strict=True)] + [len(part)])
         r = np.array(rows, float) + 1
         s = r.sum(0)
-        whole = len(rows) == 1 or rows[-1][-1] >= BLOCK // 4
-        w = r if whole else r[:-1]
+        w = r if len(rows) == 1 or len(part) >= BLOCK // 4 else r[:-1]  # a short last block says little on its own
         diff = lambda m, g, b: (m[..., b] - m[..., g]) / (m[..., b] + m[..., g])
-        return [diff(s, 0, 1), diff(s, 2, 3), diff(w, 2, 3).min(), diff(w, 0, 1).min(), np.log(s[4] / s[5]), np.log(w[:, 4] / w[:, 5]).min(), np.log(s[5])]
+        views = range(0, 2 * len(VIEWS), 2)
+        differences = [x for k in views for x in (diff(s, k, k + 1), diff(w, k, k + 1).min())]
+        return [*differences, np.log(s[0] / s[-1]), np.log(w[:, 0] / w[:, -1]).min(), np.log(w[:, 0] / w[:, -1]).max()]
 
     def score(self, text: str | None) -> float:
         if self.m.constant is not None:
@@ -112,9 +118,9 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.
     return w[:-1] / sd, float(w[-1] - (w[:-1] / sd) @ mean)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from at most about `rows` labelled rows that aren't held out, the same number of each class."""
-    sample, per_class = labelled_sample(docs, labels, "quality", rows)
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model:
+    """Learn from at most about `rows` labelled rows that aren't held out, and `size` bytes of text, the same number of each class."""
+    sample, per_class = labelled_sample(docs, labels, "quality", rows, size)
     sample = sample.select("label", F.crc32(F.col("text").cast("binary")).alias("turn"), "text")
     got = sample.where(F.trim("text") != "").orderBy("turn", "text").toArrow()
     return learn([t.encode("utf-8", "surrogatepass") for t in got.column("text").to_pylist()], np.array(got.column("label").to_pylist(), int), per_class.get(1, 0) / max(1, sum(per_class.values())))
@@ -128,7 +134,7 @@ def learn(texts: list[bytes], y: np.ndarray, good_share: float | None = None) ->
     texts, y = [texts[i] for i in once], y[once]
     odd = np.arange(len(y)) % 2 == 1
     views = [[t for t, k, o in zip(texts, y, odd, strict=True) if k == v and o] for v in (1, 0)]
-    dicts = tuple(dictionary(x, size) or b" " * 8 for view, size in ((bytes, DICT_BYTES), (shape, DICT_BYTES // 4)) for x in [[view(t) for t in v] for v in views])
+    dicts = tuple(dictionary(x, size) or b" " * 8 for view, size in VIEWS for x in [[view(t) for t in v] for v in views])
     scorer = Model(dicts).scorer()
     got = [(scorer.features(t.decode("utf-8", "replace")), k) for t, k, o in zip(texts, y, odd, strict=True) if not o]
     x, own = np.array([f for f, _ in got if f]), np.array([float(k) for f, k in got if f])
@@ -161,4 +167,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFram
             kept = b.filter(pa.array([scorer.score(t) >= threshold for t in b.column("text").to_pylist()], pa.bool_()))
             yield {c: kept.column(i) for i, c in enumerate(columns)}
 
-    return map_batches(docs, run, docs.schema.simpleString()[7:-1])
+    return map_batches(docs, run, docs.schema)

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from landlace.llm.common import chunks, labelled_sample, map_batches
 from landlace.llm.words import words
 
-#: Documented bound of the labelled sample, in rows; their whole texts are taken.
-SAMPLE_ROWS = 6_000
+#: Documented bounds of the labelled sample, in rows and in bytes of text; the whole texts of these rows are taken.
+SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 48_000_000
 #: Names of groups that may be swapped for one another, by set.
 IDENTITY = (
     "women men girls boys mujeres hombres femmes hommes frauen männer".split(),
@@ -63,14 +63,28 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
-def swaps(terms: list[str]) -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
-    """For the identity terms of one text: features gone and features come, one swap for each term."""
-    return [(features(t), features(own[(own.index(t) + 1) % len(own)])) for own in IDENTITY for t in terms if t in own]
+#: Each identity term with the one it is swapped for: the next of its set.
+PARTNER = {t: own[(k + 1) % len(own)] for own in IDENTITY for k, t in enumerate(own)}
+TERMS = list(PARTNER)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from at most about `rows` labelled rows that aren't held out; workers reduce each text to its words."""
-    sample, per_class = labelled_sample(docs, labels, "toxic", rows)
+def difference(text: set[str], gone: str | None, come: str) -> dict[str, float]:
+    """Features of the text less features of the text with one word swapped (or put in): what both have, from whatever word, is no difference."""
+    before = {f for w in text for f in features(w)}
+    after = {f for w in (text - {gone}) | {come} for f in features(w)}
+    return dict.fromkeys(before - after, 1.0) | dict.fromkeys(after - before, -1.0)
+
+
+def counterfactuals(text: set[str], number: int) -> list[dict[str, float]]:
+    """One difference for each identity term of a text; for a text that names no group, of a neutral mention (the number-th term)."""
+    if named := sorted(text & PARTNER.keys()):
+        return [difference(text, t, PARTNER[t]) for t in named]
+    return [difference(text, None, TERMS[number % len(TERMS)])]
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model:
+    """Learn from at most about `rows` labelled rows that aren't held out, and `size` bytes of text; workers reduce each text to its words."""
+    sample, per_class = labelled_sample(docs, labels, "toxic", rows, size)
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in chunks(batches):
@@ -102,8 +116,7 @@ def learn(vocab: list[str], ids: np.ndarray, ends: np.ndarray, y: np.ndarray, to
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     n, n1 = len(y), y.sum()
     text = np.repeat(np.arange(n), np.diff(ends))
-    terms = [t for own in IDENTITY for t in own]
-    named = {f for t in terms for f in features(t)}
+    named = {f for t in TERMS for f in features(t)}
     chosen: list[tuple[float, str]] = []
     kept: dict[str, np.ndarray] = {}
     # One kind of feature after another: words, then beginnings by length; each is a number of a text's words.
@@ -130,16 +143,11 @@ def learn(vocab: list[str], ids: np.ndarray, ends: np.ndarray, y: np.ndarray, to
         x[kept[f], i] = 1.0
     x[:, -1] = 1.0
     # Differences of feature vectors under a swap; texts that name no group get a neutral mention of one.
-    group = {w: i for i, w in enumerate(vocab) if w in set(terms)}
-    has: dict[int, list[str]] = {}
-    for w, i in group.items():
-        for r in text[ids == i].tolist():
-            has.setdefault(r, []).append(w)
     rows = []
     for r in range(n):
-        for gone, come in swaps(has[r]) if r in has else [((), features(terms[r % len(terms)]))]:
-            d = {at[f]: v for v, fs in ((1.0, gone), (-1.0, come)) for f in fs if f in at and not (f in gone and f in come)}
-            if d:
+        own = {vocab[i] for i in ids[ends[r] : ends[r + 1]].tolist()}
+        for d in counterfactuals(own, r):
+            if d := {at[f]: v for f, v in d.items() if f in at}:
                 rows.append(d)
     m = len(at)
     fixed = np.diag(np.append(np.full(m, ridge), 0.0))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from landlace.llm import common, langid, quality, tokens, toxicity
@@ -75,7 +76,25 @@ def test_learning_from_nothing(empty, documents, spark):
     assert langid.predict(documents, langid.fit(empty, tokens.public_path("piece_bpe_32k.model"))).where("lang_pred <> 'und'").isEmpty()
 
 
-def test_forward_sums_all_segmentations():
+def test_long_words_keep_their_languages():
+    """No length runs out of the numbers' range, and both ways of summing agree."""
+    vocab = langid.pieces(tokens.public_path("piece_bpe_32k.model"))
+    assert max(map(len, vocab)) > 12 and "authentication" in {v.strip("▁") for v in vocab}
+    table, r = langid.Pieces(vocab), np.random.default_rng(1)
+    p = r.random((len(vocab) + 1, 3)) / len(vocab)
+    p[-1] = np.exp(langid.UNKNOWN)
+    for n in (20, 24, 25, 60, 1000):
+        w = "".join(r.choice(list("abcdefghij"), n))
+        whole = langid.Long(w, table).forward(np.log(p))[-1]
+        assert np.isfinite(whole).all() and len(set(whole.tolist())) == 3
+        if n <= langid.SHORT:
+            assert np.allclose(whole, langid.Lattice([w], table).whole(p)[0])
+    unknown = [langid.Lattice(["\u0e01" * n], table).whole(p)[0] for n in (38, 39, 45)]
+    assert unknown[0][0] > unknown[1][0] > unknown[2][0]
+
+
+@pytest.mark.parametrize("short", [24, 3, 0])
+def test_forward_sums_all_segmentations(short, monkeypatch):
     vocab = ["▁", "a", "b", "ab", "▁a", "ba", "▁ab"]
     table = langid.Pieces(vocab)
     p = np.random.default_rng(0).random((len(vocab) + 1, 2))
@@ -92,6 +111,7 @@ def test_forward_sums_all_segmentations():
                 out += p[-1] * total(s[1:])
         return out
 
+    monkeypatch.setattr(langid, "SHORT", short)
     given = ["ab", "aabb", "c", "abcab", "bababa"]
     got = langid.Lattice(given, table).whole(p)
     assert np.allclose(np.exp(got), [total("▁" + w) for w in given])
@@ -131,6 +151,75 @@ def test_counterfactual_penalty():
     assert fair.scorer().score("such vile things") > 0.5
 
 
+def test_fit_is_the_least_of_the_objective():
+    """Toxicity against a plain version: the objective is written out text by text, and no nearby model does better."""
+    texts, y = toxic_sample()
+    texts = texts[:150] + [["women", "men", "w1"], ["women", "womens"]]
+    y = np.append(y[:150], [0.0, 1.0])
+    m = toxicity.learn(*toxicity.numbered(texts), y, ridge=0.02, swap=10.0, rounds=60)
+    names = sorted(m.weights)
+
+    def objective(w, offset):
+        value = 0.02 / 2 * sum(x * x for x in w.values())
+        for k, t in enumerate(texts):
+            has = lambda ws: sum(w.get(f, 0.0) for f in {f for x in ws for f in toxicity.features(x)})
+            z = offset + has(t)
+            value += np.log1p(np.exp(z)) - y[k] * z
+            named = [x for x in t if x in toxicity.PARTNER]
+            other = [[toxicity.PARTNER[x] if v == x else v for v in t] for x in named] or [[*t, toxicity.TERMS[k % len(toxicity.TERMS)]]]
+            value += sum(10.0 * (has(t) - has(o)) ** 2 for o in other)
+        return value
+
+    best = objective(m.weights, m.offset)
+    for f in names:
+        for step in (-0.05, 0.05):
+            assert objective(m.weights | {f: m.weights[f] + step}, m.offset) > best - 1e-4
+    assert min(objective(m.weights, m.offset + step) for step in (-0.05, 0.05)) > best
+
+
+def test_no_difference_where_the_partner_stands_already():
+    d = toxicity.difference({"women", "men"}, "women", "men")
+    assert set(d) == set(toxicity.features("women")) and set(d.values()) == {1.0}
+    assert "wome*" not in toxicity.difference({"women", "womens"}, "women", "men")
+
+
+def test_score_is_the_size_difference():
+    """Quality against plain calls of the compressor."""
+    import zstandard as z
+
+    texts = [f"A good line, number {k}. It says little.".encode() for k in range(60)] + [f"BAD!! {k} BAD!!".encode() for k in range(60)]
+    m = quality.learn(texts, np.array([1] * 60 + [0] * 60))
+    text = "Some text. " * 700
+
+    def size(part, raw):
+        d = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
+        return len(z.ZstdCompressor(level=quality.LEVEL, dict_data=d, write_content_size=False, write_checksum=False).compress(part)) - quality.FRAME + 1
+
+    raw = text.encode()
+    parts = [raw[i : i + quality.BLOCK] for i in range(0, len(raw), quality.BLOCK)]
+    s = [[size(view(p), d) for p in parts] for d, view in zip(m.dicts, (bytes, bytes, quality.shape, quality.shape), strict=True)]
+    some = slice(None) if len(parts[-1]) >= quality.BLOCK // 4 else slice(len(parts) - 1)
+    x = []
+    for g, b in ((s[0], s[1]), (s[2], s[3])):
+        x += [(sum(b) - sum(g)) / (sum(b) + sum(g)), min((j - i) / (j + i) for i, j in zip(g[some], b[some], strict=True))]
+    rate = [np.log(i / (len(p) + 1)) for i, p in zip(s[0][some], parts[some], strict=True)]
+    x += [np.log(sum(s[0]) / (len(raw) + len(parts))), min(rate), max(rate)]
+    assert np.allclose(m.scorer().features(text), x)
+    assert np.isclose(m.scorer().score(text), 1 / (1 + np.exp(-(np.dot(m.weights, x) + m.offset))))
+
+
+def test_samples_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    whole, per = common.labelled_sample(docs, labels, "toxic", 10_000, 10**9)
+    few, _ = common.labelled_sample(docs, labels, "toxic", 10_000, 40_000)
+    assert whole.count() == sum(per.values()) == sum(not common.held_out(i) for i in range(400))
+    assert sorted(r["count"] for r in few.groupBy("label").count().collect()) == [20, 20]
+    assert 20 < common.labelled_sample(docs, labels, "toxic", 100, 10**9)[0].count() < 180
+    far = spark.range(2_000_000).where(common.drawn(F.col("id"), 1e-5)).count()
+    assert 5 <= far <= 50
+
+
 def test_dictionaries_differ():
     import random
 
