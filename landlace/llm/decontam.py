@@ -8,10 +8,12 @@ each hit that is left.
 
 Texts are compared in lower case with white space runs as one space, as UTF-8 bytes; edits count bytes.
 
-The benchmark is taken in blocks of bounded size, each broadcast in turn against all documents; the documents are
-never shuffled. Defined cases: null or blank texts and items match nothing; items under `least` bytes say
-too little and are left out; repeated documents and items each give their rows; null ids are kept; empty tables give no
-rows; further columns are ignored (or kept, by clean).
+Items under `least` bytes say too little for edits: they are found as whole words in a row, without an edit.
+
+The benchmark's different texts are taken in blocks of bounded size, each broadcast in turn against all documents; the
+documents are never shuffled, and items that share a text meet again only in a join on it. Defined cases: null or
+blank texts and items match nothing; repeated documents and items each give their rows; null ids are kept; empty tables
+give no rows; further columns are ignored (or kept, by clean).
 """
 
 from __future__ import annotations
@@ -68,7 +70,7 @@ def myers(pattern: bytes, text: bytes) -> tuple[int, int]:
 
 @dataclass
 class Items:
-    """A block of the benchmark, cut into pieces and ready to be searched for.
+    """A block of the benchmark, cut into pieces and ready to be searched for; texts under `least` bytes are kept whole.
 
     Pieces lie in groups of up to 64 bytes. As all groups together have one piece more than there are edits,
     some group of g pieces has g - 1 edits at most, and so an unchanged piece.
@@ -77,10 +79,15 @@ class Items:
     ids: list
     texts: list[bytes]
     rate: float = RATE
+    least: int = LEAST
 
     def __post_init__(self):
+        self.short: dict[bytes, list[int]] = {}
         rows, groups = [], []  # item, start, end, group; item, start, end, edits
         for i, t in enumerate(self.texts):
+            if len(t) < self.least or len(t) < WINDOW:
+                self.short.setdefault(t, []).append(i)
+                continue
             n = budget(len(t), self.rate) + 1
             cut = [len(t) * j // n for j in range(n + 1)]
             many = math.ceil(n / max(1, min(n, 60 // (len(t) // n + 1))))
@@ -97,6 +104,7 @@ class Items:
             key |= self.bytes[self.offset[self.item] + self.start + b].astype(np.uint64) << np.uint64(8 * b)
         self.order = np.argsort(key, kind="stable")
         self.key = key[self.order]
+        self.lengths = sorted({t.count(b" ") + 1 for t in self.short})
         self.bits = max(16, int(32 * len(key)).bit_length())
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[(self.key * MIX) >> np.uint64(64 - self.bits)] = True
@@ -155,6 +163,18 @@ class Items:
             out[a : a + step] = best <= edits
         return out
 
+    def whole(self, d: int, text: bytes) -> Iterator[tuple[int, int, int, int, int]]:
+        """find() for the short items: the first place of each that stands in the text word by word."""
+        words, seen = text.split(b" "), set()
+        for k in self.lengths:
+            at = 0
+            for i in range(len(words) - k + 1):
+                run = b" ".join(words[i : i + k])
+                if run in self.short and run not in seen:
+                    seen.add(run)
+                    yield from ((d, item, 0, at, at + len(run)) for item in self.short[run])
+                at += len(words[i]) + 1
+
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(text, item, distance, start, end) of the best passage for each item that a text holds within its budget."""
         starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
@@ -178,25 +198,26 @@ class Items:
             distance, end = myers(own, whole[left : min(high, origin + len(own) + k + k // 2)])
             if distance <= k and distance < best.get((d, i), (k + 1,))[0]:
                 best[d, i] = (distance, max(low, left + end - len(own)) - low, left + end - low)
-        return [(d, i, *x) for (d, i), x in sorted(best.items())]
+        short = [x for d, t in enumerate(texts) for x in self.whole(d, t)] if self.short else []
+        return sorted([(d, i, *x) for (d, i), x in best.items()] + short)
 
 
 def blocks(items: DataFrame, rate: float = RATE, least: int = LEAST, size: int = BLOCK_BYTES) -> Iterator[Items]:
-    """The benchmark (item_id, text) in blocks of about `size` bytes, dealt by a hash of the text; one is on the driver at a time."""
-    own = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
+    """The benchmark's different texts in blocks of about `size` bytes, dealt by a hash; one is on the driver at a time. Ids: digests of the texts."""
+    own = items.select("text").where(F.col("text").isNotNull()).distinct()
     n = max(1, math.ceil((own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / size))
     for k in range(n):
-        rows = own.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).orderBy("item_id", "text").collect()
-        kept = [(r["item_id"], t) for r in rows if len(t := normal(r["text"])) >= least]
+        rows = own.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k).select("text", F.md5(F.col("text").cast("binary")).alias("digest")).orderBy("text").collect()
+        kept = [(r["digest"], t) for r in rows if (t := normal(r["text"]))]
         if kept:
-            yield Items([i for i, _ in kept], [t for _, t in kept], rate)
+            yield Items([i for i, _ in kept], [t for _, t in kept], rate, least)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
     """One row for each document row and item that it holds: doc_id, item_id, distance, item_bytes, and the
     passage's place (from, upto) in the normalised text's bytes, upto being exact."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, item_id long, distance int, item_bytes int, from long, upto long"
+    schema = "doc_id long, digest string, distance int, item_bytes int, from long, upto long"
 
     def of(block: Items) -> DataFrame:
         held = docs.sparkSession.sparkContext.broadcast(block)
@@ -207,17 +228,19 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, least: i
                 ids, texts = b.column("doc_id").to_pylist(), [normal(t) for t in b.column("text").to_pylist()]
                 if rows := block.find(texts):
                     d, i, distance, start, end = zip(*rows, strict=True)
-                    yield {"doc_id": [ids[x] for x in d], "item_id": [block.ids[x] for x in i], "distance": list(distance), "item_bytes": [len(block.texts[x]) for x in i], "from": list(start), "upto": list(end)}
+                    yield {"doc_id": [ids[x] for x in d], "digest": [block.ids[x] for x in i], "distance": list(distance), "item_bytes": [len(block.texts[x]) for x in i], "from": list(start), "upto": list(end)}
 
         return map_batches(own, run, schema)
 
     parts = [of(b) for b in blocks(items, rate, least)]
-    return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+    found = reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], schema)
+    named = items.where(F.col("text").isNotNull()).select(F.md5(F.col("text").cast("binary")).alias("digest"), F.col("item_id").cast("long").alias("item_id"))
+    return found.join(named, "digest").select("doc_id", "item_id", "distance", "item_bytes", "from", "upto")
 
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
     """The rows that hold no item, with all their columns; no shuffle."""
-    columns, schema = docs.columns, docs.schema.simpleString()[7:-1]
+    columns, schema = docs.columns, docs.schema
     for block in blocks(items, rate, least):
         held = docs.sparkSession.sparkContext.broadcast(block)
 

@@ -34,6 +34,8 @@ from landlace.llm.common import chunks, map_batches, runs, shared_dir, written
 ORDER, ALPHA, BITS = 3, 0.4, 60
 #: Bytes of text in a block, and of input for each range of the count table.
 BLOCK, RANGE = 8_000_000, 4_000_000
+#: Ranges that a block or sum of blocks is cut into at a level; beyond them counting takes further levels.
+FAN = 4096
 SEGMENT = 1 << 20
 BASE = 0x9E3779B97F4A7C15
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -111,7 +113,7 @@ def unpacked(b: bytes) -> np.ndarray:
 
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     """The range of the hash that a key lies in: rising with the key."""
-    return ((keys >> np.uint64(BITS - 32)) * np.uint64(ranges)) >> np.uint64(32)
+    return ((keys >> np.uint64(BITS - 32)) * np.uint64(ranges)) >> np.uint64(32)  # up to 2**32 ranges
 
 
 class Block:
@@ -201,16 +203,97 @@ def scores(block: Block, grams: list[list[np.ndarray]], totals: np.ndarray, orde
     return out
 
 
-def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, folder: str | None = None) -> DataFrame:
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different keys, sorted; their summed counts; the place of each key of the parts, one part after the other)."""
+    every = np.concatenate([k for k, _ in parts])
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    first = np.concatenate([[True], every[1:] != every[:-1]])
+    place = np.empty(len(every), np.int64)
+    place[order] = np.cumsum(first) - 1
+    return every[first], np.add.reduceat(np.concatenate([c for _, c in parts])[order], np.flatnonzero(first)), place
+
+
+def _keys(r: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(unpacked(r["keys"]), dtype=np.uint64), unpacked(r["counts"]) + np.uint64(1)
+
+
+def _cut(keys: np.ndarray, counts: np.ndarray, where: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+    """(range, packed keys, packed counts) for each range that sorted keys lie in."""
+    cut = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(keys)]])
+    return [(int(where[a]), packed(np.diff(keys[a:z], prepend=np.uint64(0))), packed(counts[a:z] - 1)) for a, z in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+
+
+PART = "unit long, range long, keys binary, counts binary"
+TOTAL = "unit long, range long, data binary"
+
+
+def totals(parts: DataFrame, ranges: int, folder: str, fan: int, level: int = 0, have: int = 1) -> DataFrame:
+    """The corpus's total of each key of each part: (unit, range, data) for the parts (unit, range, keys, counts), written.
+
+    parts are cut into `have` ranges of the hash. Where that is all the ranges there are, a range's parts meet in one task: one partition
+    of the count table. Else the parts of one range and of `fan` units at most are added up to one part each, cut into up to `fan` times as
+    many ranges, sent a level down, and their totals are taken apart again. So a part sends at most `fan` rows at a level, however
+    many ranges there are, and rows grow as the n-grams do.
+    """
+    spark = parts.sparkSession
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        for number, rows in runs(batches, "range"):
+            _, counts, place = merged([_keys(r) for r in rows])
+            back, at = counts[place], 0
+            for r in rows:
+                n = int.from_bytes(r["keys"][:4], "little")
+                yield {"unit": [r["unit"]], "range": [number], "data": [packed(back[at : at + n] - 1)]}
+                at += n
+
+    if have >= ranges:
+        dealt = parts.repartition(max(shuffles, have), "range").sortWithinPartitions("range", "unit")
+        return written(map_batches(dealt, count, TOTAL), f"{folder}/totals{level}")
+
+    more = min(ranges, have * fan)
+    grouped = parts.withColumn("unit_group", F.pmod(F.xxhash64("unit"), F.lit(max(1, -(-ranges // fan)))))
+    grouped = grouped.withColumn("super", F.xxhash64("range", "unit_group"))
+
+    def add(batches: Iterator[pa.RecordBatch]):
+        for number, rows in runs(batches, "super"):
+            keys, counts, _ = merged([_keys(r) for r in rows])
+            for where, k, c in _cut(keys, counts, range_of(keys, more)):
+                yield {"unit": [number], "range": [where], "keys": [k], "counts": [c]}
+
+    def apart(batches: Iterator[pa.RecordBatch]):
+        for _, rows in runs(batches, "super"):
+            data = [r for r in rows if r["keys"] is None]
+            own = [r for r in rows if r["keys"] is not None]
+            whole = np.concatenate([unpacked(r["data"]) for r in data])
+            keys, _, place = merged([_keys(r) for r in own])
+            if len(keys) != len(whole):
+                raise RuntimeError("the parts of a range changed between two reads")
+            at = 0
+            for r in own:
+                n = int.from_bytes(r["keys"][:4], "little")
+                yield {"unit": [r["unit"]], "range": [r["range"]], "data": [packed(whole[place[at : at + n]])]}
+                at += n
+
+    kept = written(grouped, f"{folder}/parts{level}")
+    wide = max(shuffles, have * max(1, -(-ranges // fan)))
+    sums = map_batches(kept.repartition(wide, "super").sortWithinPartitions("super", "range", "unit"), add, PART)
+    below = totals(sums, ranges, folder, fan, level + 1, more)
+    none = F.lit(None).cast("binary")
+    both = kept.select("super", "unit", "range", "keys", "counts", none.alias("data")).unionAll(below.select(F.col("unit").alias("super"), F.lit(0).cast("long").alias("unit"), "range", none.alias("keys"), none.alias("counts"), "data"))
+    back = both.repartition(wide, "super").sortWithinPartitions("super", "range", "unit")
+    return written(map_batches(back, apart, TOTAL), f"{folder}/totals{level}")
+
+
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, folder: str | None = None, fan: int = FAN) -> DataFrame:
     """doc_id, n_tokens, log_score and mean_log_score for each row."""
     spark = docs.sparkSession
     folder = folder or shared_dir(spark)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = int(str(own._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files, without reading them
-    if size >> 56:  # not known without reading
-        size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(shuffles, min(1 << 20, math.ceil(size / RANGE)))
+    ranges = max(shuffles, math.ceil(size / RANGE))
 
     def blocks(batches: Iterator[pa.RecordBatch]):
         """(number, block): the batches of a task, joined up to about BLOCK bytes."""
@@ -224,53 +307,32 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, folder: str
         if ids:
             yield (own := Block(ids, texts)).number(), own
 
+    first = ranges if ranges <= fan else fan
+
     def explode(batches: Iterator[pa.RecordBatch]):
         for number, block in blocks(batches):
             keys, counts = counted(block.grams(order))
-            where = range_of(keys, ranges)
-            cut = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1, [len(keys)]])
-            spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
-            for i in range(0, len(spans), 16):
-                part = spans[i : i + 16]
-                yield {
-                    "range": [int(where[a]) for a, _ in part], "block": [number] * len(part),
-                    "keys": [packed(np.diff(keys[a:z], prepend=np.uint64(0))) for a, z in part], "counts": [packed(counts[a:z] - 1) for a, z in part],
-                }
-
-    def count(batches: Iterator[pa.RecordBatch]):
-        for number, rows in runs(batches, "range"):
-            keys = [np.cumsum(unpacked(r.pop("keys")), dtype=np.uint64) for r in rows]
-            counts = [unpacked(r.pop("counts")) + np.uint64(1) for r in rows]
-            ends = np.cumsum([0, *map(len, keys)])
-            every = np.concatenate(keys)
-            keys.clear()
-            order_ = np.argsort(every, kind="stable")
-            every = every[order_]
-            first = np.concatenate([[True], every[1:] != every[:-1]])
-            total = np.add.reduceat(np.concatenate(counts)[order_], np.flatnonzero(first))
-            back = np.empty(len(every), np.uint64)
-            back[order_] = total[np.cumsum(first) - 1]
-            for i in range(0, len(rows), 16):
-                part = range(i, min(i + 16, len(rows)))
-                yield {"block": [rows[k]["block"] for k in part], "range": [number] * len(part), "data": [packed(back[ends[k] : ends[k + 1]] - 1) for k in part]}
+            parts = _cut(keys, counts, range_of(keys, first))
+            for i in range(0, len(parts), 16):
+                where, k, c = zip(*parts[i : i + 16], strict=True)
+                yield {"unit": [number] * len(where), "range": list(where), "keys": list(k), "counts": list(c)}
 
     def texts(batches: Iterator[pa.RecordBatch]):
         for number, block in blocks(batches):
-            yield {"block": [number], "range": [-1], "data": [block.dump()]}
+            yield {"unit": [number], "range": [-1], "data": [block.dump()]}
 
     def add_up(batches: Iterator[pa.RecordBatch]):
-        for number, rows in runs(batches, "block"):
+        for number, rows in runs(batches, "unit"):
             copies = sum(r["range"] < 0 for r in rows)  # more than one where whole blocks repeat, which then have equal counts
             if not copies or (len(rows) - copies) % copies:
                 raise RuntimeError(f"block {number} has counts but no text: the documents changed between two reads")
             block = Block.load(rows[0]["data"])
-            totals = np.concatenate([unpacked(r["data"]) for r in rows[copies::copies]]) + np.uint64(1)
+            found = np.concatenate([unpacked(r["data"]) for r in rows[copies::copies]]) + np.uint64(1)
             rows.clear()
-            n, log = zip(*scores(block, block.grams(order), totals, order, alpha), strict=True)
+            n, log = zip(*scores(block, block.grams(order), found, order, alpha), strict=True)
             yield {"doc_id": block.doc_ids * copies, "n_tokens": list(n) * copies, "log_score": list(log) * copies, "mean_log_score": [x / k if k else None for k, x in zip(n, log, strict=True)] * copies}
 
-    exploded = map_batches(own, explode, "range int, block long, keys binary, counts binary")
-    totals = map_batches(exploded.repartition(ranges, "range").sortWithinPartitions("range", "block"), count, "block long, range int, data binary")
-    both = written(totals, f"{folder}/totals").unionAll(map_batches(own, texts, "block long, range int, data binary"))
-    joined = both.repartition(max(shuffles, math.ceil(size / BLOCK)), "block").sortWithinPartitions("block", "range")
+    counts = totals(map_batches(own, explode, PART), ranges, folder, fan, 0, first)
+    both = counts.unionAll(map_batches(own, texts, TOTAL))
+    joined = both.repartition(max(shuffles, math.ceil(size / BLOCK)), "unit").sortWithinPartitions("unit", "range")
     return map_batches(joined, add_up, "doc_id long, n_tokens long, log_score double, mean_log_score double")

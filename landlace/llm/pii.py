@@ -4,7 +4,8 @@ The base spans (fixed patterns with their checks) always stay. The generators al
 with at and dot, card and phone numbers with other separators or without a plus sign, dotted quads next to a port. Each
 proposal has features of its format (digits, checksum, groups, separators) and its context (neighbouring characters and
 words). The trees learn from proposals on a bounded sample of documents, where a base span of the same kind is the
-positive class, and from formats that are written out for every kind. For each kind the threshold is the
+positive class and one that can't be personal data the negative, and from formats that are written out for every kind;
+proposals that may be either are left out. For each kind the threshold is the
 lowest at which the calibration half reaches the wanted precision.
 
 Positions are code points, ends exclusive. Defined cases: a null or empty text has no spans; a failing match is dropped
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landlace.llm.boosting import Boosted
-from landlace.llm.common import chunks, is_held_out, map_batches
+from landlace.llm.common import chunks, drawn, is_held_out, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # kind, start, end
@@ -40,7 +41,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*").finditer
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+").finditer
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
-SPELT = re.compile(r"[A-Za-z0-9._%+-]{1,64}(?: ?[(\[{] ?at ?[)\]}] ?| at )[A-Za-z0-9-]{1,64}(?:(?: ?[(\[{] ?dot ?[)\]}] ?| dot )[A-Za-z0-9-]{1,64}){1,4}", re.I).finditer
+AT = re.compile(r" ?[(\[{] ?at ?[)\]}] ?| at ", re.I).finditer
+SPELT = re.compile(r"[A-Za-z0-9-]+(?:(?: ?[(\[{] ?dot ?[)\]}] ?| dot )[A-Za-z0-9-]+)+", re.I).match
 LOOSE = re.compile(r"\+?\(?[0-9](?:[ ().\-/ ]{0,2}[0-9])+").finditer
 NEAR = [re.compile(p, re.I).search for p in (r"phone|tel|call|mobile|fax", r"card|visa|credit|account", r"\bip\b|host|server|addr", r"mail|contact|write", r"token|key|hash|id\b|no\.|number|order")]
 
@@ -66,6 +68,21 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def spelt(text: str) -> list[tuple[int, int]]:
+    """Addresses with at and dot as words, of any length, found from the at: leftmost and non-overlapping."""
+    out, free = [], 0
+    for m in AT(text):
+        start = m.start()
+        while start > free and LOCAL.match(text[start - 1]):
+            start -= 1
+        if start < m.start() and (host := SPELT(text, m.end())):
+            out.append((start, host.end()))
+            free = host.end()
+        else:
+            free = max(free, m.start())
+    return out
+
+
 def ips(text: str) -> list[tuple[int, int]]:
     """Four dotted parts, from chains of dotted numbers; parts of more than 255 fail."""
     out = []
@@ -131,8 +148,7 @@ def numbers(run: str, at: int) -> list[Span]:
 def candidates(text: str, base: list[Span]) -> list[Span]:
     """The base spans and what the generators propose besides; they may overlap."""
     out = dict.fromkeys(base)
-    if " dot" in text or "dot)" in text or "dot]" in text or "DOT" in text or " Dot" in text:
-        out |= dict.fromkeys((0, m.start(), m.end()) for m in SPELT(text))
+    out |= dict.fromkeys((0, a, z) for a, z in spelt(text))
     if any(d in text for d in "0123456789"):
         for m in LOOSE(text):
             if m.end() - m.start() >= 7:
@@ -158,6 +174,17 @@ def features(text: str, span: Span) -> list[float]:
     ]
 
 
+def plausible(text: str, span: Span) -> bool:
+    """Whether a proposal outside the base may well be personal data: nothing says that it isn't, so it is no negative."""
+    kind, s = span[0], text[span[1] : span[2]]
+    digits = "".join(c for c in s if "0" <= c <= "9")
+    if kind == 0:
+        return True
+    if kind == 1:
+        return all(len(p) <= 3 and int(p) <= 255 for p in re.findall("[0-9]+", s))
+    return luhn(digits) if kind == 2 else s[0] in "+("
+
+
 def written_out(n: int = 400, seed: int = 7) -> list[tuple[str, Span, int]]:
     """(text, span, class): for each kind formats that carry personal data, and look-alikes that don't."""
     r = random.Random(seed)
@@ -244,17 +271,18 @@ def joined(spans: list[Span]) -> str:
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Train on the proposals of about `rows` documents that aren't held out, chosen by a hash of the id, and the written-out formats."""
     total = docs.count()
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1_000_003)) / 1_000_003.0
-    sample = docs.where(F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")) & (draw < F.lit(min(1.0, rows / max(1, total)))))
+    sample = docs.where(F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")) & drawn(F.col("doc_id").cast("long"), rows / max(1, total)))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in chunks(batches):
             x, y = [], []
             for t in b.column("text").to_pylist():
                 base = base_spans(t)
+                known = set(base)
                 for s in candidates(t, base):
-                    x.append(features(t, s))
-                    y.append(int(s in base))
+                    if s in known or not plausible(t, s):
+                        x.append(features(t, s))
+                        y.append(int(s in known))
             yield {"x": x, "y": y}
 
     got = map_batches(sample.select("text"), run, "x array<double>, y int").toArrow()
@@ -316,7 +344,7 @@ def redact(docs: DataFrame, model: Model) -> DataFrame:
                 out["n_chars"] = [None if t is None else len(t) for t in out["text"]]
             yield out
 
-    return map_batches(docs, run, docs.schema.simpleString()[7:-1])
+    return map_batches(docs, run, docs.schema)
 
 
 def digest(text: str) -> str:

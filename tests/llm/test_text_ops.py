@@ -79,10 +79,27 @@ def _in_blocks(documents, bench):
 def test_odd_decontamination(spark, odd, empty):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (4, "lorem ipsum dolor lorem ipsum dolor"), (4, "ONE two  three four five six seven eight"), (None, "another text under the same id")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontam.contaminated(odd, bench).collect()}
-    assert got == {(7, 4, 0)}  # the others are under the least size or too far off
+    assert got == {(7, 4, 0), (4, None, 0)}  # the last one is short and stands there word for word; the others are too far off
     assert decontam.contaminated(odd, bench, least=20).where("item_id is null and doc_id = 4").count() == 1
     assert decontam.contaminated(empty, bench).count() == 0 and decontam.contaminated(odd, bench.limit(0)).count() == 0
-    assert decontam.clean(odd, bench).count() == odd.count() - 1
+    assert decontam.clean(odd, bench).count() == odd.count() - 2
+    spaced = decontam.clean(odd.withColumnRenamed("fp", "my col"), bench)
+    assert "my col" in spaced.columns and spaced.count() == odd.count() - 2
+
+
+def test_short_items(spark):
+    docs = spark.createDataFrame([(1, "so What is  the capital of france? yes"), (2, "what is the capital of france?s"), (3, "paris"), (4, "in paris. or paris")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "What is the capital of France?"), (2, "Paris"), (2, "Paris")], "item_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"], r["distance"], r["from"], r["upto"]) for r in decontam.contaminated(docs, bench).collect())
+    assert got == [(1, 1, 0, 3, 33), (3, 2, 0, 0, 5), (3, 2, 0, 0, 5), (4, 2, 0, 13, 18), (4, 2, 0, 13, 18)]
+
+
+def test_equal_items_are_one(spark, documents):
+    text = documents.where("length(text) > 200").first()["text"][:150]
+    bench = spark.createDataFrame([(i, text) for i in range(3000)], "item_id long, text string")
+    assert [len(b.texts) for b in decontam.blocks(bench, size=2_000)] == [1]
+    one = documents.where(documents.text.startswith(text)).limit(1)
+    assert decontam.contaminated(one, bench).count() == 3000
 
 
 # --- language model --------------------------------------------------------------------------------------------------
@@ -137,6 +154,15 @@ def test_many_blocks(spark, documents, monkeypatch):
     assert sorted(map(tuple, ngrams.score(documents).collect())) == whole
 
 
+def test_levels_of_counting(documents, monkeypatch):
+    """Ranges far beyond what a block is cut into at once: counts go through several levels, and come out the same."""
+    docs = documents.repartition(3)
+    whole = sorted(map(tuple, ngrams.score(docs).collect()))
+    monkeypatch.setattr(ngrams, "RANGE", 10_000)
+    monkeypatch.setattr(ngrams, "BLOCK", 40_000)
+    assert sorted(map(tuple, ngrams.score(docs, fan=5).collect())) == whole
+
+
 @given(st.lists(st.integers(0, 2**63), max_size=50))
 def test_packed(x):
     assert ngrams.unpacked(ngrams.packed(np.array(x, np.uint64))).tolist() == x
@@ -207,6 +233,15 @@ def test_numbers_side_by_side(model):
     assert len(pii.candidates(long, [])) < 20 * 20_000
 
 
+def test_spelt_addresses():
+    long = "a" * 80
+    for t in ("jane (At)example(Dot)com", "jane{at}host{dot}com", f"{long} (at) {long} dot b dot c dot d dot e dot f dot g"):
+        assert pii.spelt(f"to {t}, now") == [(3, 3 + len(t))]
+    assert pii.spelt("met at noon dot") == [] and pii.spelt("a at b dot c at d dot e") == [(0, 12)]
+    for t in (" at" * 100_000, "a" * 100_000 + " at " + "b" * 100_000, "x(at)" * 50_000):
+        assert pii.spelt(t) == []
+
+
 def test_masking(model):
     assert pii.masked("a x@y.zz b", [(0, 2, 8)]) == "a [EMAIL] b"
     assert pii.masked("0123456789", [(2, 1, 6), (3, 4, 8)]) == "0[CARD]89"
