@@ -26,14 +26,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from landlace.llm.common import chunks, map_batches, shared_dir
+from landlace.llm.common import chunks, map_batches, shared_dir, written
 
 WIDTH, PAD, TAIL, LEVEL = 576, 255, 32, 4
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 #: Elements that end a run of text, that hold none, and that refer to media.
 BREAKS = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
-SILENT = frozenset("script style noscript template title head".split())
+SILENT = frozenset("script style noscript template title".split())
 MEDIA = frozenset("img video audio source embed".split())
 
 
@@ -53,14 +54,18 @@ class _Reader(HTMLParser):
             self.text = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in SILENT:
+        if tag == "body":
+            self.silent = 0  # whatever the head left open ends here
+        elif tag in SILENT:
             self.silent += 1
-        elif tag == "figcaption":
-            self.flush()
-            self.caption = []
-        elif tag == "figure":
+        elif tag in ("figcaption", "figure"):
+            if self.caption is not None:  # one that was left open
+                self.close_caption()
             self.flush()
-            self.figure.append(len(self.out))
+            if tag == "figure":
+                self.figure.append(len(self.out))
+            else:
+                self.caption = []
         elif tag in MEDIA and (ref := dict(attrs).get("src") or dict(attrs).get("data-src")):
             self.flush()
             self.out.append(["media", None, ref.strip(), " ".join((dict(attrs).get("alt") or "").split()) or None])
@@ -74,7 +79,7 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag):
         if tag in SILENT:
             self.silent = max(0, self.silent - 1)
-        elif tag == "figcaption" and self.caption is not None:
+        elif tag in ("figcaption", "figure", "body", "html") and self.caption is not None:  # a caption ends with its figure at the latest
             self.close_caption()
         elif tag in BREAKS:
             self.flush()
@@ -118,8 +123,27 @@ def sequences(pages: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             out = {"position": [i for x in found for i in range(len(x))], "kind": list(kind), "text": list(text), "ref": list(ref), "caption": list(caption)}
             yield out | {c: b.column(c).take(pa.array(of)) for c in ("page_id", *carry)}
 
-    carried = "".join(f", `{c}` {own.schema[c].dataType.simpleString()}" for c in carry)
-    return map_batches(own, run, f"page_id long, position int, kind string, text string, ref string, caption string{carried}")
+    elements_ = T._parse_datatype_string("page_id long, position int, kind string, text string, ref string, caption string")
+    return map_batches(own, run, T.StructType([*elements_.fields, *(own.schema[c] for c in carry)]))
+
+
+def interleaved(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """page_id and elements, one row for each page: its ordered array of (position, kind, text, ref, caption, media_sha256, media_bytes).
+
+    The elements are resolved by digest (`found` as described() gives it). Only media references are joined; texts go
+    past the join. A page is gathered from its own elements, which parsing had in one row before; a page without elements has an empty array.
+    """
+    spark = pages.sparkSession
+    own = pages.select("page_id", "html").withColumn("row", F.monotonically_increasing_id())
+    shown = written(sequences(own, ("row",)), f"{shared_dir(spark)}/elements")
+    none = (F.lit(None).cast("string").alias("media_sha256"), F.lit(None).cast("long").alias("media_bytes"))
+    media = resolve(shown.where("kind = 'media'"), found).select(*shown.columns, "media_sha256", "media_bytes")
+    every = media.unionByName(shown.where("kind <> 'media'").select("*", *none))
+    element = F.struct("position", "kind", "text", "ref", "caption", "media_sha256", "media_bytes")
+    gathered = every.groupBy("page_id", "row").agg(F.sort_array(F.collect_list(element)).alias("elements"))
+    blank = shown.select(F.col("row").alias("seen")).distinct()
+    empty = own.select(F.col("page_id").cast("long").alias("page_id"), "row").join(blank, F.col("row") == F.col("seen"), "left_anti")
+    return gathered.select("page_id", "elements").unionByName(empty.select("page_id", F.array().cast(gathered.schema["elements"].dataType).alias("elements")))
 
 
 # --- media -----------------------------------------------------------------------------------------------------------

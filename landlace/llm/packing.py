@@ -2,9 +2,9 @@
 
 Each task keeps `windows` open windows. A document's full windows leave at once; its rest is placed in the open window
 that it fits best (least space left). When it fits none, the fullest window is emitted: a gap of more than `gap` ids
-is first filled by cutting the piece. At the end of a task its open windows are taken apart, and the pieces of many
-tasks are merged by best fit, largest first, in groups of tasks whose size is bounded; a group's own leftovers are few
-enough for one last merge.
+is first filled by cutting the piece. At the end of a task its open windows are taken apart, and the pieces of a bounded number
+of tasks are merged by best fit, largest first; what is left of them is merged with that of as many other groups, level by
+level, so no task meets the leftovers of all.
 
 One row for each piece: doc_id, start (ids of the document before it), length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -30,7 +30,7 @@ from landlace.llm.common import chunks, map_batches, shared_dir, written
 LENGTH, WINDOWS, GAP, END_ID = 2048, 16, 32, 1
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 NAMES = [x.split()[0] for x in PIECE.split(", ")]
-#: A sequence's number is the task's number shifted by so many bits, plus its own number there; merged ones are negative.
+#: A sequence's number is the task's number shifted by so many bits, plus its own number there; merged ones are negative and hold level, group and number.
 SHIFT = 32
 
 Piece = tuple  # doc_id, start, length, ids_crc32, doc_tokens
@@ -132,12 +132,13 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[str | None], bytes]], l
     first = written(map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, PIECE), f"{folder}/packed")
     done, left = first.where("sequence_id >= 0"), first.where("sequence_id < 0")
 
-    # Leftovers of `group` tasks meet in one; windows of a group that stay under seven eighths full go to the last merge.
-    def merge(batches: Iterator[pa.RecordBatch], last: bool):
+    # Leftovers of `group` tasks meet in one; windows of theirs that stay under seven eighths full go a level up, where the
+    # leftovers of `group` such groups meet, until one group has all that is left.
+    def merge(batches: Iterator[pa.RecordBatch], level: int, last: bool):
         rows: dict[int, list[tuple]] = {}
         for b in batches:
             for r in zip(*(b.column(n).to_pylist() for n in NAMES), strict=True):
-                rows.setdefault(0 if last else (-1 - r[5]) // group, []).append(r[:5])
+                rows.setdefault((-1 - r[5]) // group, []).append(r[:5])
         for g, pieces in sorted(rows.items()):
             pieces.sort(key=lambda p: (p[0] is None, p[0] or 0, p[1], p[3]))
             sizes = np.array([p[2] for p in pieces], np.int64)
@@ -147,18 +148,22 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[str | None], bytes]], l
             order = np.argsort(bins, kind="stable")
             for n, own in enumerate(np.split(order, np.flatnonzero(np.diff(bins[order])) + 1)):
                 if last or full[n] >= length * 7 // 8:
-                    out += _laid(-1 - ((g if not last else (1 << 30)) << SHIFT | n), [pieces[i] for i in own])
+                    out += _laid(-1 - (level << 58 | g << 28 | n), [pieces[i] for i in own])
                 else:
-                    out += [(*pieces[i], 0, -1) for i in own]
+                    out += [(*pieces[i], -1 - g, -1) for i in own]
             yield _columns(out)
 
     tasks = left.select(F.min("sequence_id")).first()[0]
-    if tasks is None:
-        return done
-    groups = -tasks // group + 1
-    level = written(map_batches(left.repartition(groups, F.floor((-1 - F.col("sequence_id")) / group)), lambda b: merge(b, False), PIECE), f"{folder}/merged")
-    rest = map_batches(level.where("offset < 0").coalesce(1), lambda b: merge(b, True), PIECE)
-    return done.unionAll(level.where("offset >= 0")).unionAll(rest)
+    groups, level = -tasks if tasks is not None else 0, 0
+    while groups:
+        groups, level = -(-groups // group), level + 1
+        last = groups == 1
+        met = left.repartition(groups, F.floor((-1 - F.col("sequence_id")) / group))
+        merged = written(map_batches(met, lambda b, level=level, last=last: merge(b, level, last), PIECE), f"{folder}/merged{level}")
+        done, left = done.unionAll(merged.where("offset >= 0")), merged.where("offset < 0")
+        if last:
+            break
+    return done
 
 
 def with_end(path_name: str = "word_bpe_49k.json", end_id: int = END_ID) -> Callable[[], Callable[[str | None], bytes]]:

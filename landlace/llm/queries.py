@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landlace.llm import decontam, langid, media, ngrams, packing, pii, quality, simhash, tokens, tokenstore, toxicity
-from landlace.llm.common import is_held_out, table
+from landlace.llm.common import is_held_out, shared_dir, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -47,6 +47,17 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its ordered elements, with media references resolved against the store of the documents' payloads."""
+    folder = shared_dir(spark)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("key"), F.encode("text", "utf-8").alias("payload"))
+    media.put(docs, f"{folder}/media")
+    found = written(media.described(spark, f"{folder}/media"), f"{folder}/described")
+    out = media.interleaved(table(spark, sf_dir, "pages"), found)
+    kinds = F.concat_ws("", F.transform("elements", lambda e: F.when(e["kind"] == "media", "m").otherwise("t")))
+    return out.select("page_id", F.size("elements").alias("n_elements"), kinds.alias("kinds"), F.sha2(F.to_json("elements"), 256).alias("elements_sha256"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -68,7 +79,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = (op1_decontam, op2_backoff, op3_toxicity, op4_simhash, op5_langid, op6_media, op7_quality, op8_packing, op9_pii, op10_tokens)
+    own = (op1_decontam, op2_backoff, op3_toxicity, op4_simhash, op5_langid, op6_media, op7_quality, op8_packing, op9_pii, op10_tokens, media_pages)
     return {f.__name__: f for f in own}
 
 

@@ -19,6 +19,7 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -33,6 +34,8 @@ from landlace.llm.common import chunks, map_batches, shared_dir
 MAGIC, BLOCK, END_ID = b"TOKBITS1", 4096, 2
 #: A shard is cut after so many ids, so a worker's memory doesn't follow the partition.
 SHARD_IDS = 4_000_000
+#: Bytes of text in a range of doc_id, so ranges become more, not larger, with the data.
+RANGE_BYTES = 64_000_000
 NULL_ID = np.iinfo(np.int64).min
 
 
@@ -102,7 +105,9 @@ def write(docs: DataFrame, encode: Callable[[], Callable[[str | None], bytes]],
     encodes one range in order.
     """
     spark, bits = docs.sparkSession, width(vocabulary)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = 0 if partitions else own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]):
         ids_of, task = encode(), TaskContext.get().partitionId()
@@ -123,7 +128,6 @@ def write(docs: DataFrame, encode: Callable[[], Callable[[str | None], bytes]],
         if names:
             yield shard()
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     path = f"{folder}/tokens"
     map_batches(ordered, run, "shard long, ids long, content binary").write.option("compression", "none").parquet(path)
@@ -133,8 +137,12 @@ def write(docs: DataFrame, encode: Callable[[], Callable[[str | None], bytes]],
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Per document from the files of a store: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     files = spark.read.schema("shard long, ids long, content binary").parquet(path)
-    # One narrow row for each file: their running sum is the place of each file in the whole.
-    before = files.select("shard", "ids").withColumn("base", F.sum("ids").over(Window.orderBy("shard")) - F.col("ids")).select("shard", "base")
+    # The place of each file: ids of the ranges before its own (one narrow row for each range), then of the files before it in its range.
+    sizes = files.select("shard", "ids", F.shiftright("shard", 32).alias("range"))
+    ranges = sizes.groupBy("range").agg(F.sum("ids").alias("ids"))
+    first = ranges.select("range", (F.sum("ids").over(Window.orderBy("range")) - F.col("ids")).alias("first"))
+    within = F.sum("ids").over(Window.partitionBy("range").orderBy("shard")) - F.col("ids")
+    before = sizes.withColumn("within", within).join(first, "range").select("shard", (F.col("first") + F.col("within")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in batches:
