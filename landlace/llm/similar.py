@@ -1,21 +1,28 @@
-"""Near-duplicates by exact Jaccard similarity of word-shingle sets: prefix join, verified links, then components.
+"""Near-duplicates of whole texts: SimHash links, verified by exact Jaccard similarity, then components; one row of each stays.
 
-Rows with equal shingle sets are one node. Two sets at `share` or more have an element in common among the first
-n - ceil(share n) + 1 of either's n elements, in whatever order all sets are sorted (pigeonhole), so nodes that meet in no such
-prefix need no look and none is missed. The order puts shingles that a sample finds common last; it bears on the work alone.
-Nodes that meet are linked if their texts' sets reach the share. Before the texts are fetched, a pair goes if the sizes, or the
-parities of how many of a set's hashes fall on each of 512 numbers (then of as many as the set has elements), show that the sets
-differ in too many elements: each parity that differs is an element of one set alone, so nothing is missed by that either.
+Rows with equal shingle sets are one node, whose fingerprint has the bits that over half of its different shingles' hashes set. Two nodes are
+linked if their fingerprints differ in `bits` bits at most and their shingle sets have a Jaccard similarity of `tenths` tenths or more.
+Sets of that similarity differ in few bits: at 0.8 in 9.7 of 64 on average, and in more than BITS for one pair in twenty;
+from 0.9 on hardly ever. Such a pair is lost unless other links join its texts.
 
-A bucket (the nodes with one shingle in their prefixes) of at most SMALL nodes has all its pairs looked at; a larger one is
-searched from its first node, then from GROW times as many a round, against those in other components by then, until all were.
+Candidates come from the groups and the Gray-order index of `simhash`. A node gives at most `limit` partners of a group, of other components
+than its own, and one more row if it has further ones. The candidates are verified, the links become components, and the nodes
+with further partners meet again with GROW times the limit, until there are none. So a group of n near copies gives about n candidates
+instead of all its pairs, and yet no pair of different components goes unseen: both of its nodes have further partners as long as it does.
+
+Before texts are fetched, a pair goes if the sizes, or the parities of how many of a set's hashes fall on each of 512 numbers,
+show that the sets differ in too many elements: each parity that differs is an element of one set alone, so nothing is missed by that.
 
 Defined cases: blank and null texts have the empty set and are copies of each other; a text of fewer words is one
-shingle; an empty table gives no rows. Sets are told apart by 64-bit hashes.
+shingle; of a component stays the row of the smallest doc_id (a null one last), then of the least hash of the text, and of rows equal in
+both any one; rows of one doc_id with texts of different components all stay; an empty table gives no rows; further columns are kept. Sets
+are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -24,161 +31,102 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landlace.llm.common import chunks, map_batches, shared_dir, written
-from landlace.llm.simhash import SEED, components, shingle_hashes
+from landlace.llm.common import chunks, map_batches, schema_with, shared_dir, written
+from landlace.llm.simhash import SEED, GrayIndex, components, majority, meet, shingle_hashes
 
-#: Rows of the sample that finds common shingles, in how many of them one is common, how many are told to the workers (8 bytes each).
-SAMPLE_ROWS, COMMON, MOST = 10_000, 10, 100_000
-#: Nodes of a bucket whose pairs are all looked at in the first round.
-SMALL, GROW = 16, 8
-NODE, ROW = "landlace_node", "landlace_row"
-PARITY = [f"landlace_parity{i}" for i in range(8)]
-SIZE, WIDE = "landlace_size", "landlace_wide"
+BITS = 14
+#: Partners that a node gives in the first round, and how many times as many in each further one.
+LIMIT, GROW = 8, 16
+#: Bytes of text in a bucket of the rows.
+BUCKET_BYTES = 128_000_000
+NODE, ROW, FP, SIZE, SKETCH, DIGEST = (f"landlace_{x}" for x in ("node", "row", "fp", "size", "sketch", "digest"))
 
 
-def node_of(hashes: np.ndarray) -> int:
+def number(raw: bytes) -> int:
+    """A signed 64-bit hash."""
     from xxhash import xxh64_intdigest as xxh
 
-    return int(np.uint64(xxh(hashes.astype("<u8").tobytes(), SEED)).view(np.int64)) if len(hashes) else 0
-
-
-def parity(hashes: np.ndarray, size: int = 512) -> np.ndarray:
-    """`size` bits (a power of two): whether an odd number of the hashes falls on each."""
-    return np.packbits((np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8))
-
-
-def wide(hashes: np.ndarray) -> bytes:
-    """The parities on as many numbers as there are hashes, up to the next power of two."""
-    return parity(hashes, max(512, 1 << len(hashes).bit_length())).tobytes()
-
-
-def differing(x: bytes, y: bytes) -> int:
-    """How many parities differ; the longer one is folded, as the numbers are remainders by powers of two."""
-    a, b = (np.frombuffer(v, np.uint8) for v in (x, y))
-    n = min(len(a), len(b))
-    a, b = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (a, b))
-    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
-
+    return int(np.uint64(xxh(raw, SEED)).view(np.int64))
 
-def prefix(hashes: np.ndarray, common: np.ndarray, tenths: int) -> np.ndarray:
-    """The first n - ceil(share n) + 1 of the sorted hashes, common ones last; common: sorted, with those of equal rank by hash."""
-    n = len(hashes)
-    late = np.zeros(n, bool)
-    if len(common):
-        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
-    return np.concatenate([hashes[~late], hashes[late]])[: n - -(-tenths * n // 10) + 1] if n else hashes
 
-
-def common_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Hashes of shingles that many rows of a bounded sample hold, sorted."""
-    draw = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
-    sample = docs.select("text").where(draw < F.lit(min(1.0, SAMPLE_ROWS / max(1, docs.count()))))
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in chunks(batches):
-            for t in b.column("text").to_pylist():
-                yield {"h": pa.array(np.unique(shingle_hashes(t, words)).view(np.int64))}
-
-    often = map_batches(sample, run, "h long").groupBy("h").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "h").limit(MOST)
-    return np.sort(np.array([r["h"] for r in often.collect()], np.int64).view(np.uint64))
+def parity(hashes: np.ndarray, size: int = 512) -> bytes:
+    """`size` bits: whether an odd number of the hashes falls on each."""
+    return np.packbits((np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
 
 
 def with_nodes(docs: DataFrame, words: int, folder: str) -> DataFrame:
-    """The rows with the hash of their shingle set, its parities, and a number of their own, written."""
-    columns = docs.columns
+    """The rows with a number of their own, the hash of their shingle set, its fingerprint, size and parities: written in buckets of that
+    number, so that rows can be picked by it again and again without a shuffle of texts, and no bucket holds a group of copies."""
+    spark, columns = docs.sparkSession, docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]):
         for b in chunks(batches):
-            sets = [np.unique(shingle_hashes(t, words)) for t in b.column("text").to_pylist()]
-            bits = np.array([parity(h).view(np.int64) for h in sets], np.int64).reshape(-1, len(PARITY))
-            yield {c: b.column(i) for i, c in enumerate(columns)} | {NODE: [node_of(h) for h in sets]} | {c: np.ascontiguousarray(bits[:, i]) for i, c in enumerate(PARITY)} | {SIZE: [len(h) for h in sets], WIDE: [wide(h) for h in sets]}
+            texts = b.column("text").to_pylist()
+            sets = [np.unique(shingle_hashes(t, words)) for t in texts]
+            out = {c: b.column(i) for i, c in enumerate(columns)} | {NODE: [number(h.astype("<u8").tobytes()) if len(h) else 0 for h in sets], SIZE: list(map(len, sets))}
+            out |= {FP: np.array([majority(h) for h in sets], np.uint64).view(np.int64), SKETCH: list(map(parity, sets))}
+            yield out | {DIGEST: [number((t or "").encode("utf-8", "surrogatepass")) for t in texts]}
 
-    own = ",".join(f"{c}:bigint" for c in (NODE, *PARITY, SIZE))
-    return written(map_batches(docs, run, f"{docs.schema.simpleString()[7:-1]},{own},{WIDE}:binary").withColumn(ROW, F.monotonically_increasing_id()), folder)
+    more = f"{NODE} long, {SIZE} long, {FP} long, {SKETCH} binary, {DIGEST} long"
+    rows = map_batches(docs, run, schema_with(docs.schema, more)).withColumn(ROW, F.monotonically_increasing_id())
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
+    name = f"landlace_rows_{uuid.uuid4().hex}"
+    rows.repartition(n, ROW).write.bucketBy(n, ROW).option("path", folder).option("compression", "zstd").format("parquet").saveAsTable(name)
+    return spark.table(name)
 
 
-def buckets(rows: DataFrame, words: int, tenths: int, common: np.ndarray) -> DataFrame:
-    """(part, node, n, held): for each node the shingles of its prefix, the size of its set and how many nodes the part has; those of one are left out."""
-    held = rows.sparkSession.sparkContext.broadcast(common)
+def picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose numbers are wanted; the numbers go to the rows' buckets."""
+    return rows.join(wanted.hint("shuffle_hash"), ROW, "left_semi")
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        seen: set[int] = set()
-        for b in chunks(batches):
-            for t, node in zip(b.column("text").to_pylist(), b.column(NODE).to_pylist(), strict=True):
-                if node in seen:
-                    continue
-                seen.add(node)
-                h = np.unique(shingle_hashes(t, words))
-                p = prefix(h, held.value, tenths)
-                if len(p):
-                    yield {"part": pa.array(p.view(np.int64)), "node": [node] * len(p), "n": [len(h)] * len(p)}
-
-    def shared(batches: Iterator[pa.RecordBatch]):
-        rest = None  # the rows of the part that may go on in the next batch
-        for b in batches:
-            if not b.num_rows:
-                continue
-            r = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "node", "n")])
-            r = r if rest is None else np.concatenate([rest, r], axis=1)
-            cut = np.searchsorted(r[0], r[0, -1])  # sorted by part
-            rest = r[:, cut:]
-            yield from several(r[:, :cut])
-        if rest is not None:
-            yield from several(rest)
 
-    def several(r: np.ndarray):
-        r = r[:, np.append(True, (r[:2, 1:] != r[:2, :-1]).any(0))] if r.shape[1] else r
-        _, at, size = np.unique(r[0], return_inverse=True, return_counts=True)
-        r = np.concatenate([r, size[at][None]])[:, size[at] > 1]
-        if r.shape[1]:
-            yield {c: pa.array(np.ascontiguousarray(x)) for c, x in zip(("part", "node", "n", "held"), r, strict=True)}
+def partners(rows: np.ndarray, bits: int, limit: int, block: int = 256, leaf: int = 32, span: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For a group (fp, node, root): nodes with partners of other components, those partners, at most `limit` for each, and the nodes with more.
 
-    dealt = map_batches(rows.select("text", NODE), run, "part long, node long, n long").repartition("part").sortWithinPartitions("part", "node")
-    return map_batches(dealt, shared, "part long, node long, n long, held long")
+    Block by block of nodes in Gray order against the index's lowest nodes that can hold partners, `span` of them at a time.
+    """
+    index = GrayIndex(np.ascontiguousarray(rows[:, 0]).view(np.uint64), leaf)
+    rows = rows[index.order]
+    codes, node, root = index.codes, rows[:, 1], rows[:, 2]
+    a, b, more = [], [], []
+    for first in range(0, len(codes), block):
+        last = min(len(codes), first + block)
+        have, left = np.zeros(last - first, np.int64), np.arange(first, last)
+        reached = index.reach(first, last, bits)
+        for at in range(0, len(reached), span):
+            columns = (reached[at : at + span, None] * leaf + np.arange(leaf)).ravel()
+            columns = columns[columns < len(codes)]
+            i, j = np.nonzero(np.bitwise_count(codes[left, None] ^ codes[None, columns]) <= bits)
+            i, j = left[i], columns[j]
+            apart = root[i] != root[j]
+            if not apart.any():
+                continue
+            i, j = i[apart], j[apart]
+            count = np.bincount(i - first, minlength=last - first)
+            turn = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + have[i - first]
+            a.append(node[i[turn < limit]]), b.append(node[j[turn < limit]])
+            have += count
+            left = left[have[left - first] <= limit]
+            if not len(left):
+                break
+        more.append(node[first:last][have > limit])
+    a, b, more = (np.concatenate(x) if x else node[:0] for x in (a, b, more))
+    return np.minimum(a, b), np.maximum(a, b), more
 
 
-def pairs_of(met: DataFrame, first: int, last: int, tenths: int) -> DataFrame:
-    """Pairs (a, b) of nodes in different components, a the first to last - 1 of its bucket; met: (part, node, n, root, held) and parities.
+def candidates(live: DataFrame, n: int, bits: int, limit: int) -> DataFrame:
+    """(a, b) to be verified, and (a, null) for nodes with further partners; live: (fp, node, root)."""
 
-    In the first round (first = 0) small buckets give all their pairs; later ones leave them out.
-    """
+    def each(rows: np.ndarray):
+        a, b, more = partners(rows, bits, limit)
+        if len(a):
+            pairs = np.unique(np.stack([a, b], 1), axis=0)
+            yield {"a": pairs[:, 0], "b": pairs[:, 1], "more": np.zeros(len(pairs), bool)}
+        if len(more):
+            yield {"a": more, "b": more, "more": np.ones(len(more), bool)}
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        rest = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            r = np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("part", "node", "n", "root", "held", *PARITY)])
-            r = r if rest is None else np.concatenate([rest, r], axis=1)
-            cut = np.searchsorted(r[0], r[0, -1])
-            rest = r[:, cut:]
-            yield from found(r[:, :cut])
-        if rest is not None:
-            yield from found(rest)
-
-    def near(r: np.ndarray, i: np.ndarray, j: np.ndarray):
-        n, root, bits = r[2], r[3], r[5:]
-        ok = (root[j] != root[i]) & (10 * np.minimum(n[j], n[i]) >= tenths * np.maximum(n[j], n[i]))
-        i, j = i[ok], j[ok]
-        differ = np.bitwise_count((bits[:, j] ^ bits[:, i]).view(np.uint64)).sum(0, dtype=np.int64)
-        ok = (10 + tenths) * differ <= (10 - tenths) * (n[j] + n[i])
-        if ok.any():
-            yield {"a": pa.array(r[1, i[ok]]), "b": pa.array(r[1, j[ok]])}
-
-    def found(r: np.ndarray):
-        small = np.ascontiguousarray(r[:, r[4] <= SMALL])
-        for k in range(1, SMALL):
-            i = np.flatnonzero(small[0, :-k] == small[0, k:])
-            for a in range(0, len(i), 1 << 16):
-                yield from near(small, i[a : a + (1 << 16)], i[a : a + (1 << 16)] + k)
-        large = np.ascontiguousarray(r[:, r[4] > SMALL])
-        edges = np.append(np.flatnonzero(np.diff(large[0], prepend=large[0, :1] - 1)), large.shape[1]).tolist()
-        for start, end in zip(edges, edges[1:], strict=False):
-            for i in range(start + first, min(start + last, end)):  # those before were the first of their pairs already
-                yield from near(large, np.full(end - i - 1, i), np.arange(i + 1, end))
-
-    sorted_ = met.repartition("part").sortWithinPartitions("part", "node")
-    return map_batches(sorted_, run, "a long, b long").distinct()
+    return meet(live, ["fp", "node", "root"], n, bits, each, "a long, b long, more boolean", most=4096).distinct()
 
 
 @contextmanager
@@ -193,72 +141,60 @@ def small_batches(spark: SparkSession, rows: int = 64) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def verified(pairs: DataFrame, rows: DataFrame, words: int, tenths: int, folder: str) -> DataFrame:
-    """The pairs whose texts' shingle sets have the wanted Jaccard similarity."""
-    nodes = pairs.select(F.col("a").alias(NODE)).union(pairs.select(F.col("b").alias(NODE))).distinct()
-    sketch = rows.select(NODE, SIZE, WIDE).join(nodes, NODE, "left_semi").dropDuplicates([NODE])
-    side = lambda of, k: sketch.select(F.col(NODE).alias(of), F.col(SIZE).alias(f"n{k}"), F.col(WIDE).alias(f"w{k}"))
+def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, tenths: int, folder: str) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have the wanted Jaccard similarity, written."""
+    spark = pairs.sparkSession
+    side = lambda of, k: nodes.select(F.col("node").alias(of), F.col("size").alias(f"n{k}"), F.col("sketch").alias(f"w{k}"), F.col(f"best.{ROW}").alias(f"row{k}"))
+    sketched = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
+    alike = 10 * F.least("n1", "n2") >= tenths * F.greatest("n1", "n2")
 
     def likely(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            own = zip(*(b.column(c).to_pylist() for c in ("a", "b", "n1", "n2", "w1", "w2")), strict=True)
-            kept = [(i, j) for i, j, n, m, x, y in own if (10 + tenths) * differing(x, y) <= (10 - tenths) * (n + m)]
-            yield {"a": [i for i, _ in kept], "b": [j for _, j in kept]}
+            n, m, x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n1", "n2", "row1", "row2"))
+            w = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(len(n), 8) for c in ("w1", "w2")]
+            ok = (10 + tenths) * np.bitwise_count(w[0] ^ w[1]).sum(1, dtype=np.int64) <= (10 - tenths) * (n + m)
+            yield {"a": b.column("a").to_numpy()[ok], "b": b.column("b").to_numpy()[ok], "row1": x[ok], "row2": y[ok]}
 
-    sketched = pairs.join(side("a", 1), "a").join(side("b", 2), "b").select("a", "b", "n1", "n2", "w1", "w2")
-    pairs = written(map_batches(sketched, likely, "a long, b long"), f"{folder}-likely")
-    nodes = pairs.select(F.col("a").alias(NODE)).union(pairs.select(F.col("b").alias(NODE))).distinct()
-    texts = rows.select(NODE, "text").join(nodes, NODE, "left_semi").dropDuplicates([NODE])
-    both = pairs.join(texts.select(F.col(NODE).alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col(NODE).alias("b"), F.col("text").alias("y")), "b")
+    kept = written(map_batches(sketched.where(alike).select("a", "b", "n1", "n2", "w1", "w2", "row1", "row2"), likely, "a long, b long, row1 long, row2 long"), f"{folder}/likely")
+    wanted = kept.select(F.col("row1").alias(ROW)).union(kept.select(F.col("row2").alias(ROW))).distinct()
+    texts = written(picked(rows.select(ROW, "text"), wanted), f"{folder}/texts")
+    both = kept.join(texts.select(F.col(ROW).alias("row1"), F.col("text").alias("x")), "row1").join(texts.select(F.col(ROW).alias("row2"), F.col("text").alias("y")), "row2")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        kept: dict[int, np.ndarray] = {}
-
-        def known(node: int, text: str) -> np.ndarray:
-            if node not in kept:
-                while len(kept) >= 64:
-                    del kept[next(iter(kept))]
-                kept[node] = np.unique(shingle_hashes(text, words))
-            return kept[node]
-
         for b in chunks(batches, by="x"):
             a, z = [], []
             for i, j, x, y in zip(*(b.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
-                s, t = known(i, x), known(j, y)
+                s, t = (np.unique(shingle_hashes(v, words)) for v in (x, y))
                 same = len(np.intersect1d(s, t, assume_unique=True))
                 if 10 * same >= tenths * (len(s) + len(t) - same):
-                    a.append(i)
-                    z.append(j)
+                    a.append(i), z.append(j)
             yield {"a": a, "b": z}
 
-    return map_batches(both.select("a", "b", "x", "y"), run, "a long, b long")
+    with small_batches(spark):
+        return written(map_batches(both.select("a", "b", "x", "y"), run, "a long, b long"), f"{folder}/links")
 
 
-def dedup(docs: DataFrame, words: int = 5, tenths: int = 8) -> DataFrame:
-    """One row of each component: that of the smallest doc_id (a null one last), then by the text.
-
-    tenths: ten times the least Jaccard similarity that links two rows.
-    """
-    spark, columns = docs.sparkSession, docs.columns
-    folder = shared_dir(spark)
+def dedup(docs: DataFrame, words: int = 5, tenths: int = 8, bits: int = BITS) -> DataFrame:
+    """One row of each component, with the columns of docs. tenths: ten times the least Jaccard similarity that links two rows."""
+    spark, folder, columns = docs.sparkSession, shared_dir(docs.sparkSession), docs.columns
     rows = with_nodes(docs, words, f"{folder}/rows")
-    shared = written(buckets(rows, words, tenths, common_shingles(rows, words)), f"{folder}/shared")
-    nodes = rows.select(F.col(NODE).alias("node"), *PARITY).join(shared.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    met = written(shared.join(nodes, "node"), f"{folder}/met")
-    largest = met.agg(F.max("held")).first()[0] or 0
-    roots, links, first, last = None, None, 0, 1
-    while largest and not first or SMALL < largest and first < largest - 1:
-        left = met.where(F.col("held") > SMALL) if first else met
-        now = left.withColumn("root", F.col("node")) if roots is None else left.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        pairs = written(pairs_of(now.select("part", "node", "n", "root", "held", *PARITY), first, last, tenths), f"{folder}/pairs{first}")
+    best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(DIGEST).alias("text"), F.col(ROW))
+    nodes = rows.groupBy(F.col(NODE).alias("node")).agg(F.min(best).alias("best"), F.min(FP).alias("fp"), F.min(SIZE).alias("size"), F.min(SKETCH).alias("sketch"))
+    nodes = written(nodes, f"{folder}/nodes")
+    live, links, roots, limit = nodes.where("size > 0").select("fp", "node", F.col("node").alias("root")), None, None, LIMIT
+    while n := live.count():
+        step = f"{folder}/limit{limit}"
+        found = written(candidates(live, n, bits, limit), f"{step}/found")
+        pairs = found.where("not more").select("a", "b")
         if not pairs.isEmpty():
-            with small_batches(spark):
-                more = written(verified(pairs, rows, words, tenths, f"{folder}/pairs{first}"), f"{folder}/links{first}")
-            links = more if links is None else links.union(more)
-            roots = components(links, f"{folder}/stars{first}")
-        first, last = last, GROW * last
-    own = rows.select(F.col(NODE).alias("node"), ROW, F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+            own = verified(pairs, nodes, rows, words, tenths, step)
+            links = own if links is None else links.union(own)
+            roots = components(links, f"{step}/stars")
+        again = found.where("more").select(F.col("a").alias("node"))
+        live = nodes.join(again, "node", "left_semi")
+        live = live.withColumn("root", F.col("node")) if roots is None else live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        live, limit = written(live.select("fp", "node", "root"), f"{step}/live"), limit * GROW
     if roots is not None:
-        own = own.join(roots, "node", "left").withColumn("node", F.coalesce("root", "node"))
-    best = own.groupBy("node").agg(F.min(F.struct("none", "id", "text", ROW)).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
-    return rows.join(best, ROW, "left_semi").select(*columns)
+        nodes = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("node"), "best")
+    kept = nodes.groupBy("node").agg(F.min("best").alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
+    return picked(rows, kept).select(*[F.col("`" + c.replace("`", "``") + "`") for c in columns])

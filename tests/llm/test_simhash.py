@@ -52,7 +52,7 @@ def test_odd_rows(odd):
 
 
 def test_empty(empty):
-    assert simhash.classes(empty).count() == 0 and simhash.dedup(empty).count() == 0
+    assert simhash.classes(empty).count() == 0
 
 
 def clustered(r, n):
@@ -105,12 +105,18 @@ def test_links_hold_components(spark):
         assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
-def test_dedup_keeps_one(documents):
-    kept = simhash.dedup(documents)
-    assert kept.columns == documents.columns
-    classes = simhash.classes(documents)
-    assert kept.count() == classes.select("component_id").distinct().count()
-    assert kept.join(classes.where("doc_id = component_id"), "doc_id", "left_anti").isEmpty()
+def test_large_groups_are_split(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 20)
+    monkeypatch.setattr(simhash, "SAMPLED", 2)
+    r = random.Random(5)
+    base = r.getrandbits(64)
+    codes = sorted({base ^ sum(1 << r.randrange(64) for _ in range(r.randrange(7))) & (1 << 64) - 1 for _ in range(400)})
+    df = spark.createDataFrame([(int(np.uint64(c).view(np.int64)),) for c in codes], "fp long").repartition(3)
+    stars = simhash.components(simhash.links(df, len(codes)), simhash.shared_dir(spark))
+    roots = {n % 2**64: root % 2**64 for n, root in stars.collect()}
+    want = brute(np.array(codes, np.uint64), 4)
+    parts = lambda m: sorted(sorted(c for c in codes if m.get(c, c) == x) for x in {m.get(c, c) for c in codes})
+    assert parts(roots) == parts(want)
 
 
 def test_long_chain(spark):
