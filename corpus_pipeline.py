@@ -1,7 +1,10 @@
 """A corpus from raw documents to packed sequences: quality, near-duplicates, benchmark passages, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; what it returns is written and
-read again as the next one's docs. All but the last return the columns of documents.
+read again as the next one's docs. All but the last return the columns of documents, and any further ones, whatever they are called.
+
+Defined cases: a null or blank text has a low quality score and goes in the first stage; repeated rows are near-duplicates, of which one stays;
+a null doc_id is kept where its row is; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate group: five-word shingles, Jaccard similarity of 0.8 or more."""
+    """The document with the smallest id of each near-duplicate group: SimHash links of five-word shingles, verified by a Jaccard
+    similarity of 0.8 or more. A row without an id stays only where its group has no other; rows of one id with different texts are different documents."""
     return similar.dedup(docs, words=5, tenths=8)
 
 
