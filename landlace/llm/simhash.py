@@ -107,8 +107,8 @@ class GrayIndex:
         self.own = [m if k + 1 == len(self.levels) else m & ~np.repeat(self.levels[k + 1][1], fan)[: len(m)] for k, (_, m) in enumerate(self.levels)]
 
     def reach(self, first: int, last: int, bits: int) -> np.ndarray:
-        """Numbers of the lowest nodes that may hold codes within `bits` of codes first to last - 1, beginning with the first one's own
-        and going round; differences add up on the way down over the bits that the codes share."""
+        """Numbers of the lowest nodes that may hold codes within `bits` of codes first to last - 1; differences add up on the way
+        down over the bits that the codes share."""
         top = len(self.levels) - 1
         if not top:
             return np.zeros(1, np.int64)
@@ -122,7 +122,7 @@ class GrayIndex:
                 below = (node[:, None] * self.fan + np.arange(self.fan)).ravel()
                 there = below < len(self.levels[level - 1][0])
                 node, seen = below[there], np.repeat(seen, self.fan)[there]
-        return np.roll(node, -int(np.searchsorted(node, first // self.fan)))
+        return node
 
     def within(self, queries: np.ndarray, bits: int, step: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (query position, code position) at `bits` or fewer differing bits, in parts of bounded size."""

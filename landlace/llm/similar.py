@@ -6,7 +6,8 @@ Sets of that similarity differ in few bits: at 0.8 in 9.7 of 64 on average, and
 from 0.9 on hardly ever. Such a pair is lost unless other links join its texts.
 
 Candidates come from the groups and the Gray-order index of `simhash`. A node gives at most `limit` partners of a group, of other components
-than its own, and one more row if it has further ones. The candidates are verified, the links become components, and the nodes
+than its own, and one more row if it has further ones. They are the first in Gray order, which is the same in all groups, so that
+the groups a node is in mostly give the same ones. The candidates are verified, the links become components, and the nodes
 with further partners meet again with GROW times the limit, until there are none. So a group of n near copies gives about n candidates
 instead of all its pairs, and yet no pair of different components goes unseen: both of its nodes have further partners as long as it does.
 
@@ -36,7 +37,7 @@ from landlace.llm.simhash import SEED, GrayIndex, components, majority, meet, sh
 
 BITS = 14
 #: Partners that a node gives in the first round, and how many times as many in each further one.
-LIMIT, GROW = 8, 16
+LIMIT, GROW = 1, 16
 #: Bytes of text in a bucket of the rows.
 BUCKET_BYTES = 128_000_000
 NODE, ROW, FP, SIZE, SKETCH, DIGEST = (f"landlace_{x}" for x in ("node", "row", "fp", "size", "sketch", "digest"))
@@ -84,7 +85,7 @@ def picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 def partners(rows: np.ndarray, bits: int, limit: int, block: int = 256, leaf: int = 32, span: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For a group (fp, node, root): nodes with partners of other components, those partners, at most `limit` for each, and the nodes with more.
 
-    Block by block of nodes in Gray order against the index's lowest nodes that can hold partners, `span` of them at a time.
+    Block by block of nodes in Gray order against the index's lowest nodes that can hold partners, `span` of them at a time in that order.
     """
     index = GrayIndex(np.ascontiguousarray(rows[:, 0]).view(np.uint64), leaf)
     rows = rows[index.order]
