@@ -193,9 +193,9 @@ def spanning(codes: np.ndarray, bits: int, block: int = 20_000) -> tuple[np.ndar
     return codes[linked], codes[forest.root[linked]]
 
 
-def layout(distinct: int, bits: int, most: int = 2048) -> tuple[int, int]:
-    """(blocks, agreeing): the least number of blocks for which a group of random fingerprints has about `most` at most."""
-    for blocks in range(bits + 1, 33):
+def layout(distinct: int, bits: int, most: int = 2048, agree: int = 1) -> tuple[int, int]:
+    """(blocks, agreeing): the least number of blocks for which a group of random fingerprints has about `most` at most, `agree` agreeing at least."""
+    for blocks in range(bits + agree, 33):
         if distinct / 2 ** (64 * (blocks - bits) // blocks) <= most:
             return blocks, blocks - bits
     return 32, 32 - bits
@@ -212,10 +212,10 @@ def key_of(family: int, part: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) + np.uint64(family)
 
 
-def meet(fps: DataFrame, columns: list[str], distinct: int, bits: int, each: Callable[[np.ndarray], Iterator[dict]], schema: str, most: int = 2048) -> DataFrame:
+def meet(fps: DataFrame, columns: list[str], distinct: int, bits: int, each: Callable[[np.ndarray], Iterator[dict]], schema: str, most: int = 2048, agree: int = 1) -> DataFrame:
     """What `each` makes of every group of rows whose fingerprints agree in enough blocks; it gets the rows' `columns` (long, fp first) as
     one array of rows. Entries travel packed by task and group."""
-    blocks, agree = layout(distinct, bits, most)
+    blocks, agree = layout(distinct, bits, most, agree)
     edges = [round(64 * i / blocks) for i in range(blocks + 1)]
     masks = [np.uint64(sum(((1 << (edges[i + 1] - edges[i])) - 1) << edges[i] for i in own)) for own in combinations(range(blocks), agree)]
     entries, width = distinct * len(masks), len(columns)

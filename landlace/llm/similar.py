@@ -1,18 +1,17 @@
 """Near-duplicates of whole texts: SimHash links, verified by exact Jaccard similarity, then components; one row of each stays.
 
-Rows with equal shingle sets are one node, whose fingerprint has the bits that over half of its different shingles' hashes set. Two nodes are
-linked if their fingerprints differ in `bits` bits at most and their shingle sets have a Jaccard similarity of `tenths` tenths or more.
-Sets of that similarity differ in few bits: at 0.8 in 9.7 of 64 on average, and in more than BITS for one pair in twenty;
-from 0.9 on hardly ever. Such a pair is lost unless other links join its texts.
+Rows with equal shingle sets are one node. A node's fingerprint has the bits that over half of its different shingles' hashes set; a second
+one of 48 bits, of the same hashes scrambled, goes with it beside the set's size. Two nodes are candidates if their fingerprints
+differ in `bits` bits at most, the second ones in SIDE_BITS, and the sizes allow the similarity. Two nodes of one component of
+candidates are linked if their sets have a Jaccard similarity of `tenths` tenths or more, exactly.
 
-Candidates come from the groups and the Gray-order index of `simhash`. A node gives at most `limit` partners of a group, of other components
-than its own, and one more row if it has further ones. They are the first in Gray order, which is the same in all groups, so that
-the groups a node is in mostly give the same ones. The candidates are verified, the links become components, and the nodes
-with further partners meet again with GROW times the limit, until there are none. So a group of n near copies gives about n candidates
-instead of all its pairs, and yet no pair of different components goes unseen: both of its nodes have further partners as long as it does.
+Sets of similarity 0.8 differ in 9.7 of 64 bits on average, and in more than BITS for one pair in ten; at 0.85 for one in thirty,
+from 0.9 on for one in 250. Such a pair is lost unless its texts are in one component of candidates through others.
 
-Before texts are fetched, a pair goes if the sizes, or the parities of how many of a set's hashes fall on each of 512 numbers,
-show that the sets differ in too many elements: each parity that differs is an element of one set alone, so nothing is missed by that.
+Candidates come from the groups and the Gray-order index of `simhash`; a group gives each node's link to the first of its
+component there, never its pairs. The texts of a component of candidates then meet in one task, which holds all its sets against one
+another by lists of the nodes that have a shingle, and gives each node's link to the first of its class. A component of more than CELL shingles
+is cut into parts by a hash, and each pair of parts is a task's work of its own, so that all its pairs still meet.
 
 Defined cases: blank and null texts have the empty set and are copies of each other; a text of fewer words is one
 shingle; of a component stays the row of the smallest doc_id (a null one last), then of the least hash of the text, and of rows equal in
@@ -33,14 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landlace.llm.common import chunks, map_batches, schema_with, shared_dir, written
-from landlace.llm.simhash import SEED, GrayIndex, components, majority, meet, shingle_hashes
+from landlace.llm.simhash import SEED, Forest, GrayIndex, components, key_of, majority, meet, shingle_hashes, together
 
-BITS = 14
-#: Partners that a node gives in the first round, and how many times as many in each further one.
-LIMIT, GROW = 1, 16
+BITS, SIDE_BITS, SIDE = 13, 15, np.uint64(0xFFFF)
+#: Shingles of a component's sets from which it is cut into parts of about that many.
+CELL = 2_000_000
 #: Bytes of text in a bucket of the rows.
 BUCKET_BYTES = 128_000_000
-NODE, ROW, FP, SIZE, SKETCH, DIGEST = (f"landlace_{x}" for x in ("node", "row", "fp", "size", "sketch", "digest"))
+NODE, ROW, FP, SIDES, SIZE, DIGEST = (f"landlace_{x}" for x in ("node", "row", "fp", "sides", "size", "digest"))
 
 
 def number(raw: bytes) -> int:
@@ -50,13 +49,21 @@ def number(raw: bytes) -> int:
     return int(np.uint64(xxh(raw, SEED)).view(np.int64))
 
 
-def parity(hashes: np.ndarray, size: int = 512) -> bytes:
-    """`size` bits: whether an odd number of the hashes falls on each."""
-    return np.packbits((np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+def sides(hashes: np.ndarray) -> int:
+    """The second fingerprint in the upper 48 bits, a thousand times the logarithm of the size in the lower 16; signed."""
+    x = majority(key_of(1, hashes)) if len(hashes) else 0
+    low = round(1000 * math.log(max(1, len(hashes))))
+    return int((np.uint64(x) & ~SIDE | np.uint64(low)).view(np.int64))
+
+
+def may_match(x: np.ndarray, y: np.ndarray, tenths: int) -> np.ndarray:
+    """Whether second fingerprints and sizes (sides, unsigned) allow the similarity."""
+    near = np.bitwise_count((x ^ y) & ~SIDE) <= SIDE_BITS
+    return near & (np.abs((x & SIDE).astype(np.int64) - (y & SIDE).astype(np.int64)) <= 1000 * math.log(10 / tenths) + 1)
 
 
 def with_nodes(docs: DataFrame, words: int, folder: str) -> DataFrame:
-    """The rows with a number of their own, the hash of their shingle set, its fingerprint, size and parities: written in buckets of that
+    """The rows with a number of their own, the hash of their shingle set, its size and fingerprints: written in buckets of that
     number, so that rows can be picked by it again and again without a shuffle of texts, and no bucket holds a group of copies."""
     spark, columns = docs.sparkSession, docs.columns
 
@@ -65,10 +72,10 @@ def with_nodes(docs: DataFrame, words: int, folder: str) -> DataFrame:
             texts = b.column("text").to_pylist()
             sets = [np.unique(shingle_hashes(t, words)) for t in texts]
             out = {c: b.column(i) for i, c in enumerate(columns)} | {NODE: [number(h.astype("<u8").tobytes()) if len(h) else 0 for h in sets], SIZE: list(map(len, sets))}
-            out |= {FP: np.array([majority(h) for h in sets], np.uint64).view(np.int64), SKETCH: list(map(parity, sets))}
+            out |= {FP: np.array([majority(h) for h in sets], np.uint64).view(np.int64), SIDES: list(map(sides, sets))}
             yield out | {DIGEST: [number((t or "").encode("utf-8", "surrogatepass")) for t in texts]}
 
-    more = f"{NODE} long, {SIZE} long, {FP} long, {SKETCH} binary, {DIGEST} long"
+    more = f"{NODE} long, {SIZE} long, {FP} long, {SIDES} long, {DIGEST} long"
     rows = map_batches(docs, run, schema_with(docs.schema, more)).withColumn(ROW, F.monotonically_increasing_id())
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
@@ -82,57 +89,112 @@ def picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.join(wanted.hint("shuffle_hash"), ROW, "left_semi")
 
 
-def partners(rows: np.ndarray, bits: int, limit: int, block: int = 256, leaf: int = 32, span: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a group (fp, node, root): nodes with partners of other components, those partners, at most `limit` for each, and the nodes with more.
+def stars(rows: np.ndarray, bits: int, tenths: int, block: int = 128, leaf: int = 32, span: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """(node, first node of its component) for the candidates among a group's rows (fp, sides, node).
 
-    Block by block of nodes in Gray order against the index's lowest nodes that can hold partners, `span` of them at a time in that order.
+    Block by block of nodes in Gray order against the index's lowest nodes that can hold candidates, `span` of them at a time; what is in
+    the block's own component by then needs no look.
     """
     index = GrayIndex(np.ascontiguousarray(rows[:, 0]).view(np.uint64), leaf)
-    rows = rows[index.order]
-    codes, node, root = index.codes, rows[:, 1], rows[:, 2]
-    a, b, more = [], [], []
+    codes, side, node = index.codes, np.ascontiguousarray(rows[index.order, 1]).view(np.uint64), rows[index.order, 2]
+    forest = Forest(len(codes))
+    differ, count = np.empty(block * leaf * span, np.uint64), np.empty(block * leaf * span, np.uint8)
     for first in range(0, len(codes), block):
         last = min(len(codes), first + block)
-        have, left = np.zeros(last - first, np.int64), np.arange(first, last)
         reached = index.reach(first, last, bits)
+        reached = reached[reached >= first // leaf]
         for at in range(0, len(reached), span):
             columns = (reached[at : at + span, None] * leaf + np.arange(leaf)).ravel()
-            columns = columns[columns < len(codes)]
-            i, j = np.nonzero(np.bitwise_count(codes[left, None] ^ codes[None, columns]) <= bits)
-            i, j = left[i], columns[j]
-            apart = root[i] != root[j]
-            if not apart.any():
+            columns = columns[: np.searchsorted(columns, len(codes))]
+            own = forest.root[first:last]
+            if (own == own[0]).all():
+                columns = columns[forest.root[columns] != own[0]]
+            if not len(columns):
                 continue
-            i, j = i[apart], j[apart]
-            count = np.bincount(i - first, minlength=last - first)
-            turn = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count) + have[i - first]
-            a.append(node[i[turn < limit]]), b.append(node[j[turn < limit]])
-            have += count
-            left = left[have[left - first] <= limit]
-            if not len(left):
-                break
-        more.append(node[first:last][have > limit])
-    a, b, more = (np.concatenate(x) if x else node[:0] for x in (a, b, more))
-    return np.minimum(a, b), np.maximum(a, b), more
-
-
-def candidates(live: DataFrame, n: int, bits: int, limit: int) -> DataFrame:
-    """(a, b) to be verified, and (a, null) for nodes with further partners; live: (fp, node, root)."""
+            shape = (last - first, len(columns))
+            x, n = (v[: shape[0] * shape[1]].reshape(shape) for v in (differ, count))
+            np.bitwise_xor(codes[first:last, None], codes[None, columns], out=x)
+            np.bitwise_count(x, out=n)
+            hit = np.flatnonzero(n.ravel() <= bits)
+            i, j = hit // shape[1] + first, columns[hit % shape[1]]
+            ok = (i < j) & may_match(side[i], side[j], tenths)
+            if ok.any():
+                forest.join(i[ok], j[ok])
+    linked = forest.root != np.arange(len(codes))
+    return node[linked], node[forest.root[linked]]
+
+
+def candidates(nodes: DataFrame, n: int, bits: int, tenths: int) -> DataFrame:
+    """(a, b): links that leave the components of candidates whole; nodes: (fp, sides, node)."""
 
     def each(rows: np.ndarray):
-        a, b, more = partners(rows, bits, limit)
+        a, b = stars(rows, bits, tenths)
         if len(a):
-            pairs = np.unique(np.stack([a, b], 1), axis=0)
-            yield {"a": pairs[:, 0], "b": pairs[:, 1], "more": np.zeros(len(pairs), bool)}
-        if len(more):
-            yield {"a": more, "b": more, "more": np.ones(len(more), bool)}
+            yield {"a": a, "b": b}
+
+    return meet(nodes, ["fp", "sides", "node"], n, bits, each, "a long, b long", most=65_536, agree=2).distinct()
+
+
+def alike(sets: list[np.ndarray], tenths: int) -> np.ndarray:
+    """For each set the first one of its class, by links of the wanted Jaccard similarity between any two; the sets are sorted hashes."""
+    forest, size = Forest(len(sets)), np.fromiter(map(len, sets), np.int64, len(sets))
+    every = np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    owner = np.repeat(np.arange(len(sets)), size)[order]
+    first = np.concatenate([[True], every[order][1:] != every[order][:-1]])
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], len(every))
+    shingle = np.empty(len(every), np.int64)
+    shingle[order] = np.cumsum(first) - 1
+    at = np.concatenate([[0], np.cumsum(size)])
+    for i in range(len(sets)):
+        if (forest.root == 0).all():
+            break
+        own = shingle[at[i] : at[i + 1]]
+        own = own[ends[own] - starts[own] > 1]
+        n = ends[own] - starts[own]
+        where = np.repeat(starts[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        same = np.bincount(owner[where], minlength=len(sets))
+        j = np.flatnonzero((same > 0) & (10 * same >= tenths * (size[i] + size - same)))
+        j = j[j > i]
+        if len(j):
+            forest.join(np.full(len(j), i), j)
+    return forest.root
+
+
+def linked(members: DataFrame, words: int, tenths: int) -> DataFrame:
+    """(a, b): each node with the first of its class in its group; members: (unit, cell, node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for _, rows in groups(batches):
+            if len(rows) > 1:
+                root = alike([h for _, h in rows], tenths)
+                node = np.array([n for n, _ in rows], np.int64)
+                other = root != np.arange(len(rows))
+                if other.any():
+                    yield {"a": node[other], "b": node[root[other]]}
+
+    def groups(batches: Iterator[pa.RecordBatch]):
+        """((unit, cell), [(node, its set)]): texts become sets as they come."""
+        now, held = None, []
+        for b in chunks(batches):
+            for unit, cell, node, text in zip(*(b.column(c).to_pylist() for c in ("unit", "cell", "node", "text")), strict=True):
+                if held and (unit, cell) != now:
+                    yield now, held
+                    held = []
+                now = (unit, cell)
+                held.append((node, np.unique(shingle_hashes(text, words))))
+        if held:
+            yield now, held
 
-    return meet(live, ["fp", "node", "root"], n, bits, each, "a long, b long, more boolean", most=4096).distinct()
+    met = members.select("unit", "cell", "node", "text").repartition("unit", "cell").sortWithinPartitions("unit", "cell", "node")
+    with small_batches(members.sparkSession):
+        return map_batches(met, together(run), "a long, b long")
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 64) -> Iterator[None]:
-    """Batches of few rows for Python workers, as each of them holds two whole texts."""
+def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Batches of few rows for Python workers, as each row holds a whole text."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(key)
     spark.conf.set(key, rows)
@@ -142,60 +204,38 @@ def small_batches(spark: SparkSession, rows: int = 64) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, tenths: int, folder: str) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have the wanted Jaccard similarity, written."""
-    spark = pairs.sparkSession
-    side = lambda of, k: nodes.select(F.col("node").alias(of), F.col("size").alias(f"n{k}"), F.col("sketch").alias(f"w{k}"), F.col(f"best.{ROW}").alias(f"row{k}"))
-    sketched = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
-    alike = 10 * F.least("n1", "n2") >= tenths * F.greatest("n1", "n2")
-
-    def likely(batches: Iterator[pa.RecordBatch]):
-        for b in batches:
-            n, m, x, y = (b.column(c).to_numpy(zero_copy_only=False) for c in ("n1", "n2", "row1", "row2"))
-            w = [np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(len(n), 8) for c in ("w1", "w2")]
-            ok = (10 + tenths) * np.bitwise_count(w[0] ^ w[1]).sum(1, dtype=np.int64) <= (10 - tenths) * (n + m)
-            yield {"a": b.column("a").to_numpy()[ok], "b": b.column("b").to_numpy()[ok], "row1": x[ok], "row2": y[ok]}
+def in_cells(members: DataFrame, folder: str) -> tuple[DataFrame, bool]:
+    """The members (unit, node, row, size) with a cell: 0, or for units of more than CELL shingles one for each pair of parts; whether there are any of these."""
+    large = members.groupBy("unit").agg(F.sum("size").alias("all")).where(F.col("all") > CELL).select("unit", F.ceil(F.col("all") / CELL).cast("long").alias("parts"))
+    large = written(large, f"{folder}/large")
+    if large.isEmpty():
+        return members.withColumn("cell", F.lit(0).cast("long")), False
+    salted = members.join(large, "unit", "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1))
+    cell = F.least("salt", "other") * F.coalesce("parts", F.lit(1)) + F.greatest("salt", "other")
+    return salted.withColumn("other", other).withColumn("cell", cell).select("unit", "node", "row", "size", "cell"), True
 
-    kept = written(map_batches(sketched.where(alike).select("a", "b", "n1", "n2", "w1", "w2", "row1", "row2"), likely, "a long, b long, row1 long, row2 long"), f"{folder}/likely")
-    wanted = kept.select(F.col("row1").alias(ROW)).union(kept.select(F.col("row2").alias(ROW))).distinct()
-    texts = written(picked(rows.select(ROW, "text"), wanted), f"{folder}/texts")
-    both = kept.join(texts.select(F.col(ROW).alias("row1"), F.col("text").alias("x")), "row1").join(texts.select(F.col(ROW).alias("row2"), F.col("text").alias("y")), "row2")
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for b in chunks(batches, by="x"):
-            a, z = [], []
-            for i, j, x, y in zip(*(b.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True):
-                s, t = (np.unique(shingle_hashes(v, words)) for v in (x, y))
-                same = len(np.intersect1d(s, t, assume_unique=True))
-                if 10 * same >= tenths * (len(s) + len(t) - same):
-                    a.append(i), z.append(j)
-            yield {"a": a, "b": z}
 
-    with small_batches(spark):
-        return written(map_batches(both.select("a", "b", "x", "y"), run, "a long, b long"), f"{folder}/links")
+def classes(nodes: DataFrame, rows: DataFrame, words: int, tenths: int, bits: int, folder: str) -> DataFrame:
+    """(node, root) for the nodes that are not the first of their class."""
+    live = nodes.where("size > 0")
+    found = components(candidates(live.select("fp", "sides", "node"), live.count(), bits, tenths), f"{folder}/candidates")
+    member = found.select(F.col("root").alias("unit"), "node").union(found.select("root", F.col("root").alias("node")).distinct())
+    members = written(member.join(nodes.select("node", "size", F.col(f"best.{ROW}").alias("row")), "node").select("unit", "node", "row", "size"), f"{folder}/members")
+    dealt, cut = in_cells(members, folder)
+    texts = written(picked(rows.select(ROW, "text"), members.select(F.col("row").alias(ROW))).select(F.col(ROW).alias("row"), "text"), f"{folder}/texts")
+    links = written(linked(dealt.join(texts, "row"), words, tenths), f"{folder}/alike")
+    return components(links, f"{folder}/classes") if cut else links.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def dedup(docs: DataFrame, words: int = 5, tenths: int = 8, bits: int = BITS) -> DataFrame:
-    """One row of each component, with the columns of docs. tenths: ten times the least Jaccard similarity that links two rows."""
-    spark, folder, columns = docs.sparkSession, shared_dir(docs.sparkSession), docs.columns
+    """One row of each class, with the columns of docs. tenths: ten times the least Jaccard similarity that links two rows."""
+    folder, columns = shared_dir(docs.sparkSession), docs.columns
     rows = with_nodes(docs, words, f"{folder}/rows")
     best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(DIGEST).alias("text"), F.col(ROW))
-    nodes = rows.groupBy(F.col(NODE).alias("node")).agg(F.min(best).alias("best"), F.min(FP).alias("fp"), F.min(SIZE).alias("size"), F.min(SKETCH).alias("sketch"))
+    nodes = rows.groupBy(F.col(NODE).alias("node")).agg(F.min(best).alias("best"), F.min(FP).alias("fp"), F.min(SIDES).alias("sides"), F.min(SIZE).alias("size"))
     nodes = written(nodes, f"{folder}/nodes")
-    live, links, roots, limit = nodes.where("size > 0").select("fp", "node", F.col("node").alias("root")), None, None, LIMIT
-    while n := live.count():
-        step = f"{folder}/limit{limit}"
-        found = written(candidates(live, n, bits, limit), f"{step}/found")
-        pairs = found.where("not more").select("a", "b")
-        if not pairs.isEmpty():
-            own = verified(pairs, nodes, rows, words, tenths, step)
-            links = own if links is None else links.union(own)
-            roots = components(links, f"{step}/stars")
-        again = found.where("more").select(F.col("a").alias("node"))
-        live = nodes.join(again, "node", "left_semi")
-        live = live.withColumn("root", F.col("node")) if roots is None else live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        live, limit = written(live.select("fp", "node", "root"), f"{step}/live"), limit * GROW
-    if roots is not None:
-        nodes = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("node"), "best")
-    kept = nodes.groupBy("node").agg(F.min("best").alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
+    roots = classes(nodes, rows, words, tenths, bits, folder)
+    own = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("node"), "best")
+    kept = own.groupBy("node").agg(F.min("best").alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
     return picked(rows, kept).select(*[F.col("`" + c.replace("`", "``") + "`") for c in columns])

@@ -1,5 +1,6 @@
 """Near-duplicates against all pairs: fingerprints of different shingles within some bits, and Jaccard similarity of 0.8 or more."""
 
+import math
 import random
 
 import numpy as np
@@ -17,30 +18,43 @@ def plain_set(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def plain_print(shingles):
+def plain_marks(shingles):
+    """Fingerprint, second fingerprint of 48 bits, and the size's logarithm."""
     h = [xxhash.xxh64_intdigest(b" ".join(s), 42) for s in shingles]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    top = lambda v: sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in v) > len(v))
+    second = [int(x) for x in simhash.key_of(1, np.array(h, np.uint64))]
+    return top(h), top(second) >> 16, math.log(max(1, len(h)))
 
 
 def plain_kept(rows, bits=similar.BITS):
-    """The smallest id of each component, None where a component has no other; one row each."""
+    """The smallest id of each class, None where a class has no other; one row each. bits=64: by similarity alone."""
     sets = [plain_set(t) for _, t in rows]
-    prints = [plain_print(s) for s in sets]
-    root = list(range(len(rows)))
+    marks = [plain_marks(s) for s in sets]
 
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
+    def classes(linked):
+        root = list(range(len(rows)))
 
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if a == b or a and b and (prints[i] ^ prints[j]).bit_count() <= bits and 10 * len(a & b) >= 8 * len(a | b):
-                root[find(i)] = find(j)
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i in range(len(rows)):
+            for j in range(i):
+                if linked(i, j):
+                    root[find(i)] = find(j)
+        return [find(i) for i in range(len(rows))]
+
+    def near(i, j):
+        (a, b, c), (x, y, z) = marks[i], marks[j]
+        return sets[i] == sets[j] or bool(sets[i] and sets[j]) and (a ^ x).bit_count() <= bits and (bits > 63 or (b ^ y).bit_count() <= similar.SIDE_BITS) and abs(c - z) < math.log(1.25) + 0.0015
+
+    unit = classes(near)
+    best = classes(lambda i, j: sets[i] == sets[j] or unit[i] == unit[j] and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]))
     least = {}
-    for i, (d, _) in enumerate(rows):
-        held = least.setdefault(find(i), d)
-        least[find(i)] = d if held is None else held if d is None else min(d, held)
+    for (d, _), k in zip(rows, best, strict=True):
+        held = least.setdefault(k, d)
+        least[k] = d if held is None else held if d is None else min(d, held)
     return sorted(least.values(), key=repr)
 
 
@@ -63,13 +77,13 @@ def edited(r, words, edits):
     return " ".join(words)
 
 
-@pytest.mark.parametrize("limit", [1, 8])
-def test_groups_and_a_common_line(spark, monkeypatch, limit):
-    """A large group of near copies, a chain, exact copies, and one line that all texts hold."""
-    monkeypatch.setattr(similar, "LIMIT", limit)
-    monkeypatch.setattr(similar, "GROW", 3)
-    monkeypatch.setattr(simhash, "HOT", 40)
-    r = random.Random(limit)
+@pytest.mark.parametrize("cell", [300, 10**9])
+def test_groups_and_a_common_line(spark, monkeypatch, cell):
+    """A large group of near copies, a chain, exact copies, and one line that all texts hold; with large components and groups cut, and whole."""
+    monkeypatch.setattr(similar, "CELL", cell)
+    monkeypatch.setattr(simhash, "HOT", 40 if cell == 300 else 10**9)
+    monkeypatch.setattr(simhash, "SAMPLED", 2)
+    r = random.Random(cell)
     text = lambda n: [f"w{r.randrange(3000)}" for _ in range(n)]
     line, base, chain = text(12), text(80), text(60)
     rows = [edited(r, base, r.randrange(4)) for _ in range(60)] + [" ".join(base)] * 40
@@ -82,19 +96,39 @@ def test_groups_and_a_common_line(spark, monkeypatch, limit):
     assert ids(similar.dedup(spark.createDataFrame(rows, SCHEMA).repartition(5))) == plain_kept(rows)
 
 
-def test_partners_see_every_pair():
+def parts(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        root[find(i)] = find(j)
+    return sorted(sorted(i for i in range(n) if find(i) == k) for k in {find(i) for i in range(n)})
+
+
+def test_stars_hold_the_components():
     r = np.random.default_rng(3)
-    base = r.integers(0, 1 << 63, 12).astype(np.uint64)
-    codes = np.concatenate([base[k] ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (300, 6)).astype(np.uint64), axis=1) for k in range(12)])
-    rows = np.stack([codes.view(np.int64), np.arange(len(codes)), np.arange(len(codes)) % 1000], 1)
-    near = np.bitwise_count(codes[:, None] ^ codes[None]) <= 9
-    near &= rows[:, 2][:, None] != rows[:, 2][None]
-    a, b, more = similar.partners(rows, 9, 10**6)
-    assert not len(more) and set(zip(a.tolist(), b.tolist(), strict=True)) == {(i, j) for i, j in np.argwhere(near).tolist() if i < j}
-    a, b, more = similar.partners(rows, 9, 5)
-    assert set(more.tolist()) == set(np.flatnonzero(near.sum(1) > 5).tolist())
-    rest = set(range(len(codes))) - set(more.tolist())
-    assert {(min(i, j), max(i, j)) for i in rest for j in np.flatnonzero(near[i]).tolist()} <= set(zip(a.tolist(), b.tolist(), strict=True))
+    base = r.integers(0, 1 << 63, 60).astype(np.uint64)
+    codes = np.concatenate([base[k] ^ np.bitwise_or.reduce(np.uint64(1) << r.integers(0, 64, (60, 6)).astype(np.uint64), axis=1) for k in range(60)])
+    side = np.where(r.random(len(codes)) < 0.5, 0, 500).astype(np.uint64)
+    rows = np.stack([codes.view(np.int64), side.view(np.int64), np.arange(len(codes))], 1)
+    for bits in (4, 9):
+        near = (np.bitwise_count(codes[:, None] ^ codes[None]) <= bits) & (side[:, None] == side[None])
+        a, b = similar.stars(rows, bits, 8)
+        assert parts(len(codes), zip(a.tolist(), b.tolist(), strict=True)) == parts(len(codes), np.argwhere(near).tolist())
+
+
+def test_alike_is_jaccard():
+    r = random.Random(9)
+    base = [r.sample(range(10_000), 40) for _ in range(8)]
+    sets = [set(r.sample(b, r.randrange(33, 41))) | {r.randrange(10_000) for _ in range(r.randrange(4))} for b in base for _ in range(20)]
+    r.shuffle(sets)
+    got = similar.alike([np.array(sorted(s), np.uint64) for s in sets], 8).tolist()
+    want = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if 10 * len(a & b) >= 8 * len(a | b)]
+    assert parts(len(sets), enumerate(got)) == parts(len(sets), want) and 8 < len(set(got)) < 160
 
 
 def test_odd_rows(odd, empty):
