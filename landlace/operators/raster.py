@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landlace.operators.coreg import median
+from landlace.operators.components import least_of_component
 from landlace.workers import settled
 
 DELTA, PRESENT, BUILT, LEAST, TALLER, FLOOR = 0.40, 0.55, 0.2, 8, 6.0, 3.0
@@ -35,31 +36,49 @@ def opened(mask: DataFrame) -> DataFrame:
     return _moved(whole, square).distinct()
 
 
-def components(mask: DataFrame, most: int = 64) -> DataFrame:
-    """(change, r, q, part): 4-connected parts, named by their first pixel; runs along rows are joined first.
+def components(mask: DataFrame) -> DataFrame:
+    """(change, r, q, part): 4-connected parts, named by their first pixel; runs along rows are joined first."""
+    return runs(mask).select("change", "r", F.explode(F.sequence("a", "z")).alias("q"), "part")
 
-    Neighbouring runs pass on the smaller name, and a name is replaced by its own name's (pointer jumping), so rounds grow
-    with the logarithm of a part's extent for most shapes; each round is cut off with checkpoint().
-    """
+
+def runs(mask: DataFrame) -> DataFrame:
+    """(change, part, r, a, z): the runs along rows that make up each 4-connected part."""
     from pyspark.sql import Window
 
     row = Window.partitionBy("change", "r").orderBy("q")
-    runs = mask.withColumn("run", F.col("q") - F.row_number().over(row)).groupBy("change", "r", "run").agg(F.min("q").alias("a"), F.max("q").alias("z"))
-    runs = settled(runs.select("change", "r", "a", "z", F.concat_ws(":", "change", F.lpad(F.col("r").cast("string"), 9, "0"), F.lpad(F.col("a").cast("string"), 9, "0")).alias("id")))
-    up, down = runs.alias("u"), runs.alias("v")
+    own = mask.withColumn("run", F.col("q") - F.row_number().over(row)).groupBy("change", "r", "run").agg(F.min("q").alias("a"), F.max("q").alias("z"))
+    own = settled(own.select("change", "r", "a", "z", F.concat_ws(":", "change", F.lpad(F.col("r").cast("string"), 9, "0"), F.lpad(F.col("a").cast("string"), 9, "0")).alias("id")))
+    up, down = own.alias("u"), own.alias("v")
     touch = up.join(down, (F.col("u.change") == F.col("v.change")) & (F.col("u.r") + 1 == F.col("v.r")) & (F.col("u.a") <= F.col("v.z")) & (F.col("v.a") <= F.col("u.z")))
-    pairs = touch.select(F.col("u.id").alias("x"), F.col("v.id").alias("y"))
-    edges = settled(pairs.union(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))))
-    label = settled(runs.select("id", F.col("id").alias("part")))
-    for _ in range(most):
-        near = edges.join(label, edges["y"] == label["id"]).groupBy("x").agg(F.min("part").alias("low"))
-        lower = label.join(near, label["id"] == near["x"], "left").select("id", F.least("part", F.coalesce("low", "part")).alias("part"))
-        name = lower.select(F.col("id").alias("part"), F.col("part").alias("own"))
-        new = settled(lower.join(name, "part").select("id", F.col("own").alias("part")))
-        if new.join(label.withColumnRenamed("part", "old"), "id").where("part <> old").isEmpty():
-            break
-        label = new
-    return runs.join(label, "id").select("change", "r", F.explode(F.sequence("a", "z")).alias("q"), "part")
+    label = least_of_component(own.select("id"), touch.select(F.col("u.id").alias("x"), F.col("v.id").alias("y")))
+    return own.join(label, "id").select("change", "part", "r", "a", "z")
+
+
+def outlines(mask: DataFrame, size: float = 4.0, west: float = 0.0, north: float = 0.0) -> DataFrame:
+    """(change, part, geom): each part as polygons that don't overlap, one rectangle for each run; row r lies `size` south of row r - 1."""
+    x1, x2 = west + F.col("a") * size, west + (F.col("z") + 1) * size
+    y2, y1 = north - F.col("r") * size, north - (F.col("r") + 1) * size
+    corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    return runs(mask).select("change", "part", F.array(F.array(corner(x1, y1), corner(x2, y1), corner(x2, y2), corner(x1, y2))).alias("geom"))
+
+
+def cover_by_map(mask: DataFrame, layer: DataFrame, size: float = 4.0, west: float = 0.0, north: float = 0.0) -> DataFrame:
+    """(change, part, area, covered): how much of each part the polygons of a current map (geom) cover."""
+    from landlace.operators import polygons
+
+    pieces = outlines(mask, size, west, north).withColumn("piece", F.struct("change", "part", "geom"))
+    by = polygons.cover(pieces.select("piece", "geom"), "piece", layer)
+    return by.groupBy("piece.change", "piece.part").agg(F.sum("area").alias("area"), F.sum("covered").alias("covered"))
+
+
+def zones_of(pixels: DataFrame, zones: DataFrame, key: str, size: float = 4.0, west: float = 0.0, north: float = 0.0) -> DataFrame:
+    """(key, r, q): the pixels whose centre lies in a zone's polygon; pixels: r, q, zones: key, geom."""
+    from landlace.operators import polygons
+    from landlace.operators.spatial_join import as_boxes, join_boxes
+
+    at = as_boxes(pixels.select("r", "q", (west + (F.col("q") + 0.5) * size).alias("px"), (north - (F.col("r") + 0.5) * size).alias("py")), "px", "py")
+    pairs = join_boxes(at, polygons.enveloped(zones.select(F.col(key).alias("key"), "geom")), 0.0)
+    return pairs.where(polygons.inside(F.col("b_geom"), F.col("a_px"), F.col("a_py"))).select(F.col("b_key").alias(key), F.col("a_r").alias("r"), F.col("a_q").alias("q"))
 
 
 def clusters(pixels: DataFrame, pixel_m2: float = 16.0, least: int = LEAST) -> DataFrame:
