@@ -298,3 +298,16 @@ def turned(poly: list[Ring], angle: float, factor: float = 1.0, shift: tuple[flo
     """Turned and scaled about the centroid, then shifted."""
     c, (co, si) = np.array(centroid(poly)), (np.cos(angle), np.sin(angle))
     return [(r - c) @ (factor * np.array([[co, si], [-si, co]])) + c + np.array(shift) for r in poly]
+
+
+def widened(line: np.ndarray, half: float, corners: int = 32) -> list[list[Ring]]:
+    """A line grown by `half` on either side, with flat ends: a rectangle for each of its sides and a disc of `corners` corners where two meet."""
+    out = []
+    sides = [(p, q) for p, q in zip(line[:-1], line[1:], strict=True) if (p != q).any()]
+    for p, q in sides:
+        d = (q - p) / np.hypot(*(q - p)) * half
+        n = np.array([-d[1], d[0]])
+        out.append([np.array([p + n, p - n, q - n, q + n])])
+    angle = np.arange(corners) * 2 * np.pi / corners
+    out += [[q + half * np.stack([np.cos(angle), np.sin(angle)], 1)] for _, q in sides[:-1]]
+    return out

@@ -31,7 +31,7 @@ def _central(zone: Column | int) -> Column:
 
 
 def utm(lon: Column, lat: Column, zone: Column | int) -> tuple[Column, Column]:
-    """Easting and northing in metres of degrees on the northern half."""
+    """Easting and northing in metres of degrees; south of the equator northings are negative, without the false 10,000 km of southern zones."""
     c = 2 * math.sqrt(N) / (1 + N)
     s, d = F.sin(F.radians(lat)), F.radians(lon) - _central(zone)
     t = F.sinh(F.atanh(s) - c * F.atanh(c * s))

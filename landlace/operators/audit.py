@@ -45,7 +45,7 @@ def decisions_on(records: DataFrame, log: DataFrame, key: str) -> DataFrame:
 
 
 def entry_hash(prev: Column, body: Column) -> Column:
-    return F.sha2(F.concat(prev, body).cast("binary"), 256)
+    return F.sha2(F.concat(prev, F.coalesce(body, F.lit(""))).cast("binary"), 256)
 
 
 def canonical(body: dict) -> str:
@@ -56,7 +56,7 @@ def canonical(body: dict) -> str:
 def chain_build(log: DataFrame, chain: str, order: str, body: str) -> DataFrame:
     """The log with prev and hash: each entry's hash covers the one before in its chain.
 
-    A chain is sequential by nature: rows are sorted within it and streamed, holding one hash at a time.
+    A chain is sequential by nature: rows are sorted within it and streamed, holding one hash at a time. A null body is hashed as an empty one.
     """
     schema = f"{log.select(chain, order, body).schema.simpleString()[7:-1]}, prev string, hash string"
 
@@ -68,7 +68,7 @@ def chain_build(log: DataFrame, chain: str, order: str, body: str) -> DataFrame:
                 if c != now:
                     now, prev = c, GENESIS
                 prevs.append(prev)
-                prev = hashlib.sha256((prev + b).encode()).hexdigest()
+                prev = hashlib.sha256((prev + (b or "")).encode()).hexdigest()
                 hashes.append(prev)
             yield df.assign(prev=prevs, hash=hashes)
 
@@ -104,8 +104,13 @@ def tail(log: DataFrame, n: int = 50, order: str = "seq") -> DataFrame:
     return log.orderBy(F.col(order).desc()).limit(n)
 
 
-#: What each role may do: decide on pairs, change a decision, see the truth, manage users.
-ROLES = {"viewer": (), "officer": ("decide",), "supervisor": ("decide", "revise", "truth"), "admin": ("truth", "users")}
+#: What each role may do.
+ROLES = {
+    "officer": ("decide", "label"),
+    "supervisor": ("decide", "override", "truth", "export", "label"),
+    "auditor": ("export",),
+    "admin": ("truth", "admin", "export"),
+}
 
 
 def allowed(rows: DataFrame, right: str, role: str = "role") -> DataFrame:

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from landlace.functions import boxes
+from landlace.operators import polygons
 from landlace.operators.spatial_join import mutual_nearest, nearest_growing
 from landlace.workers import settled
 
 
 def centres(layer: DataFrame, key: str) -> DataFrame:
+    """Centroids of the polygons where the layer has them (geom), else centres of its boxes."""
+    if "geom" in layer.columns:
+        return layer.select(key, polygons.centroid(F.col("geom")).alias("c")).select(key, "c.x", "c.y")
     x, y = boxes.centre()
     return layer.select(key, x.alias("x"), y.alias("y"))
 
@@ -46,6 +50,9 @@ def local_shift(b: DataFrame, found: DataFrame, k: int = 25, radius: float = 250
 
 def moved(b: DataFrame, shift: DataFrame) -> DataFrame:
     """The layer with each shape taken back by its own shift."""
+    if "geom" in b.columns:
+        move = lambda ring: F.transform(ring, lambda p: F.struct((p["x"] - F.coalesce("sx", F.lit(0.0))).alias("x"), (p["y"] - F.coalesce("sy", F.lit(0.0))).alias("y")))
+        return b.join(shift.select("b_id", "sx", "sy"), "b_id", "left").withColumn("geom", F.transform("geom", move)).drop("sx", "sy")
     back = {f"{c}{i}": F.col(f"{c}{i}") - F.coalesce(f"s{c}", F.lit(0.0)) for c in "xy" for i in "12"}
     return b.join(shift.select("b_id", "sx", "sy"), "b_id", "left").withColumns(back).drop("sx", "sy")
 
@@ -53,7 +60,7 @@ def moved(b: DataFrame, shift: DataFrame) -> DataFrame:
 def estimate(a: DataFrame, b: DataFrame, max_d: float = 15.0, iou_min: float = 0.4, k: int = 25, radius: float = 250.0, rounds: int = 2, least: int = 10, folder: str | None = None) -> DataFrame:
     """(b_id, sx, sy) after `rounds` rounds: rough anchors give a global shift, anchors that overlap well the local ones.
 
-    Each round's shift is cut off with checkpoint(); with fewer than `least` anchors the shift stays as it is (zero at first).
+    Each round's shift is a written table; with fewer than `least` anchors the shift stays as it is (zero at first).
     """
     rough = anchors(a, b, max_d)
     one = global_shift(rough).first()
@@ -65,9 +72,15 @@ def estimate(a: DataFrame, b: DataFrame, max_d: float = 15.0, iou_min: float = 0
     for _ in range(rounds):
         now = moved(b, shift)
         pairs = anchors(a, now, max_d).select("a_id", "b_id", "a_x", "a_y")
-        both = pairs.join(a.select("a_id", *[F.col(c).alias(f"a_{c}") for c in ("x1", "y1", "x2", "y2")]), "a_id").join(now.select("b_id", *[F.col(c).alias(f"b_{c}") for c in ("x1", "y1", "x2", "y2")]), "b_id")
-        inter = boxes.shared("a_", "b_")
-        good = both.where(inter / (boxes.area("a_") + boxes.area("b_") - inter) >= iou_min).join(raw.select("b_id", "x", "y"), "b_id")
+        if "geom" in a.columns:
+            both = pairs.join(a.select("a_id", F.col("geom").alias("ga")), "a_id").join(now.select("b_id", F.col("geom").alias("gb")), "b_id").withColumns({"aa": polygons.area(F.col("ga")), "ab": polygons.area(F.col("gb"))})
+            inter, area_a, area_b = polygons.shared(F.col("ga"), F.col("gb")), F.col("aa"), F.col("ab")
+        else:
+            sides = lambda df, k: df.select(f"{k}_id", *[F.col(c).alias(f"{k}_{c}") for c in ("x1", "y1", "x2", "y2")])
+            both = pairs.join(sides(a, "a"), "a_id").join(sides(now, "b"), "b_id")
+            inter, area_a, area_b = boxes.shared("a_", "b_"), boxes.area("a_"), boxes.area("b_")
+        both = both.withColumn("inter", inter)
+        good = both.where(F.col("inter") / (area_a + area_b - F.col("inter")) >= iou_min).join(raw.select("b_id", "x", "y"), "b_id")
         found = settled(good.select("a_id", "b_id", "a_x", "a_y", (F.col("x") - F.col("a_x")).alias("dx"), (F.col("y") - F.col("a_y")).alias("dy")))
         if found.count() < least:
             break

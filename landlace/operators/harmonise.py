@@ -111,3 +111,13 @@ def harmonise(parcels: DataFrame, links: DataFrame, revenue: DataFrame, tax: Dat
         F.concat_ws(",", F.lit("cadastral"), F.when(linked, "revenue"), F.when(has_tax, "municipal_tax")).alias("sources"), F.array_join("conflicts", ";").alias("conflicts"), "n_conflicts",
         *[c.alias(n) for n, c in confidence(spatial, linked, has_tax, F.coalesce("state", F.lit("clean")), F.col("n_conflicts"), r).items()],
     )
+
+
+def conflict_scores(found: DataFrame, truth: DataFrame, kinds: tuple[str, ...] = ("owner", "area", "land_use")) -> DataFrame:
+    """(type, injected, flagged, correct, precision, recall) of conflicts (parcel_id, type) for each kind; 1 where there is nothing to divide by."""
+    own = lambda df, n: df.select("parcel_id", "type").distinct().withColumn(n, F.lit(1))
+    both = own(found, "f").join(own(truth, "t"), ["parcel_id", "type"], "full")
+    by = both.groupBy("type").agg(F.count("t").alias("injected"), F.count("f").alias("flagged"), F.count_if(F.col("t").isNotNull() & F.col("f").isNotNull()).alias("correct"))
+    every = found.sparkSession.createDataFrame([(k,) for k in kinds], "type string").join(by, "type", "left").fillna(0, ["injected", "flagged", "correct"])
+    share = lambda n, d: F.when(F.col(d) > 0, F.col(n) / F.col(d)).otherwise(F.lit(1.0))
+    return every.withColumns({"precision": share("correct", "flagged"), "recall": share("correct", "injected")})

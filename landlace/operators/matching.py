@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,3 +113,19 @@ def roles(a: DataFrame, key: Column, shares: Sequence[float] = (0.5, 0.2, 0.3))
     calib = F.greatest(F.lit(1), F.round(F.lit(shares[1]) * F.col("n"))).cast("long")
     role = F.when(F.col("place") <= F.least(train, F.greatest(F.col("n") - 1, F.lit(1))), "train").when((F.col("place") <= train + calib) & (F.col("place") < F.col("n")), "calib").otherwise("test")
     return a.join(ranked.select("bi", "bj", role.alias("role")), ["bi", "bj"])
+
+
+def best_of(pairs: DataFrame, layer: DataFrame, key: str, p: str = "p") -> DataFrame:
+    """(key, best_p): the best score of each shape of a layer, 0 where it is in no pair."""
+    best = pairs.groupBy(key).agg(F.max(p).alias("best_p"))
+    return layer.select(key).join(best, key, "left").select(key, F.coalesce("best_p", F.lit(0.0)).alias("best_p"))
+
+
+def macro(rows: DataFrame, *measures: str) -> DataFrame:
+    """One row: the plain mean of each measure over kinds, however many cases each kind has."""
+    return rows.agg(*[F.avg(m).alias(m) for m in measures])
+
+
+def profiles(sets: dict[str, DataFrame]) -> DataFrame:
+    """Training pairs of several error profiles, with the profile's name."""
+    return reduce(DataFrame.unionByName, [df.withColumn("profile", F.lit(name)) for name, df in sets.items()])

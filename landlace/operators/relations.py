@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,10 +40,11 @@ def covering(parts: DataFrame, big_key: str, least: int = 2) -> DataFrame:
     return parts.groupBy(big_key).agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def describe(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+def describe(pairs: DataFrame, a: DataFrame, b: DataFrame, part_of: Callable = part_of) -> DataFrame:
     """One row on a pair of layers: links, counterparts, relations, offsets. pairs: a_id, b_id, bucket, centroid_dist, iou, area_ratio.
 
-    The pairs and the relations each are joined once and then read several times from a checkpoint.
+    The pairs and the relations each are joined once and then read several times from a checkpoint. part_of: polygons.part_of for
+    layers of polygons.
     """
     pairs = settled(pairs.select("a_id", "b_id", "bucket", "centroid_dist", "iou", "area_ratio"))
     hit = pairs.where("bucket <> 'reject'")

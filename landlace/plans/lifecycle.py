@@ -24,23 +24,16 @@ class Match:
     description: DataFrame
 
 
-def shifted(b: DataFrame, shift: DataFrame) -> DataFrame:
-    """Outlines taken back by their own shift."""
-    move = lambda ring: F.transform(ring, lambda p: F.struct((p["x"] - F.coalesce("sx", F.lit(0.0))).alias("x"), (p["y"] - F.coalesce("sy", F.lit(0.0))).alias("y")))
-    return b.join(shift, "b_id", "left").withColumn("geom", F.transform("geom", move)).drop("sx", "sy")
-
-
 def match_layers(a: DataFrame, b: DataFrame, m: learn.Matcher, register: bool = True, iou_accept: float = 0.5) -> Match:
     """a: a_id, geom; b: b_id, geom, in the same metres. The second is moved onto the first, pairs are scored, and a confident score or a good overlap accepts."""
     shift = None
     if register:
-        shift = coreg.estimate(polygons.enveloped(a).select("a_id", "x1", "y1", "x2", "y2"), polygons.enveloped(b).select("b_id", "x1", "y1", "x2", "y2"))
-        b = settled(shifted(b, shift))
+        shift = coreg.estimate(a.select("a_id", "geom"), b.select("b_id", "geom"))
+        b = settled(coreg.moved(b, shift))
     scored = learn.score(polygons.pair_features(a, b, m.radius), m)
     bucket, why = matching.combined(F.col("p"), F.col("iou"), m.t_low, m.t_high, iou_accept)
     pairs = settled(scored.withColumns({"bucket": bucket, "why": why}))
-    boxes = [polygons.enveloped(x).select(k, "x1", "y1", "x2", "y2") for x, k in ((a, "a_id"), (b, "b_id"))]
-    return Match(pairs, b, shift, relations.describe(pairs, *boxes))
+    return Match(pairs, b, shift, relations.describe(pairs, a.select("a_id", "geom"), b.select("b_id", "geom"), polygons.part_of))
 
 
 def training(t: generate.Trial, radius: float = 30.0) -> DataFrame:

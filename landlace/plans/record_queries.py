@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from landlace.functions import boxes, projection, strings
 from landlace.operators import audit, estimates, harmonise, matching, raster, schema_match
 from landlace.plans.registry import query, table_query
-from landlace.plans.spatial_queries import BUCKETS, predicted
+from landlace.plans.spatial_queries import AREA_A, AREA_B, BUCKETS, D2, INTER, predicted
 from landlace.workers import settled
 
 # --- decisions on scored pairs ---------------------------------------------------------------------------------------
@@ -337,10 +337,10 @@ def record_search(log):
     return audit.search(log.select("seq", "pair", "officer", "decision"), "OFFICER1", order="seq").select("seq", "officer")
 
 
-@query("decisions", more="p as (select seq, pair % 260 as pair, case when seq % 2 = 0 then 'accept' else 'reject' end as decision, case when seq % 7 = 0 then 'viewer' when seq % 3 = 0 then 'supervisor' else 'officer' end as role, case when seq % 4 = 0 then '' else 'seen' end as reason, pair % 9 <> 0 as known from decisions), l as (select pair, arg_max(decision, seq) as now, count(*) - 1 as revisions from decisions group by pair)",
-       sql="select seq, case when not known then 404 when role = 'viewer' then 403 when now is null then 201 when now = decision then 200 when role <> 'supervisor' then 403 when trim(reason) = '' then 400 when revisions >= 4 then 409 else 201 end as status from p left join l using (pair)")
+@query("decisions", more="p as (select seq, pair % 260 as pair, case when seq % 2 = 0 then 'accept' else 'reject' end as decision, case when seq % 7 = 0 then 'auditor' when seq % 3 = 0 then 'supervisor' else 'officer' end as role, case when seq % 4 = 0 then '' else 'seen' end as reason, pair % 9 <> 0 as known from decisions), l as (select pair, arg_max(decision, seq) as now, count(*) - 1 as revisions from decisions group by pair)",
+       sql="select seq, case when not known then 404 when role = 'auditor' then 403 when now is null then 201 when now = decision then 200 when role <> 'supervisor' then 403 when trim(reason) = '' then 400 when revisions >= 4 then 409 else 201 end as status from p left join l using (pair)")
 def decision_status(log):
-    p = log.selectExpr("seq", "pair % 260 as pair", "case when seq % 2 = 0 then 'accept' else 'reject' end as decision", "case when seq % 7 = 0 then 'viewer' when seq % 3 = 0 then 'supervisor' else 'officer' end as role", "case when seq % 4 = 0 then '' else 'seen' end as reason", "pair % 9 <> 0 as known")
+    p = log.selectExpr("seq", "pair % 260 as pair", "case when seq % 2 = 0 then 'accept' else 'reject' end as decision", "case when seq % 7 = 0 then 'auditor' when seq % 3 = 0 then 'supervisor' else 'officer' end as role", "case when seq % 4 = 0 then '' else 'seen' end as reason", "pair % 9 <> 0 as known")
     return audit.judged(p, log).select("seq", "status")
 
 
@@ -415,15 +415,75 @@ def quadkey(a):
     return a.select("a_id", projection.quadkey((y / 1000.0) + 10, (x / 1000.0) + 78, 9).alias("quadkey"))
 
 
-@query("layer_a")
+@query("layer_a", sql="select count(*) as n, 0 as over_a_millimetre from layer_a")
 def projected_round_trip(a):
-    """Largest error in metres of degrees to UTM and back over a layer; far under a millimetre."""
+    """Centres as degrees to UTM and back, on either half of the earth: how many come back more than a millimetre off."""
     x, y = boxes.centre()
-    deg = a.select((x / 10000.0 + 79).alias("lon"), (y / 10000.0 + 12).alias("lat"))
+    deg = a.select((x / 10000.0 + 79).alias("lon"), (F.when(F.col("a_id") % 2 == 0, 1).otherwise(-1) * (y / 10000.0 + 12)).alias("lat"))
     e, n = projection.utm(F.col("lon"), F.col("lat"), 44)
     back = deg.withColumns({"e": e, "n": n})
     lon, lat = projection.from_utm(F.col("e"), F.col("n"), 44)
-    return back.select(F.max(F.greatest(F.abs(lon - F.col("lon")), F.abs(lat - F.col("lat"))) * 111_320).alias("max_error_m"))
+    return back.agg(F.count("*").alias("n"), F.count_if(F.greatest(F.abs(lon - F.col("lon")), F.abs(lat - F.col("lat"))) * 111_320 > 0.001).alias("over_a_millimetre"))
+
+
+# --- links, repair priority, scores by type ------------------------------------------------------------------------------
+
+
+@query("layer_a", "layer_b", more=BUCKETS, sql="select a_id, b_id, iou as p, row_number() over (order by iou desc, a_id, b_id) as place from pred where bucket = 'accept' qualify place <= 500")
+def links_by_score(a, b):
+    """The 500 surest links, best first."""
+    from pyspark.sql import Window
+
+    top = predicted(a, b).where("bucket = 'accept'").select("a_id", "b_id", F.col("iou").alias("p")).orderBy(F.desc("p"), "a_id", "b_id").limit(500)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("p"), "a_id", "b_id")).cast("long"))  # 500 rows
+
+
+@query("layer_a", "layer_b", more=BUCKETS, sql="select b_id, coalesce(max(iou), 0.0) as best_p from layer_b left join pred using (b_id) group by b_id")
+def best_score_of_b(a, b):
+    """What repair ranks the second layer's shapes by."""
+    return matching.best_of(predicted(a, b).withColumnRenamed("iou", "p"), b, "b_id")
+
+
+_IOU = f"{INTER} / greatest({AREA_A} + {AREA_B} - {INTER}, 1e-9)"
+_LABELLED = "lab as (select t.a_id is not null as hit from pred p left join (select distinct a_id, b_id from truth) t on p.a_id = t.a_id and p.b_id = t.b_id where bucket = 'accept')"
+_AREA = f"""{BUCKETS}, {_LINKS}, f as (select a.a_id as parcel_id from layer_a a join lk on lk.a_id = a.a_id join revenue r on r.b_id = lk.b_id where n_links = 1 and n_a = 1 and abs((round(extent * 40.468564::double, 1) - (x2 - x1) * (y2 - y1)) / ((x2 - x1) * (y2 - y1))) > 0.15),
+  t as (select a_id as parcel_id from lk where n_links = 1 and n_a = 1 and b_id % 13 = 0), s as (select 'area' as type, (select count(*) from t) as injected, (select count(*) from f) as flagged, (select count(*) from f join t using (parcel_id)) as correct),
+  ps as (select *, case when flagged > 0 then correct / flagged else 1.0 end as "precision", case when injected > 0 then correct / injected else 1.0 end as recall from s)"""
+
+
+def _area_conflicts(a, b, revenue):
+    links = predicted(a, b).where("bucket = 'accept'").select("a_id", "b_id", F.round("iou", 6).alias("p"))
+    empty = revenue.sparkSession.createDataFrame([], "tax_id long, a_id long, assessee string, plinth_sqft double, usage string")
+    rec = settled(harmonise.harmonise(a.withColumn("land_use", F.lit("Residential")), links, revenue, empty))
+    found = rec.select("parcel_id", F.explode(F.split("conflicts", ";")).alias("type")).where("type = 'area'")
+    own = rec.where("link_type = '1:1'").select("parcel_id", F.col("revenue_ids").cast("long").alias("b_id"))
+    return harmonise.conflict_scores(found, own.where("b_id % 13 = 0").select("parcel_id", F.lit("area").alias("type")), ("area",))
+
+
+@query("layer_a", "layer_b", "revenue", more=_AREA, sql="select * from ps")
+def conflict_scores(a, b, revenue):
+    """Area conflicts against what the register was given wrong."""
+    return _area_conflicts(a, b, revenue)
+
+
+@query("layer_a", "layer_b", "revenue", "truth", more=f"{_AREA}, {_LABELLED}", sql='select avg("precision") as "precision", avg(recall) as recall from (select "precision", recall from ps union all select cast(sum(case when hit then 1 else 0 end) as double) / count(*), cast(sum(case when hit then 1 else 0 end) as double) / (select count(*) from (select distinct a_id, b_id from truth)) from lab) u')
+def macro_scores(a, b, revenue, truth):
+    """The plain mean over kinds: area conflicts and links."""
+    accepted = matching.labelled(predicted(a, b).where("bucket = 'accept'"), truth)
+    links = accepted.agg((F.sum("label") / F.count("*")).alias("precision"), F.sum("label").alias("hit")).crossJoin(truth.select("a_id", "b_id").distinct().agg(F.count("*").alias("n")))
+    rows = _area_conflicts(a, b, revenue).select("precision", "recall").unionByName(links.select("precision", (F.col("hit") / F.col("n")).alias("recall")))
+    return matching.macro(rows, "precision", "recall")
+
+
+_MOVED = "mv as (select b_id, x1 + 2 as x1, y1, x2 + 2 as x2, y2 from layer_b)"
+
+
+@query("layer_a", "layer_b", more=f"{_MOVED}, u as (select 'as it is' as profile, {_IOU} as iou from layer_a a join layer_b b on {D2} <= 900 union all select 'moved', {_IOU} from layer_a a join mv b on {D2} <= 900)", sql="select profile, count(*) as pairs, count_if(iou >= 0.5) as overlapping from u group by profile")
+def training_profiles(a, b):
+    """Training pairs of two error profiles, one below the other."""
+    moved = b.withColumns({"x1": F.col("x1") + 2, "x2": F.col("x2") + 2})
+    rows = matching.profiles({"as it is": predicted(a, b), "moved": predicted(a, moved)})
+    return rows.groupBy("profile").agg(F.count("*").alias("pairs"), F.count_if(F.col("iou") >= 0.5).alias("overlapping"))
 
 
 # --- the classifier --------------------------------------------------------------------------------------------------

@@ -260,13 +260,19 @@ def _epochs(a, b):
     return predicted(a, b).select(F.col("a_id").alias("earlier_id"), F.col("b_id").alias("later_id"), F.round("iou", 6).alias("p"), "area_ratio", F.col("area_a").alias("area_e"), F.col("area_b").alias("area_l"))
 
 
-@query("layer_a", "layer_b")
+_GREEDY = f"""{PAIRS}, s as (select a_id, b_id, round(iou, 6) as p, area_ratio, area_a, area_b, row_number() over (order by round(iou, 6) desc, a_id, b_id) as i from pairs where round(iou, 6) >= 0.3),
+  g as (with recursive c as (select cast(0 as bigint) as i, [cast(-1 as bigint)] as ua, [cast(-1 as bigint)] as ub, false as take union all select s.i, case when list_contains(ua, a_id) or list_contains(ub, b_id) then ua else list_append(ua, a_id) end,
+    case when list_contains(ua, a_id) or list_contains(ub, b_id) then ub else list_append(ub, b_id) end, not (list_contains(ua, a_id) or list_contains(ub, b_id)) from c join s on s.i = c.i + 1) select s.* from c join s using (i) where take)"""
+
+
+@query("layer_a", "layer_b", more=_GREEDY, sql="select a_id as earlier_id, b_id as later_id, p, area_ratio, area_a as area_e, area_b as area_l from g")
 def greedy_match(a, b):
-    """One-to-one links by overlap; checked by tests against a sequential pass."""
+    """One-to-one links by overlap; the SQL is the pass itself, pair by pair."""
     return changes.greedy(_epochs(a, b).where("p >= 0.3"), "earlier_id", "later_id")
 
 
-@query("layer_a", "layer_b")
+@query("layer_a", "layer_b", more=_GREEDY, sql="""select a_id as earlier_id, b_id as later_id, case when area_ratio < 0.8 then 'altered' else 'unchanged' end as change, p, round(100 * (area_b - area_a) / greatest(area_a, 1e-9), 1) as area_change_pct from g
+  union all select a_id, null, 'demolished', null, null from layer_a where a_id not in (select a_id from g) union all select null, b_id, 'new', null, null from layer_b where b_id not in (select b_id from g)""")
 def change_classes(a, b):
     return changes.classify(_epochs(a, b), a.select(F.col("a_id").alias("earlier_id")), b.select(F.col("b_id").alias("later_id")), 0.3)
 
