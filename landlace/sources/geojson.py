@@ -23,15 +23,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str, box: tuple[float, float, float, float] | None = None) -> DataFrame:
-    """Features one to a line, zipped or not; with a box (west, south, east, north) those of which any outer corner lies in it."""
+    """Features one to a line, zipped or not; with a box (west, south, east, north) those of which any corner of any ring of any part lies in it."""
     lines = spark.read.text(path).where(F.trim("value") != "")
     f = lines.select(F.from_json("value", FEATURE).alias("f"))
     out = f.select(F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"), F.col("f.properties").alias("properties"))
     if box is None:
         return out
     w, s, e, n = box
-    ring = F.element_at(F.from_json("coordinates", f"array<array<{POINT}>>"), 1)
-    return out.where((F.col("kind") == "Polygon") & F.exists(ring, lambda p: p[0].between(w, e) & p[1].between(s, n)))
+    one, many = F.from_json("coordinates", f"array<array<{POINT}>>"), F.from_json("coordinates", f"array<array<array<{POINT}>>>")
+    points = F.when(F.col("kind") == "Polygon", F.flatten(one)).when(F.col("kind") == "MultiPolygon", F.flatten(F.flatten(many)))
+    return out.where(F.coalesce(F.exists(points, lambda p: p[0].between(w, e) & p[1].between(s, n)), F.lit(False)))
 
 
 def polygons(features: DataFrame) -> DataFrame:

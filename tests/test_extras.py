@@ -82,8 +82,8 @@ def test_labels(spark):
 
 def test_users(spark):
     users = spark.createDataFrame([("ann", "admin", True), ("bob", "officer", True)], "username string, role string, active boolean")
-    more = audit.users_with(users, spark.createDataFrame([(" Ann ", "viewer", True), ("Cy", "viewer", True)], "username string, role string, active boolean"))
-    assert {r["username"]: r["role"] for r in more.collect()} == {"ann": "admin", "bob": "officer", "cy": "viewer"}
+    more = audit.users_with(users, spark.createDataFrame([(" Ann ", "auditor", True), ("Cy", "auditor", True)], "username string, role string, active boolean"))
+    assert {r["username"]: r["role"] for r in more.collect()} == {"ann": "admin", "bob": "officer", "cy": "auditor"}
     changed = audit.users_changed(users, spark.createDataFrame([("ann", None, False), ("bob", "supervisor", False)], "username string, role string, active boolean"), by="ann")
     assert {tuple(r) for r in changed.collect()} == {("ann", "admin", True), ("bob", "supervisor", False)}
     assert audit.allowed(changed, "decide").count() == 1

@@ -162,7 +162,7 @@ def test_chain(spark):
 
 def test_decisions(spark):
     log = spark.createDataFrame([("p", "accept", i) for i in range(5)] + [("q", "accept", 9)], "pair string, decision string, seq long")
-    rows = [("q", "accept", "officer", "", True), ("q", "reject", "officer", "x", True), ("q", "reject", "supervisor", " ", True), ("q", "reject", "supervisor", "x", True), ("p", "reject", "supervisor", "x", True), ("z", "accept", "officer", "", False), ("n", "accept", "officer", "", True), ("n", "accept", "viewer", "", True)]
+    rows = [("q", "accept", "officer", "", True), ("q", "reject", "officer", "x", True), ("q", "reject", "supervisor", " ", True), ("q", "reject", "supervisor", "x", True), ("p", "reject", "supervisor", "x", True), ("z", "accept", "officer", "", False), ("n", "accept", "officer", "", True), ("n", "accept", "auditor", "", True)]
     df = spark.createDataFrame(rows, "pair string, decision string, role string, reason string, known boolean")
     got = {(r["pair"], r["decision"], r["role"], r["reason"]): r["status"] for r in audit.judged(df, log).collect()}
     assert [got[r[:4]] for r in rows] == [200, 403, 400, 201, 409, 404, 201, 403]
