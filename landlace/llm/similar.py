@@ -1,12 +1,12 @@
 """Near-duplicates of whole texts: SimHash links, verified by exact Jaccard similarity, then components; one row of each stays.
 
-Rows with equal shingle sets are one node. A node's fingerprint has the bits that over half of its different shingles' hashes set; a second
-one of 48 bits, of the same hashes scrambled, goes with it beside the set's size. Two nodes are candidates if their fingerprints
-differ in `bits` bits at most, the second ones in SIDE_BITS, and the sizes allow the similarity. Two nodes of one component of
-candidates are linked if their sets have a Jaccard similarity of `tenths` tenths or more, exactly.
+Rows with equal shingle sets are one node. A node has two fingerprints: the bits that over half of its different shingles' hashes set, and the
+same of the hashes scrambled. Two nodes are candidates if one of their fingerprints differs in `bits` bits at most, the upper 48 bits
+of the other in SIDE_BITS, and the sizes allow the similarity. Two nodes of one component of candidates are linked if their sets have
+a Jaccard similarity of `tenths` tenths or more, exactly.
 
-Sets of similarity 0.8 differ in 9.7 of 64 bits on average, and in more than BITS for one pair in ten; at 0.85 for one in thirty,
-from 0.9 on for one in 250. Such a pair is lost unless its texts are in one component of candidates through others.
+Fingerprints of sets of similarity 0.8 differ in 9.7 of 64 bits on average; both in more than BITS for one pair in a hundred,
+at 0.85 for one in a thousand. Such a pair is lost unless its texts are in one component of candidates through others.
 
 Candidates come from the groups and the Gray-order index of `simhash`; a group gives each node's link to the first of its
 component there, never its pairs. The texts of a component of candidates then meet in one task, which holds all its sets against one
@@ -28,7 +28,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landlace.llm.common import chunks, map_batches, schema_with, shared_dir, written
@@ -39,7 +39,7 @@ BITS, SIDE_BITS, SIDE = 13, 15, np.uint64(0xFFFF)
 CELL = 2_000_000
 #: Bytes of text in a bucket of the rows.
 BUCKET_BYTES = 128_000_000
-NODE, ROW, FP, SIDES, SIZE, DIGEST = (f"landlace_{x}" for x in ("node", "row", "fp", "sides", "size", "digest"))
+NODE, ROW, FP, SECOND, SIZE, DIGEST = (f"landlace_{x}" for x in ("node", "row", "fp", "second", "size", "digest"))
 
 
 def number(raw: bytes) -> int:
@@ -49,15 +49,18 @@ def number(raw: bytes) -> int:
     return int(np.uint64(xxh(raw, SEED)).view(np.int64))
 
 
-def sides(hashes: np.ndarray) -> int:
-    """The second fingerprint in the upper 48 bits, a thousand times the logarithm of the size in the lower 16; signed."""
-    x = majority(key_of(1, hashes)) if len(hashes) else 0
-    low = round(1000 * math.log(max(1, len(hashes))))
-    return int((np.uint64(x) & ~SIDE | np.uint64(low)).view(np.int64))
+def second(hashes: np.ndarray) -> int:
+    """The fingerprint of the scrambled hashes."""
+    return majority(key_of(1, hashes)) if len(hashes) else 0
+
+
+def sides(other: Column, size: Column) -> Column:
+    """The other fingerprint's upper 48 bits, and a thousand times the logarithm of the size in the lower 16."""
+    return other.bitwiseAND(F.lit(~0xFFFF)).bitwiseOR(F.round(1000 * F.ln(F.greatest(F.lit(1), size))).cast("long"))
 
 
 def may_match(x: np.ndarray, y: np.ndarray, tenths: int) -> np.ndarray:
-    """Whether second fingerprints and sizes (sides, unsigned) allow the similarity."""
+    """Whether other fingerprints and sizes (sides, unsigned) allow the similarity."""
     near = np.bitwise_count((x ^ y) & ~SIDE) <= SIDE_BITS
     return near & (np.abs((x & SIDE).astype(np.int64) - (y & SIDE).astype(np.int64)) <= 1000 * math.log(10 / tenths) + 1)
 
@@ -72,10 +75,10 @@ def with_nodes(docs: DataFrame, words: int, folder: str) -> DataFrame:
             texts = b.column("text").to_pylist()
             sets = [np.unique(shingle_hashes(t, words)) for t in texts]
             out = {c: b.column(i) for i, c in enumerate(columns)} | {NODE: [number(h.astype("<u8").tobytes()) if len(h) else 0 for h in sets], SIZE: list(map(len, sets))}
-            out |= {FP: np.array([majority(h) for h in sets], np.uint64).view(np.int64), SIDES: list(map(sides, sets))}
+            out |= {FP: np.array([majority(h) for h in sets], np.uint64).view(np.int64), SECOND: np.array([second(h) for h in sets], np.uint64).view(np.int64)}
             yield out | {DIGEST: [number((t or "").encode("utf-8", "surrogatepass")) for t in texts]}
 
-    more = f"{NODE} long, {SIZE} long, {FP} long, {SIDES} long, {DIGEST} long"
+    more = f"{NODE} long, {SIZE} long, {FP} long, {SECOND} long, {DIGEST} long"
     rows = map_batches(docs, run, schema_with(docs.schema, more)).withColumn(ROW, F.monotonically_increasing_id())
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
@@ -125,14 +128,18 @@ def stars(rows: np.ndarray, bits: int, tenths: int, block: int = 128, leaf: int
 
 
 def candidates(nodes: DataFrame, n: int, bits: int, tenths: int) -> DataFrame:
-    """(a, b): links that leave the components of candidates whole; nodes: (fp, sides, node)."""
+    """(a, b): links that leave the components of candidates whole; nodes: (fp, second, size, node)."""
 
     def each(rows: np.ndarray):
         a, b = stars(rows, bits, tenths)
         if len(a):
             yield {"a": a, "b": b}
 
-    return meet(nodes, ["fp", "sides", "node"], n, bits, each, "a long, b long", most=65_536, agree=2).distinct()
+    def by(own: str, other: str) -> DataFrame:
+        marked = nodes.select(F.col(own).alias("fp"), sides(F.col(other), F.col("size")).alias("sides"), "node")
+        return meet(marked, ["fp", "sides", "node"], n, bits, each, "a long, b long", most=65_536, agree=2)
+
+    return by("fp", "second").union(by("second", "fp")).distinct()
 
 
 def alike(sets: list[np.ndarray], tenths: int) -> np.ndarray:
@@ -219,7 +226,7 @@ def in_cells(members: DataFrame, folder: str) -> tuple[DataFrame, bool]:
 def classes(nodes: DataFrame, rows: DataFrame, words: int, tenths: int, bits: int, folder: str) -> DataFrame:
     """(node, root) for the nodes that are not the first of their class."""
     live = nodes.where("size > 0")
-    found = components(candidates(live.select("fp", "sides", "node"), live.count(), bits, tenths), f"{folder}/candidates")
+    found = components(candidates(live, live.count(), bits, tenths), f"{folder}/candidates")
     member = found.select(F.col("root").alias("unit"), "node").union(found.select("root", F.col("root").alias("node")).distinct())
     members = written(member.join(nodes.select("node", "size", F.col(f"best.{ROW}").alias("row")), "node").select("unit", "node", "row", "size"), f"{folder}/members")
     dealt, cut = in_cells(members, folder)
@@ -233,7 +240,7 @@ def dedup(docs: DataFrame, words: int = 5, tenths: int = 8, bits: int = BITS) ->
     folder, columns = shared_dir(docs.sparkSession), docs.columns
     rows = with_nodes(docs, words, f"{folder}/rows")
     best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(DIGEST).alias("text"), F.col(ROW))
-    nodes = rows.groupBy(F.col(NODE).alias("node")).agg(F.min(best).alias("best"), F.min(FP).alias("fp"), F.min(SIDES).alias("sides"), F.min(SIZE).alias("size"))
+    nodes = rows.groupBy(F.col(NODE).alias("node")).agg(F.min(best).alias("best"), F.min(FP).alias("fp"), F.min(SECOND).alias("second"), F.min(SIZE).alias("size"))
     nodes = written(nodes, f"{folder}/nodes")
     roots = classes(nodes, rows, words, tenths, bits, folder)
     own = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("node"), "best")
