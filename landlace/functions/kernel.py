@@ -130,18 +130,25 @@ def _cross(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.nda
     return (turn(a, b, c) * turn(a, b, d) < 0) & (turn(c, d, a) * turn(c, d, b) < 0)
 
 
-def distance(p: list[Ring], q: list[Ring]) -> float:
-    """0 where the polygons meet, else the least distance of their outlines."""
+def apart(p: list[Ring], q: list[Ring]) -> tuple[float, float]:
+    """(distance, Hausdorff distance): 0 where the polygons meet, else the least distance of their outlines; and the largest distance of a
+    corner of either to the other's outline. Polygons whose envelopes are apart can't meet, so only others are tested for that."""
     (a, b), (c, d) = _sides(p), _sides(q)
+    there, back = _to_segments(a, c, d), _to_segments(c, a, b)
+    far = float(max(there.max(), back.max()))
+    if (np.maximum(a.min(0), c.min(0)) > np.minimum(a.max(0), c.max(0))).any():
+        return float(min(there.min(), back.min())), far
     if _cross(a, b, c, d).any() or inside(*p[0][0], q) or inside(*q[0][0], p):
-        return 0.0
-    return float(min(_to_segments(a, c, d).min(), _to_segments(c, a, b).min()))
+        return 0.0, far
+    return float(min(there.min(), back.min())), far
+
+
+def distance(p: list[Ring], q: list[Ring]) -> float:
+    return apart(p, q)[0]
 
 
 def hausdorff(p: list[Ring], q: list[Ring]) -> float:
-    """Largest distance of a corner of either to the other's outline."""
-    (a, b), (c, d) = _sides(p), _sides(q)
-    return float(max(_to_segments(a, c, d).max(), _to_segments(c, a, b).max()))
+    return apart(p, q)[1]
 
 
 def valid(poly: list[Ring]) -> bool:

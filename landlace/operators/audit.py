@@ -9,6 +9,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from landlace.workers import ship
 
 GENESIS = "0" * 64
 
@@ -132,6 +135,51 @@ def judged(proposals: DataFrame, log: DataFrame, most: int = 4) -> DataFrame:
     return p.withColumn("status", status).drop("now", "revisions")
 
 
+def judged_in_turn(proposals: DataFrame, log: DataFrame, order: str, most: int = 4) -> DataFrame:
+    """As judged, for proposals of one batch that see one another: an accepted one (201) is what the next on its pair is judged against.
+
+    A pair's proposals are read in order, holding its last decision and its number of revisions.
+    """
+    last = log.groupBy("pair").agg(F.max_by("decision", "seq").alias("now_"), (F.count("*") - 1).alias("revisions_"))
+    p = proposals.join(last, "pair", "left")
+    names = [*proposals.columns, "status"]
+    schema = T.StructType([*[proposals.schema[c] for c in proposals.columns], T.StructField("status", T.IntegerType())])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pair, now, revisions = object(), None, 0
+        for df in frames:
+            out = []
+            for r in df.itertuples(index=False):
+                if r.pair != pair:
+                    pair, now, revisions = r.pair, r.now_ if isinstance(r.now_, str) else None, int(r.revisions_) if r.revisions_ == r.revisions_ and r.revisions_ is not None else -1
+                if not r.known:
+                    status = 404
+                elif r.role not in ("officer", "supervisor"):
+                    status = 403
+                elif now is None:
+                    status = 201
+                elif now == r.decision:
+                    status = 200
+                elif r.role != "supervisor":
+                    status = 403
+                elif not isinstance(r.reason, str) or not r.reason.strip():
+                    status = 400
+                else:
+                    status = 409 if revisions >= most else 201
+                if status == 201:
+                    now, revisions = r.decision, revisions + 1
+                out.append(status)
+            yield df.assign(status=out)[names]
+
+    ship(proposals.sparkSession)
+    return p.repartition("pair").sortWithinPartitions("pair", order).mapInPandas(run, schema)
+
+
+def visible(rows: DataFrame, user: str | int, role: str, n: int = 50, key: str = "user_id", order: str = "seq") -> DataFrame:
+    """The newest n entries that a person may see: their own, or all for those who oversee others."""
+    return tail(rows if role in ("supervisor", "admin") else rows.where(F.col(key) == user), n, order)
+
+
 def search(rows: DataFrame, text: str, n: int = 300, order: str | None = None) -> DataFrame:
     """Rows that hold the text, in any letter case, in any column."""
     found = rows.where(F.contains(F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in rows.columns])), F.lit(text.lower())))

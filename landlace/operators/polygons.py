@@ -97,6 +97,15 @@ def _table(rows: list[tuple], names: list[str]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
 
 
+def _distinct(a: pa.Array) -> list:
+    """The values as Python objects, equal ones of a batch as one object, so that what is known of it can be kept."""
+    seen: dict[str, list] = {}
+    out = []
+    for v in a.to_pylist():
+        out.append(seen.setdefault(repr(v), v))
+    return out
+
+
 def rings(geom) -> list[np.ndarray]:
     """A value of the geom column, as it comes to a worker, as arrays."""
     return [kernel.ring([(p["x"], p["y"]) if isinstance(p, dict) else tuple(p) for p in r]) for r in geom]
@@ -114,10 +123,21 @@ def measures(a: Column, b: Column) -> Column:
 
     @F.arrow_udf(f"struct<{MEASURES.replace(' ', ':').replace(',:', ',')}>")
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        rows = []
-        for p, q in zip(map(rings, x.to_pylist()), map(rings, y.to_pylist()), strict=True):
-            (ax, ay), (bx, by) = kernel.centroid(p), kernel.centroid(q)
-            rows.append((kernel.shared(p, q), kernel.area(p), kernel.area(q), kernel.distance(p, q), float(np.hypot(ax - bx, ay - by)), kernel.hausdorff(p, q)))
+        rows, known = [], {}
+
+        def own(g: list) -> tuple:
+            """A shape with its area and centroid, worked out once while its pairs follow one another."""
+            key = id(g)
+            if key not in known:
+                poly = rings(g)
+                known[key] = (poly, kernel.area(poly), kernel.centroid(poly))
+            return known[key]
+
+        left, right = _distinct(x), _distinct(y)
+        for g, h in zip(left, right, strict=True):
+            (p, pa_, (ax, ay)), (q, qa, (bx, by)) = own(g), own(h)
+            near, far = kernel.apart(p, q)
+            rows.append((kernel.shared(p, q) if near <= 0 else 0.0, pa_, qa, near, float(np.hypot(ax - bx, ay - by)), far))
         return _table(rows, [m.split()[0] for m in MEASURES.split(", ")])
 
     return run(a, b)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,13 +58,12 @@ def describe(pairs: DataFrame, a: DataFrame, b: DataFrame, part_of: Callable = p
         F.percentile("iou", F.lit(0.5)).alias("median_iou"), F.percentile("area_ratio", F.lit(0.5)).alias("median_area_ratio"),
     )
     links = pairs.agg(F.count("*").alias("candidates"), F.count_if(F.col("bucket") == "accept").alias("auto_links"), F.count_if(F.col("bucket") == "review").alias("review_links"))
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    out = links
-    for row in (  # each is one row
-        one, count(a, "n_a"), count(b, "n_b"), count(a_any, "a_any"), count(b_any, "b_any"), count(a_in_b, "a_inside_larger_b"), count(b_in_a, "b_inside_larger_a"),
-        count(covering(a_in_b, "b_id"), "b_polygons_covering_several_a"), count(covering(b_in_a, "a_id"), "a_polygons_covering_several_b"),
-    ):
-        out = out.crossJoin(row)
+    counted = {
+        "n_a": a, "n_b": b, "a_any": a_any, "b_any": b_any, "a_inside_larger_b": a_in_b, "b_inside_larger_a": b_in_a,
+        "b_polygons_covering_several_a": covering(a_in_b, "b_id"), "a_polygons_covering_several_b": covering(b_in_a, "a_id"),
+    }
+    rows = reduce(DataFrame.union, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in counted.items()])
+    out = links.crossJoin(one).crossJoin(rows.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in counted]))  # one row each
     share = lambda n, d: F.col(n) / F.greatest(F.col(d), F.lit(1))
     return out.withColumns({"a_with_counterpart": share("a_any", "n_a"), "b_with_counterpart": share("b_any", "n_b"), "a_only": F.col("n_a") - F.col("a_any"), "b_only": F.col("n_b") - F.col("b_any")}).drop("a_any", "b_any")
 

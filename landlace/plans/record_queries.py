@@ -326,10 +326,18 @@ def access_tail(log):
     return audit.tail(log).select("seq", "user_id", "event")
 
 
-@query("access_log", sql="select seq, user_id from access_log where user_id = 7 order by seq desc limit 50")
+@query("access_log", sql="select 'officer' as role, seq, user_id from (select * from access_log where user_id = 7 order by seq desc limit 50) o union all select 'supervisor', seq, user_id from (select * from access_log order by seq desc limit 50) s")
 def uploads_visible(log):
-    """A person's own entries, newest first."""
-    return audit.tail(log.where("user_id = 7")).select("seq", "user_id")
+    """What an officer (their own) and a supervisor (all) see, newest first."""
+    of = lambda role: audit.visible(log, 7, role).select(F.lit(role).alias("role"), "seq", "user_id")
+    return of("officer").unionByName(of("supervisor"))
+
+
+@query("access_log", more="t as (select *, epoch_us(ts) as us, coalesce(sum(case when event = 'success' then 1 else 0 end) over (partition by user_id order by ts, seq rows between unbounded preceding and 1 preceding), 0) as run from access_log where event in ('failed', 'success'))",
+       sql="select a.seq, a.user_id, a.event, count(b.seq) as failures_before, count(b.seq) >= 5 as locked from t a left join t b on a.user_id = b.user_id and a.run = b.run and b.event = 'failed' and b.us < a.us and a.us - b.us < 300000000 group by 1, 2, 3")
+def login_lockout_policy(log):
+    """Five failures within five minutes, as the policy has it; login_lockout is the same with a limit that this log reaches."""
+    return audit.lockouts(log).select("seq", "user_id", "event", "failures_before", "locked")
 
 
 @query("decisions", sql="select seq, officer from decisions where contains(lower(concat_ws(' ', cast(seq as varchar), cast(pair as varchar), officer, decision)), 'officer1') order by seq limit 300")

@@ -160,3 +160,14 @@ def test_chain_with_a_null_body(spark):
     log = spark.createDataFrame([("c", 1, "x"), ("c", 2, None), ("c", 3, "z")], "chain string, seq long, body string")
     built = audit.chain_build(log, "chain", "seq", "body")
     assert audit.chain_check(built, "chain", "seq", "body").first()["first_bad"] is None
+
+
+def test_proposals_of_one_batch_see_one_another(spark):
+    from landlace.operators import audit
+
+    log = spark.createDataFrame([("q", "accept", 1)], "pair string, decision string, seq long")
+    rows = [("p", "accept", "officer", "", True), ("p", "reject", "officer", "x", True), ("p", "accept", "officer", "", True), ("p", "reject", "supervisor", "x", True), ("p", "reject", "supervisor", "x", True), ("q", "reject", "supervisor", " ", True),
+            *[("q", d, "supervisor", "x", True) for d in ("reject", "accept", "reject", "accept", "reject")], ("r", "accept", "officer", None, False), ("r", "accept", "auditor", None, True)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "n long, pair string, decision string, role string, reason string, known boolean").repartition(3)
+    got = [r["status"] for r in audit.judged_in_turn(df, log, "n").orderBy("n").collect()]
+    assert got == [201, 403, 200, 201, 200, 400, 201, 201, 201, 201, 409, 404, 403]
