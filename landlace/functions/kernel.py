@@ -66,49 +66,67 @@ def inside(x: float, y: float, poly: list[Ring]) -> bool:
     return hits % 2 == 1
 
 
-def _clip(tri: np.ndarray, other: np.ndarray) -> float:
-    """Area that two counter-clockwise triangles share: one is cut by each side of the other."""
-    out = [tuple(p) for p in tri]
-    for i in range(3):
-        (ax, ay), (bx, by) = other[i], other[(i + 1) % 3]
-        side = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x, y in out]
-        new = []
-        for k, (p, s) in enumerate(zip(out, side, strict=True)):
-            q, t = out[(k + 1) % len(out)], side[(k + 1) % len(out)]
-            if s >= 0:
-                new.append(p)
-            if s * t < 0:
-                f = s / (s - t)
-                new.append((p[0] + f * (q[0] - p[0]), p[1] + f * (q[1] - p[1])))
-        out = new
-        if len(out) < 3:
-            return 0.0
-    x0, y0 = out[0]
-    return abs(sum((a[0] - x0) * (b[1] - y0) - (b[0] - x0) * (a[1] - y0) for a, b in zip(out[1:], out[2:], strict=False))) / 2
-
-
-def _fan(poly: list[Ring], origin: np.ndarray) -> list[tuple[float, np.ndarray]]:
-    """Signed triangles that add up to the polygon."""
-    out = []
+def clipped_areas(tri: np.ndarray, other: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """Areas that pairs of counter-clockwise triangles (n, 3, 2) share: all of one side are cut by each side of the others at once.
+
+    A cut gives two places for each corner (the corner itself if it stays, and where its side crosses the line); a place without
+    a point takes the last point before it, which adds nothing to the area.
+    """
+    out = np.zeros(len(tri))
+    for first in range(0, len(tri), step):
+        p, own = tri[first : first + step], other[first : first + step]
+        some = np.ones(len(p), bool)
+        for k in range(3):
+            a, d = own[:, None, k], own[:, None, (k + 1) % 3] - own[:, None, k]
+            s = d[..., 0] * (p[..., 1] - a[..., 1]) - d[..., 1] * (p[..., 0] - a[..., 0])
+            q, t = np.roll(p, -1, 1), np.roll(s, -1, 1)
+            cross = s * t < 0
+            f = np.where(cross, s / np.where(cross, s - t, 1.0), 0.0)
+            points = np.stack([p, p + f[..., None] * (q - p)], 2).reshape(len(p), -1, 2)
+            there = np.stack([s >= 0, cross], 2).reshape(len(p), -1)
+            some &= there.any(1)
+            at = np.maximum.accumulate(np.where(there, np.arange(there.shape[1]), -1), 1)
+            at = np.where(at < 0, at[:, -1:], at)  # before the first point: the last one
+            p = np.take_along_axis(points, np.maximum(at, 0)[..., None], 1)
+        p = p - p[:, :1]
+        q = np.roll(p, -1, 1)
+        out[first : first + step] = np.where(some, np.abs((p[..., 0] * q[..., 1] - q[..., 0] * p[..., 1]).sum(1)) / 2, 0.0)
+    return out
+
+
+def _fan(poly: list[Ring], origin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signs and counter-clockwise triangles (n, 3, 2) that add up to the polygon."""
+    signs, triangles = [], []
     for i, r in enumerate(poly):
         p = r - origin
-        flip = (1 if signed(r) >= 0 else -1) * (1 if i == 0 else -1)
-        for k in range(1, len(p) - 1):
-            t = p[[0, k, k + 1]]
-            s = (t[1, 0] - t[0, 0]) * (t[2, 1] - t[0, 1]) - (t[2, 0] - t[0, 0]) * (t[1, 1] - t[0, 1])
-            if s:
-                out.append((flip * np.sign(s), t if s > 0 else t[::-1]))
-    return out
+        t = np.stack([np.broadcast_to(p[0], (max(0, len(p) - 2), 2)), p[1:-1], p[2:]], 1)
+        s = (t[:, 1, 0] - t[:, 0, 0]) * (t[:, 2, 1] - t[:, 0, 1]) - (t[:, 2, 0] - t[:, 0, 0]) * (t[:, 1, 1] - t[:, 0, 1])
+        t[s < 0] = t[s < 0][:, ::-1]
+        signs.append((1 if s.sum() >= 0 else -1) * (1 if i == 0 else -1) * np.sign(s))
+        triangles.append(t)
+    sign, t = np.concatenate(signs), np.concatenate(triangles)
+    return sign[sign != 0], t[sign != 0]
+
+
+def shared_many(pairs: list[tuple[list[Ring], list[Ring]]]) -> np.ndarray:
+    """Areas of the intersections of pairs of simple polygons, with or without holes: signed triangles against signed triangles."""
+    of, sign, left, right = [], [], [], []
+    for n, (p, q) in enumerate(pairs):
+        lo, hi = np.maximum(p[0].min(0), q[0].min(0)), np.minimum(p[0].max(0), q[0].max(0))
+        if (lo >= hi).any():
+            continue
+        (s, a), (t, b) = _fan(p, lo), _fan(q, lo)
+        i, j = np.nonzero(((a.min(1)[:, None] < b.max(1)[None]) & (b.min(1)[None] < a.max(1)[:, None])).all(2))
+        of.append(np.full(len(i), n)), sign.append(s[i] * t[j]), left.append(a[i]), right.append(b[j])
+    if not of:
+        return np.zeros(len(pairs))
+    areas = np.concatenate(sign) * clipped_areas(np.concatenate(left), np.concatenate(right))
+    return np.maximum(0.0, np.bincount(np.concatenate(of), areas, len(pairs)))
 
 
 def shared(p: list[Ring], q: list[Ring]) -> float:
-    """Area of the intersection of two simple polygons, with or without holes: signed triangles against signed triangles."""
-    lo, hi = np.maximum(p[0].min(0), q[0].min(0)), np.minimum(p[0].max(0), q[0].max(0))
-    if (lo >= hi).any():
-        return 0.0
-    a, b = _fan(p, lo), _fan(q, lo)
-    total = sum(s * t * _clip(x, y) for s, x in a for t, y in b if (x.min(0) < y.max(0)).all() and (y.min(0) < x.max(0)).all())
-    return max(0.0, float(total))
+    """Area of the intersection of two simple polygons."""
+    return float(shared_many([(p, q)])[0])
 
 
 def _to_segments(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -133,11 +133,11 @@ def measures(a: Column, b: Column) -> Column:
                 known[key] = (poly, kernel.area(poly), kernel.centroid(poly))
             return known[key]
 
-        left, right = _distinct(x), _distinct(y)
-        for g, h in zip(left, right, strict=True):
-            (p, pa_, (ax, ay)), (q, qa, (bx, by)) = own(g), own(h)
+        both = [(own(g), own(h)) for g, h in zip(_distinct(x), _distinct(y), strict=True)]
+        inter = kernel.shared_many([(p[0], q[0]) for p, q in both])
+        for ((p, area_p, (ax, ay)), (q, area_q, (bx, by))), shared_ in zip(both, inter.tolist(), strict=True):
             near, far = kernel.apart(p, q)
-            rows.append((kernel.shared(p, q) if near <= 0 else 0.0, pa_, qa, near, float(np.hypot(ax - bx, ay - by)), far))
+            rows.append((shared_, area_p, area_q, near, float(np.hypot(ax - bx, ay - by)), far))
         return _table(rows, [m.split()[0] for m in MEASURES.split(", ")])
 
     return run(a, b)
@@ -158,7 +158,18 @@ def _of_pairs(f) -> callable:
     return make
 
 
-shared, distance, hausdorff = _of_pairs(kernel.shared), _of_pairs(kernel.distance), _of_pairs(kernel.hausdorff)
+distance, hausdorff = _of_pairs(kernel.distance), _of_pairs(kernel.hausdorff)
+
+
+def shared(a: Column, b: Column) -> Column:
+    """Area of the intersection, a batch of pairs at once."""
+    ship()
+
+    @F.arrow_udf("double")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array(kernel.shared_many(list(zip(map(rings, x.to_pylist()), map(rings, y.to_pylist()), strict=True))), pa.float64())
+
+    return run(a, b)
 
 
 def covered(groups: DataFrame) -> DataFrame:
