@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from landlace.functions import boxes, projection, strings
 from landlace.operators import audit, estimates, harmonise, matching, raster, schema_match
+from landlace.plans.name_sql import names
 from landlace.plans.registry import query, table_query
-from landlace.plans.spatial_queries import AREA_A, AREA_B, BUCKETS, D2, INTER, predicted
+from landlace.plans.spatial_queries import AREA_A, AREA_B, BUCKETS, D2, INTER, IN_PARCEL, predicted
 from landlace.workers import settled
 
 # --- decisions on scored pairs ---------------------------------------------------------------------------------------
@@ -195,15 +196,30 @@ def _records(a, b, revenue, tax):
     return harmonise.harmonise(a.withColumn("land_use", use), links, revenue, points)
 
 
-@query("layer_a", "layer_b", "revenue", "tax")
+_LINKS = "lk as (select a_id, b_id, round(iou, 6) as p, count(*) over (partition by b_id) as n_a, count(*) over (partition by a_id) as n_links, row_number() over (partition by a_id order by round(iou, 6) desc, b_id) as place from pred where bucket = 'accept')"
+_RECORDS = f"""{BUCKETS}, {_LINKS}, pt as ({IN_PARCEL}), ft as (select a_id, min(tax_id) as tax_id from pt group by a_id), lists as (select a_id, string_agg(cast(b_id as varchar), ',' order by place) as revenue_ids from lk group by a_id),
+  r0 as (select a.a_id, a.owner, case when a.a_id % 10 < 7 then 'Residential' when a.a_id % 10 < 9 then 'Commercial' else 'Mixed' end as own_use, (a.x2 - a.x1) * (a.y2 - a.y1) as surveyed, lk.b_id, lk.p, revenue_ids, patta_no, pattadar, extent, sf_no,
+    {_USE("classfn")} as lu_revenue, ft.tax_id, assessee, plinth_sqft, {_USE("usage")} as lu_tax, case when lk.b_id is null then 'unmatched' when n_links = 1 and n_a = 1 then '1:1' when n_links > 1 then 'split' else 'merge' end as link_type
+    from layer_a a left join lk on lk.a_id = a.a_id and place = 1 left join lists on lists.a_id = a.a_id left join revenue r on r.b_id = lk.b_id left join ft on ft.a_id = a.a_id left join tax on tax.tax_id = ft.tax_id),
+  r1 as (select *, case when link_type = '1:1' then round(extent * 40.468564::double, 1) end as recorded, case when b_id is null then owner else pattadar end as record_owner, case when link_type = 'merge' or b_id is null then owner else pattadar end as tax_owner,
+    b_id is not null and link_type <> 'merge' as sure from r0),
+  {names("select tax_owner as oa, assessee as ob from r1 where tax_id is not null union all select pattadar, owner from r1 where sure")},
+  r2 as (select r1.*, (recorded - surveyed) / surveyed as diff, coalesce(nt.owner_similarity < 0.8::double, false) or coalesce(sure and nr_.owner_similarity < 0.8::double, false) as c_owner from r1
+    left join nm nt on tax_id is not null and nt.oa is not distinct from tax_owner and nt.ob is not distinct from assessee left join nm nr_ on nr_.oa is not distinct from pattadar and nr_.ob is not distinct from owner),
+  r3 as (select *, list_filter([case when abs(diff) > 0.15::double then 'area' end, case when (sure and lu_revenue <> own_use) or (tax_id is not null and lu_tax <> own_use) then 'land_use' end, case when c_owner then 'owner' end], lambda x: x is not null) as kinds,
+    coalesce(p, 0.0::double) as spatial, case when tax_id is not null then least(1.0, src + 0.02::double) else src end as source from (select *, case when b_id is not null then (0.97::double + 0.92) / 2 else 0.97::double end as src from r2) z),
+  r4 as (select *, greatest(0.6::double, 1 - 0.1::double * len(kinds)) as attr from r3), rec as (select *, 100 * spatial * source * 1.0::double * attr as score from r4)"""
+
+
+@query("layer_a", "layer_b", "revenue", "tax", more=_RECORDS, sql="""select a_id as parcel_id, link_type, revenue_ids, patta_no, record_owner as owner, sf_no as survey_no, round(surveyed, 1) as surveyed_area_m2, recorded as recorded_area_m2, round(100 * diff, 1) as area_diff_pct,
+  case when b_id is null then own_use else lu_revenue end as land_use, tax_id as assessment_no, round(plinth_sqft * 0.09290304::double, 1) as plinth_area_m2, concat_ws(',', 'cadastral', case when b_id is not null then 'revenue' end, case when tax_id is not null then 'municipal_tax' end) as sources,
+  coalesce(array_to_string(kinds, ';'), '') as conflicts, cast(len(kinds) as bigint) as n_conflicts, cast(round_even(score, 0) as bigint) as confidence, case when score >= 85 then 'High' when score >= 60 then 'Medium' else 'Low' end as band,
+  cast(round(cast(spatial as decimal(12, 6)), 3) as double) as spatial, round(source, 3) as source, 1.0::double as topology, round(attr, 2) as attributes from rec""")
 def harmonised(a, b, revenue, tax):
-    """One record for each parcel; owner conflicts rest on name similarity, which the tests check."""
+    """One record for each parcel, with conflicts and a confidence."""
     return _records(a, b, revenue, tax)
 
 
-_LINKS = "lk as (select a_id, b_id, round(iou, 6) as p, count(*) over (partition by b_id) as n_a, count(*) over (partition by a_id) as n_links, row_number() over (partition by a_id order by round(iou, 6) desc, b_id) as place from pred where bucket = 'accept')"
-
-
 @query("layer_a", "layer_b", "revenue", more=f"{BUCKETS}, {_LINKS}", sql="""select a.a_id as parcel_id, case when lk.b_id is null then 'unmatched' when n_links = 1 and n_a = 1 then '1:1' when n_links > 1 then 'split' else 'merge' end as link_type,
   (select string_agg(cast(x.b_id as varchar), ',' order by x.place) from lk x where x.a_id = a.a_id) as revenue_ids, patta_no, case when n_links = 1 and n_a = 1 then round(extent * 40.468564::double, 1) end as recorded_area_m2,
   case when n_links = 1 and n_a = 1 then coalesce(abs((round(extent * 40.468564::double, 1) - (x2 - x1) * (y2 - y1)) / ((x2 - x1) * (y2 - y1))) > 0.15, false) else false end as area_conflict from layer_a a left join lk on lk.a_id = a.a_id and place = 1 left join revenue r on r.b_id = lk.b_id""")
@@ -217,13 +233,13 @@ def harmonised_links(a, b, revenue):
     return out.select("parcel_id", "link_type", "revenue_ids", "patta_no", "recorded_area_m2", F.array_contains(F.split("conflicts", ";"), "area").alias("area_conflict"))
 
 
-@query("layer_a", "layer_b", "revenue", "tax")
+@query("layer_a", "layer_b", "revenue", "tax", more=_RECORDS, sql="select a_id as parcel_id, unnest(kinds) as type from rec")
 def conflict_list(a, b, revenue, tax):
     out = _records(a, b, revenue, tax).where("n_conflicts > 0")
     return out.select("parcel_id", F.explode(F.split("conflicts", ";")).alias("type"))
 
 
-@query("layer_a", "layer_b", "revenue", "tax")
+@query("layer_a", "layer_b", "revenue", "tax", more=_RECORDS, sql="select cast(least(floor(round_even(score, 0) / 10), 9) as bigint) as bin, count(*) as n, avg(round_even(score, 0)) as mean_confidence from rec group by 1")
 def confidence_histogram(a, b, revenue, tax):
     c = _records(a, b, revenue, tax)
     return c.groupBy(F.least(F.floor(F.col("confidence") / 10), F.lit(9)).alias("bin")).agg(F.count("*").alias("n"), F.avg("confidence").alias("mean_confidence"))
@@ -247,9 +263,12 @@ def normalize_name(customer):
     return customer.select("c_custkey", strings.normal(F.col("c_name")).alias("name"))
 
 
-@query("layer_a", "layer_b")
+_OWNERS = "ow as (select pred.a_id, pred.b_id, layer_a.owner as oa, layer_b.owner as ob from pred join layer_a on layer_a.a_id = pred.a_id join layer_b on layer_b.b_id = pred.b_id where bucket <> 'reject')"
+
+
+@query("layer_a", "layer_b", more=f"{BUCKETS}, {_OWNERS}, {names('select oa, ob from ow')}", sql="select a_id, b_id, ratio, token_sort, token_set, owner_similarity from ow join nm using (oa, ob)")
 def name_similarity(a, b):
-    """Similarities of the owners of overlapping parcels; checked by tests against a plain implementation."""
+    """Similarities of the owners of overlapping parcels."""
     pairs = predicted(a, b).where("bucket <> 'reject'").select("a_id", "b_id").join(a.select("a_id", F.col("owner").alias("oa")), "a_id").join(b.select("b_id", F.col("owner").alias("ob")), "b_id")
     na, nb = strings.normal(F.col("oa")), strings.normal(F.col("ob"))
     return pairs.select("a_id", "b_id", strings.ratio(na, nb).alias("ratio"), strings.token_sort(na, nb).alias("token_sort"), strings.token_set(na, nb).alias("token_set"), strings.owner_similarity(F.col("oa"), F.col("ob")).alias("owner_similarity"))

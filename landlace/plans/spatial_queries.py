@@ -188,10 +188,24 @@ def local_shift(a, b):
     return out.select("b_id", "n_anchors", F.round("sx", 9).alias("sx"), F.round("sy", 9).alias("sy"))
 
 
-@query("layer_a", "layer_b")
+def _round(n: int) -> str:
+    """Round n of the shift field, from f{n - 1} (b_id, sx, sy) to f{n}: anchors of the moved layer that overlap well, their offset before any move, medians."""
+    far = "sqrt((u.x - g.a_x) * (u.x - g.a_x) + (u.y - g.a_y) * (u.y - g.a_y))"
+    apart = "sqrt((ca.x - u.x) * (ca.x - u.x) + (ca.y - u.y) * (ca.y - u.y))"
+    return f"""w{n} as (select *, (x1 + x2) / 2 as x, (y1 + y2) / 2 as y from (select b_id, x1 - sx as x1, x2 - sx as x2, y1 - sy as y1, y2 - sy as y2 from layer_b join f{n - 1} using (b_id)) z),
+  i{n} as (select a_id, b_id, a_x, a_y from (select ca.a_id, u.b_id, ca.x as a_x, ca.y as a_y, row_number() over (partition by ca.a_id order by {apart}, u.b_id) as ra, row_number() over (partition by u.b_id order by {apart}, ca.a_id) as rb from ca join w{n} u on {apart} < 15) z where ra = 1 and rb = 1),
+  g{n} as (select i.a_id, i.b_id, a_x, a_y, cb.x - a_x as dx, cb.y - a_y as dy from i{n} i join layer_a a on a.a_id = i.a_id join w{n} b on b.b_id = i.b_id join cb on cb.b_id = i.b_id where {INTER} / ({AREA_A} + {AREA_B} - {INTER}) >= 0.4::double),
+  k{n} as (select b_id, count(*) as n, quantile_cont(dx, 0.5) as mx, quantile_cont(dy, 0.5) as my from (select u.b_id, dx, dy, row_number() over (partition by u.b_id order by {far}, g.a_id) as place from w{n} u join g{n} g on {far} < 250) z where place <= 25 group by b_id),
+  f{n} as (select w{n}.b_id, case when coalesce(n, 0) >= 5 then mx else gx end as sx, case when coalesce(n, 0) >= 5 then my else gy end as sy from w{n} left join k{n} on k{n}.b_id = w{n}.b_id cross join (select quantile_cont(dx, 0.5) as gx, quantile_cont(dy, 0.5) as gy from g{n}) z)"""
+
+
+_FIELD = f"{_MUTUAL}, f0 as (select b_id, gx as sx, gy as sy from layer_b cross join (select quantile_cont(dx, 0.5) as gx, quantile_cont(dy, 0.5) as gy from m) z), {_round(1)}, {_round(2)}"
+
+
+@query("layer_a", "layer_b", more=_FIELD, sql="select b_id, round(sx, 9) as sx, round(sy, 9) as sy from f2")
 def shift_field(a, b):
-    """Two rounds of anchors and local shifts; checked by tests against a known shift."""
-    return coreg.estimate(a, b)
+    """Two rounds of anchors and local shifts."""
+    return coreg.estimate(a, b).select("b_id", F.round("sx", 9).alias("sx"), F.round("sy", 9).alias("sy"))
 
 
 # --- points, empty space, cover, roads -------------------------------------------------------------------------------
@@ -200,7 +214,10 @@ _PD = "sqrt(greatest(p.x1 - t.px, t.px - p.x2, 0.0) * greatest(p.x1 - t.px, t.px
 _IN = "(t.px > p.x1 and t.px < p.x2 and t.py > p.y1 and t.py < p.y2)"
 
 
-@query("tax", "layer_a", sql=f"select tax_id, a_id, dist from (select t.tax_id, p.a_id, {_PD} as dist, row_number() over (partition by t.tax_id order by not {_IN}, {_PD}, case when {_IN} then -p.a_id else p.a_id end) as rn from tax t join layer_a p on {_IN} or {_PD} <= 3) x where rn = 1")
+IN_PARCEL = f"select tax_id, a_id, dist from (select t.tax_id, p.a_id, {_PD} as dist, row_number() over (partition by t.tax_id order by not {_IN}, {_PD}, case when {_IN} then -p.a_id else p.a_id end) as rn from tax t join layer_a p on {_IN} or {_PD} <= 3) x where rn = 1"
+
+
+@query("tax", "layer_a", sql=IN_PARCEL)
 def point_in_parcel(tax, a):
     return harmonise.join_points(tax, "tax_id", a, "a_id")
 
