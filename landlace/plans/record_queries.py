@@ -252,7 +252,18 @@ def value_profile(customer):
     return schema_match.profile(customer.select("c_custkey", "c_name", "c_mktsegment", "c_acctbal"), "c_custkey").where("column <> 'c_custkey'")
 
 
-@query("revenue")
+_COLUMNS = ("b_id", "patta_no", "pattadar", "extent", "classfn", "sf_no")
+_VALUES = " union all ".join(f"""(select '{c}' as col, v from (select cast({c} as varchar) as v from revenue where {c} is not null order by b_id limit 400) z)""" for c in _COLUMNS)
+_CALLED = " union all ".join(f"select '{f}' as field, '{x}' as called" for f, own in schema_match.FIELDS.items() for x in own)
+_VALUE = """case field when 'parcel_ref' then case when num < 1 then (1 - num * 0.5::double) * uniq else 0.3::double * uniq end when 'owner_name' then name_like * (0.5::double + 0.5::double * multiword) * uniq when 'area' then num * case when uniq > 0.5 then 1.0::double else 0.4::double end
+  when 'land_use' then (1 - num) * case when uniq < 0.05::double then 1.0::double else 0.0::double end else slash end"""
+_EVIDENCE = f"""vals as ({_VALUES}), prof as (select col, avg(case when try_cast(replace(v, ',', '') as double) is not null then 1 else 0 end) as num, count(distinct v) / count(v) as uniq, avg(case when regexp_matches(v, '^[A-Za-z][A-Za-z .,'']+$') then 1 else 0 end) as name_like,
+    avg(case when len(list_filter(string_split_regex(v, '\\s+'), lambda w: w <> '')) >= 2 then 1 else 0 end) as multiword, avg(case when regexp_matches(v, '[0-9]+\\s*/\\s*\\w+') then 1 else 0 end) as slash from vals group by col),
+  called as ({_CALLED}), pairs_ as (select col, field, col as oa, called as ob from prof cross join called), {names("select oa, ob from pairs_")},
+  ev as (select col, field, max(token_set) as name_evidence from pairs_ join nm using (oa, ob) group by col, field), ev2 as (select col, field, name_evidence, {_VALUE} as value_evidence from ev join prof using (col))"""
+
+
+@query("revenue", more=_EVIDENCE, sql='select col as "column", field, name_evidence, value_evidence, 0.55::double * name_evidence + 0.45::double * value_evidence as score from ev2')
 def schema_evidence(revenue):
     """Evidence for each column and field; the assignment is checked by tests."""
     return schema_match.evidence(schema_match.profile(revenue, "b_id"))
