@@ -31,24 +31,35 @@ def _central(zone: Column | int) -> Column:
 
 
 def utm(lon: Column, lat: Column, zone: Column | int) -> tuple[Column, Column]:
-    """Easting and northing in metres of degrees; south of the equator northings are negative, without the false 10,000 km of southern zones."""
-    c = 2 * math.sqrt(N) / (1 + N)
-    s, d = F.sin(F.radians(lat)), F.radians(lon) - _central(zone)
-    t = F.sinh(F.atanh(s) - c * F.atanh(c * s))
-    xi, eta = F.atan2(t, F.cos(d)), F.atanh(F.sin(d) / F.sqrt(1 + t * t))
+    """Easting and northing in metres of degrees; south of the equator northings are negative, without the false 10,000 km of southern zones.
+
+    A latitude past 90 degrees goes on over the pole, down the opposite meridian. Tangents keep their places near the pole, where sines are all 1.
+    """
+    c, p, d = 2 * math.sqrt(N) / (1 + N), F.radians(lat), F.radians(lon) - _central(zone)
+    side = F.signum(F.cos(p))
+    u, v = F.tan(p) * side, F.sinh(c * F.atanh(c * F.sin(p)))
+    t = u * F.sqrt(1 + v * v) - v * F.sqrt(1 + u * u)
+    xi, eta = F.atan2(t, side * F.cos(d)), F.atanh(side * F.sin(d) / F.sqrt(1 + t * t))
     east = eta + sum(a * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, a in enumerate(ALPHA, 1))
     north = xi + sum(a * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, a in enumerate(ALPHA, 1))
     return EASTING + K0 * RECTIFYING * east, K0 * RECTIFYING * north
 
 
 def from_utm(east: Column, north: Column, zone: Column | int) -> tuple[Column, Column]:
-    """Longitude and latitude in degrees."""
+    """Longitude and latitude in degrees, within 180 and 90 of zero."""
     xi, eta = north / (K0 * RECTIFYING), (east - EASTING) / (K0 * RECTIFYING)
     x = xi - sum(b * F.sin(2 * j * xi) * F.cosh(2 * j * eta) for j, b in enumerate(BETA, 1))
     y = eta - sum(b * F.cos(2 * j * xi) * F.sinh(2 * j * eta) for j, b in enumerate(BETA, 1))
-    chi = F.asin(F.sin(x) / F.cosh(y))
+    chi = F.atan2(F.sin(x), F.hypot(F.sinh(y), F.cos(x)))
     lat = chi + sum(d * F.sin(2 * j * chi) for j, d in enumerate(DELTA, 1))
-    return F.degrees(_central(zone) + F.atan2(F.sinh(y), F.cos(x))), F.degrees(lat)
+    lon = F.degrees(_central(zone) + F.atan2(F.sinh(y), F.cos(x)))
+    return F.when(lon > 180, lon - 360).when(lon < -180, lon + 360).otherwise(lon), F.degrees(lat)
+
+
+def apart(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """Metres between two near places, each a longitude and a latitude in degrees; it holds at the poles, where longitudes say nothing."""
+    at = lambda p: (F.cos(F.radians(p[1])) * F.cos(F.radians(p[0])), F.cos(F.radians(p[1])) * F.sin(F.radians(p[0])), F.sin(F.radians(p[1])))
+    return A * F.sqrt(sum((u - v) * (u - v) for u, v in zip(at(a), at(b), strict=True)))
 
 
 #: Fixed values of a national grid (EPSG:7755): origin, standard parallels, false origin.
