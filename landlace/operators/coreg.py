@@ -24,8 +24,9 @@ def median(c: str | Column) -> Column:
 
 
 def anchors(a: DataFrame, b: DataFrame, max_d: float = 15.0) -> DataFrame:
-    """Mutual nearest centres closer than max_d, with the offset of b from a."""
-    pairs = mutual_nearest(centres(a, "a_id"), "a_id", centres(b, "b_id"), "b_id", max_d)
+    """Mutual nearest centres closer than max_d, with the offset of b from a. Centroids of polygons are worked out once, in as many tasks as shuffles have."""
+    at = lambda df, k: settled(centres(df.repartition(k), k)) if "geom" in df.columns else centres(df, k)
+    pairs = mutual_nearest(at(a, "a_id"), "a_id", at(b, "b_id"), "b_id", max_d)
     return pairs.select("a_id", "b_id", "dist", (F.col("b_x") - F.col("a_x")).alias("dx"), (F.col("b_y") - F.col("a_y")).alias("dy"), "a_x", "a_y")
 
 
@@ -43,7 +44,7 @@ def local_shift(b: DataFrame, found: DataFrame, k: int = 25, radius: float = 250
     near = nearest_growing(b, "b_id", found.select("a_id", F.col("a_x").alias("x"), F.col("a_y").alias("y"), "dx", "dy"), "a_id", radius, k, first=radius * 0.4)
     own = near.groupBy("a_key").agg(F.count("*").alias("n"), median("b_dx").alias("mx"), median("b_dy").alias("my"))
     whole = F.broadcast(global_shift(found))  # one row
-    joined = b.select("b_id").join(own, F.col("b_id") == F.col("a_key"), "left").crossJoin(whole)
+    joined = b.select("b_id").join(own.hint("merge"), F.col("b_id") == F.col("a_key"), "left").crossJoin(whole)
     enough = F.coalesce("n", F.lit(0)) >= least
     return joined.select("b_id", F.coalesce("n", F.lit(0)).alias("n_anchors"), F.when(enough, F.col("mx")).otherwise(F.col("gx")).alias("sx"), F.when(enough, F.col("my")).otherwise(F.col("gy")).alias("sy"))
 
@@ -52,9 +53,9 @@ def moved(b: DataFrame, shift: DataFrame) -> DataFrame:
     """The layer with each shape taken back by its own shift."""
     if "geom" in b.columns:
         move = lambda ring: F.transform(ring, lambda p: F.struct((p["x"] - F.coalesce("sx", F.lit(0.0))).alias("x"), (p["y"] - F.coalesce("sy", F.lit(0.0))).alias("y")))
-        return b.join(shift.select("b_id", "sx", "sy"), "b_id", "left").withColumn("geom", F.transform("geom", move)).drop("sx", "sy")
+        return b.join(shift.select("b_id", "sx", "sy").hint("merge"), "b_id", "left").withColumn("geom", F.transform("geom", move)).drop("sx", "sy")
     back = {f"{c}{i}": F.col(f"{c}{i}") - F.coalesce(f"s{c}", F.lit(0.0)) for c in "xy" for i in "12"}
-    return b.join(shift.select("b_id", "sx", "sy"), "b_id", "left").withColumns(back).drop("sx", "sy")
+    return b.join(shift.select("b_id", "sx", "sy").hint("merge"), "b_id", "left").withColumns(back).drop("sx", "sy")
 
 
 def estimate(a: DataFrame, b: DataFrame, max_d: float = 15.0, iou_min: float = 0.4, k: int = 25, radius: float = 250.0, rounds: int = 2, least: int = 10, folder: str | None = None) -> DataFrame:
@@ -73,14 +74,14 @@ def estimate(a: DataFrame, b: DataFrame, max_d: float = 15.0, iou_min: float = 0
         now = moved(b, shift)
         pairs = anchors(a, now, max_d).select("a_id", "b_id", "a_x", "a_y")
         if "geom" in a.columns:
-            both = pairs.join(a.select("a_id", F.col("geom").alias("ga")), "a_id").join(now.select("b_id", F.col("geom").alias("gb")), "b_id").withColumns({"aa": polygons.area(F.col("ga")), "ab": polygons.area(F.col("gb"))})
+            both = pairs.join(a.select("a_id", F.col("geom").alias("ga")).hint("merge"), "a_id").join(now.select("b_id", F.col("geom").alias("gb")).hint("merge"), "b_id").withColumns({"aa": polygons.area(F.col("ga")), "ab": polygons.area(F.col("gb"))})
             inter, area_a, area_b = polygons.shared(F.col("ga"), F.col("gb")), F.col("aa"), F.col("ab")
         else:
             sides = lambda df, k: df.select(f"{k}_id", *[F.col(c).alias(f"{k}_{c}") for c in ("x1", "y1", "x2", "y2")])
-            both = pairs.join(sides(a, "a"), "a_id").join(sides(now, "b"), "b_id")
+            both = pairs.join(sides(a, "a").hint("merge"), "a_id").join(sides(now, "b").hint("merge"), "b_id")
             inter, area_a, area_b = boxes.shared("a_", "b_"), boxes.area("a_"), boxes.area("b_")
         both = both.withColumn("inter", inter)
-        good = both.where(F.col("inter") / (area_a + area_b - F.col("inter")) >= iou_min).join(raw.select("b_id", "x", "y"), "b_id")
+        good = both.where(F.col("inter") / (area_a + area_b - F.col("inter")) >= iou_min).join(raw.select("b_id", "x", "y").hint("merge"), "b_id")
         found = settled(good.select("a_id", "b_id", "a_x", "a_y", (F.col("x") - F.col("a_x")).alias("dx"), (F.col("y") - F.col("a_y")).alias("dy")))
         if found.count() < least:
             break
@@ -91,6 +92,6 @@ def estimate(a: DataFrame, b: DataFrame, max_d: float = 15.0, iou_min: float = 0
 def report(a: DataFrame, b: DataFrame, shift: DataFrame, max_d: float = 15.0) -> DataFrame:
     """One row: shift magnitudes, and the anchors' median offset before and after."""
     size = shift.agg(*[f(F.sqrt(F.col("sx") * F.col("sx") + F.col("sy") * F.col("sy"))).alias(n) for f, n in ((F.min, "shift_min"), (median, "shift_median"), (F.max, "shift_max"))])
-    found = anchors(a, moved(b, shift), max_d).select("b_id", F.col("dist").alias("after"), "dx", "dy").join(shift, "b_id")
+    found = anchors(a, moved(b, shift), max_d).select("b_id", F.col("dist").alias("after"), "dx", "dy").join(shift.hint("merge"), "b_id")
     before = F.sqrt((F.col("dx") + F.col("sx")) * (F.col("dx") + F.col("sx")) + (F.col("dy") + F.col("sy")) * (F.col("dy") + F.col("sy")))
     return size.crossJoin(found.agg(F.count("*").alias("anchors"), median(before).alias("offset_before"), median("after").alias("offset_after")))
