@@ -203,7 +203,7 @@ def part_of(small: DataFrame, small_key: str, big: DataFrame, big_key: str, link
     from landlace.operators.relations import RATIO, SHARE
 
     if linked is not None:
-        small = small.join(linked.select(small_key), small_key, "left_anti")
+        small = small.join(linked.select(small_key).hint("merge"), small_key, "left_anti")
     pairs = _joined(small, small_key, big, big_key, 0.0).withColumns({"aa": area(F.col("a_geom")), "ab": area(F.col("b_geom"))}).where(F.col("ab") >= RATIO * F.col("aa"))
     ok = pairs.withColumn("share", F.round(shared(F.col("a_geom"), F.col("b_geom")) / F.col("aa"), 9)).where(F.col("share") >= SHARE)
     best = F.min_by(F.struct("b_key", "share"), F.struct(-F.col("share"), F.col("b_key")))
@@ -226,7 +226,7 @@ def cover(a: DataFrame, a_key: str, b: DataFrame) -> DataFrame:
     pairs = _joined(a, a_key, b.withColumn("key_", F.lit(0)), "key_", 0.0)
     by = covered(pairs.groupBy("a_key").agg(F.first("a_geom").alias("g"), F.collect_list("b_geom").alias("covers")))
     whole = a.select(F.col(a_key), area(F.col("geom")).alias("area"))
-    return whole.join(by, whole[a_key] == by["a_key"], "left").select(a_key, "area", F.coalesce("covered", F.lit(0.0)).alias("covered"))
+    return whole.join(by.hint("merge"), whole[a_key] == by["a_key"], "left").select(a_key, "area", F.coalesce("covered", F.lit(0.0)).alias("covered"))
 
 
 def encroaching(shapes: DataFrame, key: str, reserve: DataFrame, least: float = 5.0, share: float = 0.10) -> DataFrame:
@@ -239,13 +239,13 @@ def confirmed(flags: DataFrame, key: str, others: DataFrame) -> DataFrame:
     """Flags (key, geom, ...) with whether a polygon of another source meets them."""
     near = _joined(flags, key, others.withColumn("key_", F.lit(0)), "key_", 0.0).where(distance(F.col("a_geom"), F.col("b_geom")) <= 0)
     hit = near.select(F.col("a_key").alias(key)).distinct().withColumn("confirmed", F.lit(True))
-    return flags.join(hit, key, "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
+    return flags.join(hit.hint("merge"), key, "left").withColumn("confirmed", F.coalesce("confirmed", F.lit(False)))
 
 
 def apart_from(new: DataFrame, key: str, layer: DataFrame, keep: float = 1.5) -> DataFrame:
     """Polygons that stay more than `keep` away from every one of a layer."""
     near = _joined(new, key, layer.withColumn("key_", F.lit(0)), "key_", keep).where(distance(F.col("a_geom"), F.col("b_geom")) <= keep).select(F.col("a_key").alias(key)).distinct()
-    return new.join(near, key, "left_anti")
+    return new.join(near.hint("merge"), key, "left_anti")
 
 
 def near_box(layer: DataFrame, box: DataFrame, most: float = 5.0) -> DataFrame:
