@@ -138,8 +138,8 @@ def road_encroachment(a, b):
     roads = a.sparkSession.range(1).select(F.posexplode(F.array(*map(row, LINES))).alias("road_id", "r")).select("road_id", "r.*")
     strips = polygons.reserve(roads, "road_id", "half")
     la, lb = ell(a, "a_id"), ell(b, "b_id")
-    flags = polygons.encroaching(la, "a_id", strips).join(la, "a_id")
-    others = polygons.encroaching(lb, "b_id", strips).join(lb, "b_id")
+    flags = polygons.encroaching(la, "a_id", strips).join(la.hint("merge"), "a_id")
+    others = polygons.encroaching(lb, "b_id", strips).join(lb.hint("merge"), "b_id")
     return polygons.confirmed(flags, "a_id", others).select("a_id", "overlap_m2", "share", "confirmed")
 
 
