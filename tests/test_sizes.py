@@ -31,7 +31,7 @@ def test_zones_of_mixed_pixels(spark):
     assert raster.zonal(doubles, doubles.selectExpr("r as zone", "r", "q")).where("zone = 1").first().h1 == 4.75
 
 
-@pytest.mark.parametrize("name", ["centroid_anchors", "consensus_counts", "global_shift", "knn_anchors", "local_shift", "mutual_nn", "polygon_features", "polygon_part_of", "road_encroachment", "shift_field", "union_cover"])
+@pytest.mark.parametrize("name", ["centroid_anchors", "consensus_counts", "global_shift", "knn_anchors", "local_shift", "mutual_nn", "polygon_features", "polygon_part_of", "road_encroachment", "shift_field", "turned_pairs", "union_cover"])
 def test_no_layer_is_broadcast(spark, sf, name, monkeypatch):
     """Not in the query's plan, nor in those of the tables it writes; only a row is."""
     plans, write = [], DataFrameWriter.parquet
