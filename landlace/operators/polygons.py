@@ -57,7 +57,7 @@ def centroid(geom: Column) -> Column:
 
     @F.arrow_udf("struct<x: double, y: double>")
     def run(g: pa.Array) -> pa.Array:
-        return _table([kernel.centroid(p) for p in map(rings, g.to_pylist())], ["x", "y"])
+        return _table(flat(g).centroids(), ["x", "y"])
 
     return run(geom)
 
@@ -91,19 +91,18 @@ def enveloped(layer: DataFrame) -> DataFrame:
     return layer.withColumns({"x1": pick(F.array_min, "x"), "y1": pick(F.array_min, "y"), "x2": pick(F.array_max, "x"), "y2": pick(F.array_max, "y")})
 
 
-def _table(rows: list[tuple], names: list[str]) -> pa.Array:
+def _table(rows: list[tuple] | np.ndarray, names: list[str]) -> pa.Array:
     """Rows of numbers as an array of structs. (Rings of different lengths pass to workers as Arrow alone: pandas makes one block of them.)"""
     columns = np.array(rows, float).reshape(-1, len(names)).T
     return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names)
 
 
-def _distinct(a: pa.Array) -> list:
-    """The values as Python objects, equal ones of a batch as one object, so that what is known of it can be kept."""
-    seen: dict[str, list] = {}
-    out = []
-    for v in a.to_pylist():
-        out.append(seen.setdefault(repr(v), v))
-    return out
+def flat(a: pa.Array) -> kernel.Polygons:
+    """A column of geometries, as it comes to a worker, without a Python object for each."""
+    inner = a.flatten()
+    points = inner.flatten()
+    size = lambda x: x.value_lengths().to_numpy(zero_copy_only=False).astype(int)
+    return kernel.Polygons(np.stack([points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], 1), size(inner), size(a))
 
 
 def rings(geom) -> list[np.ndarray]:
@@ -123,42 +122,32 @@ def measures(a: Column, b: Column) -> Column:
 
     @F.arrow_udf(f"struct<{MEASURES.replace(' ', ':').replace(',:', ',')}>")
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        rows, known = [], {}
-
-        def own(g: list) -> tuple:
-            """A shape with its area and centroid, worked out once while its pairs follow one another."""
-            key = id(g)
-            if key not in known:
-                poly = rings(g)
-                known[key] = (poly, kernel.area(poly), kernel.centroid(poly))
-            return known[key]
-
-        both = [(own(g), own(h)) for g, h in zip(_distinct(x), _distinct(y), strict=True)]
-        inter = kernel.shared_many([(p[0], q[0]) for p, q in both])
-        for ((p, area_p, (ax, ay)), (q, area_q, (bx, by))), shared_ in zip(both, inter.tolist(), strict=True):
-            near, far = kernel.apart(p, q)
-            rows.append((shared_, area_p, area_q, near, float(np.hypot(ax - bx, ay - by)), far))
+        p, q, n = flat(x), flat(y), np.arange(len(x))
+        near, far = kernel.apart_pairs(p, n, q, n)
+        between = np.hypot(*(p.centroids() - q.centroids()).T)
+        rows = np.stack([kernel.shared_pairs(p, n, q, n), p.areas(), q.areas(), near, between, far], 1)
         return _table(rows, [m.split()[0] for m in MEASURES.split(", ")])
 
     return run(a, b)
 
 
-def _of_pairs(f) -> callable:
-    """A column function of two geometries from a function of two polygons."""
+def _of_pairs(which: int) -> callable:
+    """A column function of two geometries: one of the two distances of kernel.apart_pairs."""
 
     def make(a: Column, b: Column) -> Column:
         ship()
 
         @F.arrow_udf("double")
         def run(x: pa.Array, y: pa.Array) -> pa.Array:
-            return pa.array([f(p, q) for p, q in zip(map(rings, x.to_pylist()), map(rings, y.to_pylist()), strict=True)], pa.float64())
+            n = np.arange(len(x))
+            return pa.array(kernel.apart_pairs(flat(x), n, flat(y), n)[which], pa.float64())
 
         return run(a, b)
 
     return make
 
 
-distance, hausdorff = _of_pairs(kernel.distance), _of_pairs(kernel.hausdorff)
+distance, hausdorff = _of_pairs(0), _of_pairs(1)
 
 
 def shared(a: Column, b: Column) -> Column:
@@ -167,26 +156,23 @@ def shared(a: Column, b: Column) -> Column:
 
     @F.arrow_udf("double")
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array(kernel.shared_many(list(zip(map(rings, x.to_pylist()), map(rings, y.to_pylist()), strict=True))), pa.float64())
+        n = np.arange(len(x))
+        return pa.array(kernel.shared_pairs(flat(x), n, flat(y), n), pa.float64())
 
     return run(a, b)
 
 
 def covered(groups: DataFrame) -> DataFrame:
-    """(a_key, covered) for rows (a_key, g, covers): area of a polygon that any of an array of polygons covers. What is left when
-    each has been cut away is the rest, so covers that overlap count once."""
+    """(a_key, covered) for rows (a_key, g, covers): area of a polygon that any of an array of polygons covers, once where they overlap."""
     ship()
     schema = T.StructType([groups.schema["a_key"], T.StructField("covered", T.DoubleType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for p, qs in zip(map(rings, b.column("g").to_pylist()), b.column("covers").to_pylist(), strict=True):
-                left = [p]
-                for q in map(rings, qs):
-                    left = [piece for r in left for piece in (kernel.difference(r, q) if kernel.shared(r, q) > 1e-9 else [r])]
-                out.append(kernel.area(p) - kernel.total(left))
+            covers = b.column("covers")
+            of = np.repeat(np.arange(b.num_rows), covers.value_lengths().to_numpy(zero_copy_only=False).astype(int))
+            out = kernel.covered_areas(flat(b.column("g")), flat(covers.flatten()), of)
             yield pa.RecordBatch.from_arrays([b.column("a_key").cast(arrow.field(0).type), pa.array(out, pa.float64())], schema=arrow)
 
     return groups.select("a_key", "g", "covers").mapInArrow(run, schema)
