@@ -61,3 +61,15 @@ def test_no_polygons():
     assert not len(kernel.shared_pairs(none, n, none, n)) and not len(kernel.apart_pairs(none, n, none, n)[0])
     some = kernel.Polygons.of([[np.array([(0.0, 0.0), (2.0, 0.0), (0.0, 2.0)])]])
     assert kernel.covered_areas(some, none, n).tolist() == [0.0]
+
+
+def test_turned_squares_in_batches():
+    """Squares on their corners are boxes in turned coordinates, which give what they share and how far apart they are."""
+    rng = np.random.default_rng(11)
+    x, y, r = rng.integers(0, 60, 200) / 2 + 1e6, rng.integers(0, 60, 200) / 2, rng.integers(5, 12, 200) / 1.0
+    flat = polygons.flat(arrow([[np.array([(a - c, b), (a, b - c), (a + c, b), (a, b + c)])] for a, b, c in zip(x, y, r, strict=True)]))
+    i, j = (v.ravel() for v in np.meshgrid(np.arange(200), np.arange(200)))
+    low, high = np.stack([x + y - r, x - y - r], 1), np.stack([x + y + r, x - y + r], 1)
+    over = np.minimum(high[i], high[j]) - np.maximum(low[i], low[j])
+    assert np.allclose(kernel.shared_pairs(flat, i, flat, j, most=5000), np.maximum(over, 0).prod(1) / 2, atol=1e-8)
+    assert np.allclose(kernel.apart_pairs(flat, i, flat, j)[0], np.hypot(*np.maximum(-over, 0).T) / np.sqrt(2), atol=1e-9)
