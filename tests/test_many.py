@@ -73,3 +73,34 @@ def test_turned_squares_in_batches():
     over = np.minimum(high[i], high[j]) - np.maximum(low[i], low[j])
     assert np.allclose(kernel.shared_pairs(flat, i, flat, j, most=5000), np.maximum(over, 0).prod(1) / 2, atol=1e-8)
     assert np.allclose(kernel.apart_pairs(flat, i, flat, j)[0], np.hypot(*np.maximum(-over, 0).T) / np.sqrt(2), atol=1e-9)
+
+
+def test_covers_of_many(pairs):
+    """Covers apart, within one another, the same twice, overlapping, and too many for comparing each with each: as cutting away one by one."""
+    a, b, p, q = pairs
+    rng = np.random.default_rng(13)
+    of = np.sort(rng.integers(0, 60, 200))
+    lists = [[b[k] for k in np.nonzero(of == g)[0]] for g in range(60)]
+    lists[1] += lists[1][:1]  # a copy
+    lists[2] += [[np.array([(-1.0, -1.0), (1.0, -1.0), (0.0, 1.0)]) * s + b[0][0][0]] for s in (4.0, 2.0, 1.0)]  # one within another
+    lists[3] = []
+    lists[4] = lists[4] + [a[4]]  # the whole
+    of = np.repeat(np.arange(60), [len(c) for c in lists])
+    whole, covers = kernel.Polygons.of(a[:60]), kernel.Polygons.of([c for cs in lists for c in cs])
+    want = []
+    for g, cs in enumerate(lists):
+        left = [p[g]]
+        for c in cs:
+            left = [x for r in left for x in (kernel.difference(r, [kernel.ring(v) for v in c]) if kernel.shared(r, [kernel.ring(v) for v in c]) > 1e-9 else [r])]
+        want.append(kernel.area(p[g]) - kernel.total(left))
+    for most in (64, 2):
+        assert np.allclose(kernel.covered_areas(whole, covers, of, most), want, atol=1e-5)
+
+
+def test_covers_apart_or_within_need_no_cutting(monkeypatch):
+    """Those of union_cover: each cover and its lower half."""
+    box = lambda x1, y1, x2, y2: [np.array([(x1, y1), (x2, y1), (x2, y2), (x1, y2)], float)]
+    monkeypatch.setattr(kernel, "difference", None)
+    covers = [box(x, 0, x + 4, h) for x in range(0, 60, 6) for h in (4, 2)]
+    got = kernel.covered_areas(kernel.Polygons.of([box(-1, -1, 31, 3), box(100, 0, 101, 1)]), kernel.Polygons.of(covers), np.zeros(len(covers), int))
+    assert got.tolist() == [5 * 12 + 3, 0]
