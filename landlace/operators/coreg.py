@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from landlace.functions import boxes
 from landlace.operators import polygons
-from landlace.operators.spatial_join import mutual_nearest, nearest_growing
+from landlace.operators.spatial_join import mutual_nearest, nearest_summed
 from landlace.workers import settled
 
 
@@ -40,9 +40,9 @@ def local_shift(b: DataFrame, found: DataFrame, k: int = 25, radius: float = 250
 
     b: b_id, x, y of the shapes as moved so far.
     """
-    found = settled(found)
-    near = nearest_growing(b, "b_id", found.select("a_id", F.col("a_x").alias("x"), F.col("a_y").alias("y"), "dx", "dy"), "a_id", radius, k, first=radius * 0.4)
-    own = near.groupBy("a_key").agg(F.count("*").alias("n"), median("b_dx").alias("mx"), median("b_dy").alias("my"))
+    b, found = settled(b.select("b_id", "x", "y")), settled(found)
+    to = found.select("a_id", F.col("a_x").alias("x"), F.col("a_y").alias("y"), "dx", "dy")
+    own = nearest_summed(b, "b_id", to, "a_id", radius, k, radius * 0.4, {"mx": median("b_dx"), "my": median("b_dy")})
     whole = F.broadcast(global_shift(found))  # one row
     joined = b.select("b_id").join(own.hint("merge"), F.col("b_id") == F.col("a_key"), "left").crossJoin(whole)
     enough = F.coalesce("n", F.lit(0)) >= least

@@ -3,9 +3,10 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql.readwriter import DataFrameWriter
 
 from landlace.functions import kernel
-from landlace.operators import polygons
+from landlace.operators import coreg, polygons
 
 
 def shapes(rng, n, wide=40.0):
@@ -116,3 +117,34 @@ def test_one_join_finds_mutual_neighbours(spark):
     found = mutual_nearest(a, "a_id", b, "b_id", 15.0)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     assert sorted((r.a_id, r.b_id, r.dist) for r in found.collect()) == [(1, 7, 3.0), (2, 11, 2.0), (3, 9, 2.0)]
+
+
+@pytest.fixture(scope="module")
+def offsets(spark):
+    """Anchors, crowded on the left, sparse on the right, with ties; shapes among and beside them, and the median offsets by brute force."""
+    rng = np.random.default_rng(17)
+    ax, ay = np.concatenate([rng.integers(0, 120, 150), rng.integers(200, 900, 40)]) * 1.0, np.concatenate([rng.integers(0, 120, 150), rng.integers(0, 900, 40)]) * 1.0
+    dx, dy = rng.integers(-9, 10, (2, 190)) / 4
+    bx, by = np.concatenate([rng.integers(0, 900, (2, 200)) * 1.0, [[5000.0], [5000.0]]], axis=1)
+    want = {}
+    for i in range(len(bx)):
+        d = np.sqrt((bx[i] - ax) ** 2 + (by[i] - ay) ** 2)
+        near = [j for j in np.lexsort((np.arange(190), d)) if d[j] < 250][:25]
+        of = near if len(near) >= 5 else range(190)
+        want[i] = (len(near), float(np.median(dx[list(of)])), float(np.median(dy[list(of)])))
+    found = spark.createDataFrame([(j, float(ax[j]), float(ay[j]), float(dx[j]), float(dy[j])) for j in range(190)], "a_id long, a_x double, a_y double, dx double, dy double")
+    return spark.createDataFrame([(i, float(bx[i]), float(by[i])) for i in range(len(bx))], "b_id long, x double, y double"), found, want
+
+
+def test_local_shift_as_by_hand(offsets):
+    b, found, want = offsets
+    assert {0, 25} < {n for n, *_ in want.values()} and any(0 < n < 5 for n, *_ in want.values()) and any(5 <= n < 25 for n, *_ in want.values())
+    assert {r.b_id: (r.n_anchors, r.sx, r.sy) for r in coreg.local_shift(b, found).collect()} == want
+
+
+def test_local_shift_writes_no_neighbours(offsets, monkeypatch):
+    """What is written on the way has a row a shape or an anchor at most."""
+    b, found, want = offsets
+    rows, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (rows.append(self._df.count()), write(self, *a, **k))[1])
+    assert coreg.local_shift(b, found).count() == len(want) and rows and max(rows) <= len(want)
