@@ -24,9 +24,17 @@ def median(c: str | Column) -> Column:
 
 
 def anchors(a: DataFrame, b: DataFrame, max_d: float = 15.0) -> DataFrame:
-    """Mutual nearest centres closer than max_d, with the offset of b from a. Centroids of polygons are worked out once, in as many tasks as shuffles have."""
-    at = lambda df, k: settled(centres(df.repartition(k), k)) if "geom" in df.columns else centres(df, k)
-    pairs = mutual_nearest(at(a, "a_id"), "a_id", at(b, "b_id"), "b_id", max_d)
+    """Mutual nearest centres closer than max_d, with the offset of b from a."""
+    return _matched(_placed(a, "a_id"), _placed(b, "b_id"), max_d)
+
+
+def _placed(layer: DataFrame, key: str) -> DataFrame:
+    """Its centres; centroids of polygons are worked out once, in as many tasks as shuffles have."""
+    return settled(centres(layer.repartition(key), key)) if "geom" in layer.columns else centres(layer, key)
+
+
+def _matched(a: DataFrame, b: DataFrame, max_d: float) -> DataFrame:
+    pairs = mutual_nearest(a, "a_id", b, "b_id", max_d)
     return pairs.select("a_id", "b_id", "dist", (F.col("b_x") - F.col("a_x")).alias("dx"), (F.col("b_y") - F.col("a_y")).alias("dy"), "a_x", "a_y")
 
 
@@ -40,7 +48,11 @@ def local_shift(b: DataFrame, found: DataFrame, k: int = 25, radius: float = 250
 
     b: b_id, x, y of the shapes as moved so far.
     """
-    b, found = settled(b.select("b_id", "x", "y")), settled(found)
+    return _own_shift(settled(b.select("b_id", "x", "y")), settled(found), k, radius, least)
+
+
+def _own_shift(b: DataFrame, found: DataFrame, k: int, radius: float, least: int) -> DataFrame:
+    """local_shift of tables that may be read several times."""
     to = found.select("a_id", F.col("a_x").alias("x"), F.col("a_y").alias("y"), "dx", "dy")
     own = nearest_summed(b, "b_id", to, "a_id", radius, k, radius * 0.4, {"mx": median("b_dx"), "my": median("b_dy")})
     whole = F.broadcast(global_shift(found))  # one row
@@ -61,31 +73,35 @@ def moved(b: DataFrame, shift: DataFrame) -> DataFrame:
 def estimate(a: DataFrame, b: DataFrame, max_d: float = 15.0, iou_min: float = 0.4, k: int = 25, radius: float = 250.0, rounds: int = 2, least: int = 10, folder: str | None = None) -> DataFrame:
     """(b_id, sx, sy) after `rounds` rounds: rough anchors give a global shift, anchors that overlap well the local ones.
 
-    Each round's shift is a written table; with fewer than `least` anchors the shift stays as it is (zero at first).
+    Each round's moved layer, anchors and shift are written tables; with fewer than `least` anchors the shift stays as it is (zero at first).
     """
-    rough = anchors(a, b, max_d)
-    one = global_shift(rough).first()
+    at_a, raw = _placed(a, "a_id"), _placed(b, "b_id")
+    one = global_shift(_matched(at_a, raw, max_d)).first()
     zero = F.lit(0.0)
     if one["anchors"] < least:
         return b.select("b_id", zero.alias("sx"), zero.alias("sy"))
     shift = b.select("b_id", F.lit(one["gx"]).alias("sx"), F.lit(one["gy"]).alias("sy"))
-    raw = centres(b, "b_id")
+    if "geom" in b.columns:
+        start = b.join(raw.select("b_id", F.col("x").alias("raw_x"), F.col("y").alias("raw_y")).hint("merge"), "b_id", "left")
+    else:
+        start = b.withColumns(dict(zip(("raw_x", "raw_y"), boxes.centre(), strict=True)))
     for _ in range(rounds):
-        now = moved(b, shift)
-        pairs = anchors(a, now, max_d).select("a_id", "b_id", "a_x", "a_y")
+        now = settled(moved(start, shift))
+        at = _placed(now, "b_id")
+        pairs = _matched(at_a, at, max_d).select("a_id", "b_id", "a_x", "a_y")  # dealt by b_id, so the moved layer comes first
         if "geom" in a.columns:
-            both = pairs.join(a.select("a_id", F.col("geom").alias("ga")).hint("merge"), "a_id").join(now.select("b_id", F.col("geom").alias("gb")).hint("merge"), "b_id").withColumns({"aa": polygons.area(F.col("ga")), "ab": polygons.area(F.col("gb"))})
+            both = pairs.join(now.select("b_id", F.col("geom").alias("gb"), "raw_x", "raw_y").hint("merge"), "b_id").join(a.select("a_id", F.col("geom").alias("ga")).hint("merge"), "a_id").withColumns({"aa": polygons.area(F.col("ga")), "ab": polygons.area(F.col("gb"))})
             inter, area_a, area_b = polygons.shared(F.col("ga"), F.col("gb")), F.col("aa"), F.col("ab")
         else:
-            sides = lambda df, k: df.select(f"{k}_id", *[F.col(c).alias(f"{k}_{c}") for c in ("x1", "y1", "x2", "y2")])
-            both = pairs.join(sides(a, "a").hint("merge"), "a_id").join(sides(now, "b").hint("merge"), "b_id")
+            sides = lambda df, k, *more: df.select(f"{k}_id", *[F.col(c).alias(f"{k}_{c}") for c in ("x1", "y1", "x2", "y2")], *more)
+            both = pairs.join(sides(now, "b", "raw_x", "raw_y").hint("merge"), "b_id").join(sides(a, "a").hint("merge"), "a_id")
             inter, area_a, area_b = boxes.shared("a_", "b_"), boxes.area("a_"), boxes.area("b_")
         both = both.withColumn("inter", inter)
-        good = both.where(F.col("inter") / (area_a + area_b - F.col("inter")) >= iou_min).join(raw.select("b_id", "x", "y").hint("merge"), "b_id")
-        found = settled(good.select("a_id", "b_id", "a_x", "a_y", (F.col("x") - F.col("a_x")).alias("dx"), (F.col("y") - F.col("a_y")).alias("dy")))
+        good = both.where(F.col("inter") / (area_a + area_b - F.col("inter")) >= iou_min)
+        found = settled(good.select("a_id", "b_id", "a_x", "a_y", (F.col("raw_x") - F.col("a_x")).alias("dx"), (F.col("raw_y") - F.col("a_y")).alias("dy")))
         if found.count() < least:
             break
-        shift = settled(local_shift(centres(now, "b_id"), found, k, radius).select("b_id", "sx", "sy"))
+        shift = settled(_own_shift(at, found, k, radius, 5).select("b_id", "sx", "sy"))
     return shift
 
 

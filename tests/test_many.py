@@ -148,3 +148,13 @@ def test_local_shift_writes_no_neighbours(offsets, monkeypatch):
     rows, write = [], DataFrameWriter.parquet
     monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (rows.append(self._df.count()), write(self, *a, **k))[1])
     assert coreg.local_shift(b, found).count() == len(want) and rows and max(rows) <= len(want)
+
+
+def test_rounds_of_the_shift_field_start_from_tables(spark, sf, monkeypatch):
+    """A round's layer is moved once and read from there: no plan moves it again beside the joins that find anchors or neighbours."""
+    from landlace.plans import registry, spatial_queries  # noqa: F401
+
+    plans, write = [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **k: (plans.append(self._df._jdf.queryExecution().executedPlan().toString()), write(self, *a, **k))[1])
+    registry.QUERIES["shift_field"](spark, sf)
+    assert max(p.count("SortMergeJoin") for p in plans) <= 3
